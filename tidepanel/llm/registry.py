@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import exact_dedup, quality_rules
+from tidepanel.llm import exact_dedup, language_id, pieces, quality_rules, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_language_id": language_id.op4_language_id,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op10_warc": warc.op10_warc,
     }
 
 
