@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import exact_dedup, jaccard_join, language_id, pieces, quality_rules, repeats, warc
+from tidepanel.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_language_id": language_id.op4_language_id,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_mixing": mixing.op6_mixing,
+        "op8_pii": pii.op8_pii,
         "op7_repeats": repeats.op7_repeats,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_warc": warc.op10_warc,
