@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, warc
+from tidepanel.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_html_extract": html_extract.op3_html_extract,
         "op4_language_id": language_id.op4_language_id,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_mixing": mixing.op6_mixing,
