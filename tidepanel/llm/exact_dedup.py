@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import ascii_lower, table
+from tidepanel.llm.common import ascii_lower, materialise, table
 
 
 def text_digest(text: Column) -> Column:
@@ -74,11 +74,21 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of fully repeated rows (same id and text) one stays."""
+    """The rows of docs that stay, with all their columns; of repeated rows (same id and text) one stays. Rows with a null id do not stay.
+
+    Rows to drop are few, as a rule, so those are joined away rather than the others joined in.
+    """
     spark = docs.sparkSession
     index = DigestIndex(spark, f"tidepanel_digests_{uuid.uuid4().hex}")
-    verdict = exact_dedup(docs, index, id_col, text_col).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.dropDuplicates([id_col]).join(verdict, F.col(id_col) == F.col("__id"), "left_semi")
+    verdict = materialise(exact_dedup(docs, index, id_col, text_col), "verdicts")
+    drop = verdict.where("not kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha")).where("__id is not null").distinct()
+    hashed = docs.withColumn("__digest", F.unhex(text_digest(F.col(text_col))))
+    left = hashed.join(drop, (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_anti").where(F.col(id_col).isNotNull())
+    repeated = verdict.where("kept").groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
+    if not repeated.isEmpty():
+        again = F.col(id_col) == F.col("__id")
+        left = left.join(repeated, again, "left_anti").union(left.join(repeated, again, "left_semi").dropDuplicates([id_col, "__digest"]))
+    return left.drop("__digest")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

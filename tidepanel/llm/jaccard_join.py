@@ -319,6 +319,13 @@ def _crowded_links(texts: DataFrame, crowded: DataFrame, block_features: int, bl
     return keyed.groupBy("component", "i", "j").applyInArrow(join, "a long, b long")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that are the smallest id of their component, with all their columns. The rows to drop are joined away; rows with a null id stay."""
+    found = jaccard_components(docs, id_col, text_col, **options)
+    drop = materialise(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct(), "near-copies")
+    return docs.join(drop, F.col(id_col) == F.col("__id"), "left_anti")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -174,14 +174,16 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     """The columns of docs in `keep` (default: all) with lang_pred, score and rejected. The model is shipped to the tasks: its size is fixed by its bits and labels."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = text_col if text_col in keep else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores, rejected = shared.value.predict(batch.column("__text").to_pylist())
+            labels, scores, rejected = shared.value.predict(batch.column(source).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(labels, pa.string()), pa.array(scores), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    extra = [] if source == text_col else [F.col(text_col).alias(source)]
+    return docs.select(*[F.col(c) for c in keep], *extra).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def in_fold(id_col: str = "doc_id") -> Column:
