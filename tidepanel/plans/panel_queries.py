@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import rolling as R
@@ -26,13 +26,9 @@ def query(sql: str | None = None):
     return add
 
 
-def r(c, n: int = 6):
-    return F.round(c, n).alias(c if isinstance(c, str) else "x")
-
-
 def rounded(df: DataFrame, n: int = 6, **other: int) -> DataFrame:
-    """Doubles rounded, so sums in another order agree."""
-    return df.select(*[F.round(F.col(c), other.get(c, n)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, so sums in another order agree; zeros without sign."""
+    return df.select(*[(F.round(F.col(c), other.get(c, n)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +242,7 @@ def false_discovery(spark, sf_dir):
 def neighbour_pairs(spark, sf_dir) -> DataFrame:
     """pair, ts, y, x: closes of each symbol against the next one on common days."""
     b = bars(spark, sf_dir).select("symbol", "ts", "close")
-    no = F.dense_rank().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.orderBy("symbol"))
-    n = b.select("symbol").distinct().withColumn("no", no)
+    n = b.select("symbol").distinct().withColumn("no", F.row_number().over(Window.orderBy("symbol")))  # one row per symbol
     y = b.join(F.broadcast(n), "symbol").select(F.col("symbol").alias("a"), "no", "ts", F.col("close").alias("y"))
     x = b.join(F.broadcast(n), "symbol").select(F.col("symbol").alias("b"), (F.col("no") - 1).alias("no"), "ts", F.col("close").alias("x"))
     return y.join(x, ["no", "ts"]).select(S.canonical_pair(F.col("a"), F.col("b")).alias("pair"), "ts", "y", "x")

@@ -39,8 +39,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trade per order, from its first line: entry at the order date, exit some days later, signed quantity, execution and arrival prices."""
-    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("exec_px"), "l_discount", "l_tax")
+    """One trade per order, from the least of its first lines: entry at the order date, exit some days later, signed quantity, execution and arrival prices."""
+    line = F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")).alias("x")
+    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(line).select("l_orderkey", "x.*").withColumn("exec_px", F.col("l_extendedprice") / F.col("l_quantity"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("entry_date"), "o_orderpriority")
     key = F.col("l_orderkey")
@@ -102,7 +103,8 @@ BARS = """bars AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS ts, arg
 max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS close, sum(l_quantity) AS volume
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
 
-TRADES = """trades AS (SELECT o_orderkey AS trade_id, p_brand AS symbol, CAST(o_orderdate AS DATE) AS entry_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 + 1 AS INT) AS exit_date,
+TRADES = """firsts AS (SELECT * FROM lineitem WHERE l_linenumber = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) = 1),
+trades AS (SELECT o_orderkey AS trade_id, p_brand AS symbol, CAST(o_orderdate AS DATE) AS entry_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 + 1 AS INT) AS exit_date,
 CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, l_quantity AS qty, l_extendedprice / l_quantity AS exec_px, l_extendedprice / l_quantity * (1 + (o_orderkey % 7 - 3) / 1000.0::DOUBLE) AS arrival_px,
 l_extendedprice / l_quantity * (1 + (o_orderkey % 11 - 5) / 1000.0::DOUBLE) AS decision_px, l_discount AS maker_share, l_tax AS rate, o_orderpriority AS venue
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey)"""
+FROM orders JOIN firsts ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"""
