@@ -26,6 +26,7 @@ from tidepanel.llm.common import table
 
 UND = "und"
 ORDERS = (1, 2, 3, 4)
+PAD = ORDERS[-1] - 1
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -46,6 +47,7 @@ def buckets_of(data: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 def text_bytes(text: str) -> np.ndarray:
+    """A text's bytes with a space before and PAD behind; runs start before the padding, so none leaves its text."""
     return _FOLD[np.frombuffer(f" {text.lower()}   ".encode(errors="replace"), np.uint8)]
 
 
@@ -77,19 +79,21 @@ class LanguageModel:
 
     def _group(self, group: list[np.ndarray], step: int) -> np.ndarray:
         sizes = np.array([len(g) for g in group])
+        runs = sizes - PAD
         data = np.concatenate(group)
         if len(data) > 2 * step:  # one long text: sums over slices, with the runs that cross their ends
             total = np.zeros((1, len(self.labels)))
-            for at in range(0, len(data), step):
-                part = data[at : at + step + ORDERS[-1] - 1]
-                for h in buckets_of(part, self.bits):
-                    total += self.weights[h[:step]].sum(axis=0, dtype=np.float64)
-            return total / (len(data) * len(ORDERS))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            for at in range(0, runs[0], step):
+                n = min(step, runs[0] - at)
+                for h in buckets_of(data[at : at + n + PAD], self.bits):
+                    total += self.weights[h[:n]].sum(axis=0, dtype=np.float64)
+            return total / (runs[0] * len(ORDERS))
+        starts = np.cumsum(sizes) - sizes
+        bounds = np.stack([starts, starts + runs], axis=1).ravel()  # runs of a text, then its padding
         total = np.zeros((len(group), len(self.labels)))
         for h in buckets_of(data, self.bits):
-            total += np.add.reduceat(self.weights[h], starts, axis=0)
-        return total / (sizes[:, None] * len(ORDERS))
+            total += np.add.reduceat(self.weights[h], bounds, axis=0)[::2]
+        return total / (runs[:, None] * len(ORDERS))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, score and rejection of each text."""
@@ -124,7 +128,7 @@ def train(texts: list[str], langs: list[str], bits: int = 15, dim: int = 16, ste
         data = text_bytes(t)
         count = np.zeros(1 << bits, np.float32)
         for h in buckets_of(data, bits):
-            count += np.bincount(h, minlength=1 << bits)
+            count += np.bincount(h[:-PAD], minlength=1 << bits)
         ids = np.flatnonzero(count)
         feats.append((ids, (count[ids] / count.sum()).astype(np.float32)))
     hold = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
