@@ -24,7 +24,7 @@ MAX_REPEAT = 1.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.fit(docs, F.lit(True))
-    return languages.predict(docs, model).where("not rejected").select(*docs.columns)
+    return languages.predict(docs, model, names=("__lang", "__score", "__rejected")).where("not __rejected").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

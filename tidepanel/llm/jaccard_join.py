@@ -13,7 +13,7 @@ a spanning forest of its links. Any choice of hot signatures gives the same, exa
 Equal sets are one node, so exact copies cost one row each. Candidates are verified on the full sets.
 
 Cases: null, empty and blank texts have an empty set, no link, and are their own component; a text with one to four words is one shingle; ties have no
-meaning here (a component's id is its smallest doc_id); rows that share a doc_id count as one document with each of their sets; a null doc_id has a null component;
+meaning here (a component's id is its smallest doc_id); rows that share a doc_id are one node for links, with the size and component of each row's own set; a null doc_id takes the component of an equal set with an id, else null;
 an empty table gives an empty result; other columns are not read.
 """
 

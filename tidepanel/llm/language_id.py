@@ -174,8 +174,8 @@ def fit(docs: DataFrame, eligible: Column, sample: int = 4000, id_col: str = "do
     return train([r[text_col] for r in rows], [r[lang_col] for r in rows], **options)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs in `keep` (default: all) with lang_pred, score and rejected. The model is shipped to the tasks: its size is fixed by its bits and labels."""
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns of docs in `keep` (default: all) with label, score and rejection under `names`. The model is shipped to the tasks: its size is fixed by its bits and labels."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = text_col if text_col in keep else "__text"
@@ -183,11 +183,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, scores, rejected = shared.value.predict(batch.column(source).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(labels, pa.string()), pa.array(scores), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(labels, pa.string()), pa.array(scores), pa.array(rejected)], names=[*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     extra = [] if source == text_col else [F.col(text_col).alias(source)]
-    return docs.select(*[F.col(c) for c in keep], *extra).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.select(*[F.col(c) for c in keep], *extra).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def in_fold(id_col: str = "doc_id") -> Column:
