@@ -57,22 +57,34 @@ def monthly(days: DataFrame) -> DataFrame:
     return ret.groupBy(F.year("day").alias("year"), F.month("day").alias("month")).agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("ret"))
 
 
+def prefix_sums(rows: DataFrame, order: str, values: Sequence[str], descending: bool = False, buckets: int = 64) -> DataFrame:
+    """Adds cum_<value>: sums over rows up to and with this one by order. Rows are dealt to ranges of the order (by approximate quantiles), summed in each,
+    and every range starts from the total of those before it, so no task holds all rows."""
+    edges = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_e"))  # one row
+    below = F.size(F.filter(F.coalesce("_e", F.array().cast("array<double>")), lambda e: e < F.col(order)))
+    dealt = rows.join(F.broadcast(edges)).withColumn("_b", -below if descending else below).drop("_e")
+    totals = dealt.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0.0)).alias(f"_o_{v}") for v in values])
+    w = Window.partitionBy("_b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(offsets), "_b")
+    return out.withColumns({f"cum_{v}": F.col(f"_o_{v}") + F.sum(v).over(w) for v in values}).drop("_b", *[f"_o_{v}" for v in values])
+
+
 def roc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """auc, n_pos, n_neg; ties share a step. Scores are counted first, so the running sums are over distinct scores."""
     by = rows.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
-    w = Window.orderBy(F.desc(score))
-    run = by.withColumns({"tp": F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    area = F.col("q") * (F.col("tp") - F.col("p") / 2)
+    run = prefix_sums(by, score, ["p"], descending=True)
+    area = F.col("q") * (F.col("cum_p") - F.col("p") / 2)
     return run.agg(F.try_divide(F.sum(area), F.sum("p") * F.sum("q")).alias("auc"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
 
 
 def ks(rows: DataFrame, value: str, label: str) -> DataFrame:
     """Largest distance of the two labels' distributions; equal values step together."""
     by = rows.groupBy(value).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy(F.lit(0))
-    d = F.abs(F.sum("p").over(w) / F.sum("p").over(all_rows) - F.sum("q").over(w) / F.sum("q").over(all_rows))
-    return by.select(d.alias("d")).agg(F.max("d").alias("ks"))
+    total = by.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
+    run = prefix_sums(by, value, ["p", "q"]).join(F.broadcast(total))
+    return run.agg(F.max(F.abs(F.try_divide("cum_p", "tp") - F.try_divide("cum_q", "tq"))).alias("ks"))
 
 
 def overfit_probability(scores: DataFrame) -> DataFrame:
