@@ -6,11 +6,11 @@ import pytest
 
 import __spark_entry__
 from tests.oracle import assert_same, connect
-from tidepanel.plans import panel_queries, trade_queries
+from tidepanel.plans import panel_queries, report_queries, trade_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = panel_queries.QUERIES | trade_queries.QUERIES
-ORACLE = panel_queries.ORACLE | trade_queries.ORACLE
+QUERIES = panel_queries.QUERIES | trade_queries.QUERIES | report_queries.QUERIES
+ORACLE = panel_queries.ORACLE | trade_queries.ORACLE | report_queries.ORACLE
 
 
 @pytest.fixture(scope="module")
