@@ -78,6 +78,22 @@ class Vocabulary:
         data = b"".join(map(self.bytes_of.__getitem__, ids))
         return data[1:].decode() if data[:1] == b" " else data.decode()
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of all lists, from one gather of their pieces' bytes. Null lists give nulls."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.array([len(x) for x in self.bytes_of], np.int64)
+        blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        data = blob[np.repeat((np.cumsum(sizes) - sizes)[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        last = np.cumsum(count)
+        cut = np.concatenate([[0], ends])
+        texts = []
+        for a, b, valid in zip(cut[last - count], cut[last], lists.is_valid().to_pylist(), strict=True):
+            texts.append(data[a + (data[a : a + 1] == b" ") : b].decode() if valid else None)
+        return pa.array(texts, pa.string())
+
 
 def _roll(h, code):
     with np.errstate(over="ignore"):
@@ -283,8 +299,7 @@ def decode(encoded: DataFrame, ids_col: str = "piece_ids", model: str | None = N
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [None if ids is None else v.decode(ids) for ids in part.column("__ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [v.decode_all(part.column("__ids"))], names=[*keep, "decoded"])
 
     return encoded.select(*[F.col(c) for c in keep], F.col(ids_col).alias("__ids")).mapInArrow(run, _schema(encoded, keep, "decoded string"))
 
