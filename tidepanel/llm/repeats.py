@@ -5,7 +5,7 @@ passes over the whole transform each round; the README has the figures. This ope
 
 1. In every window of `width` bytes the least hash of its 64-byte strings marks an anchor (ties: the rightmost), so equal windows have the same anchor at
    the same offset. Consecutive windows share an anchor; they form a span. About 1.5 % of the positions are anchors, and only they are shuffled.
-2. Anchors are sorted by hash. A span that occurs twice is covered whole. A span that occurs once, under an anchor with other spans, is compared window by window
+2. Anchors are sorted by hash, after those of spans repeated within a task have been combined, so a line that fills a third of the corpus is no hot key. A span that occurs twice is covered whole. A span that occurs once, under an anchor with other spans, is compared window by window
    with those, once per distinct span; anchors that occur once are dropped.
 3. Documents with a hit are read again, the intervals united and cut out. Equal texts are counted by digest: such texts are covered whole.
 
@@ -31,6 +31,7 @@ from tidepanel.llm.common import materialise, table
 _K = np.uint64(0x9E3779B97F4A7C15)
 _KINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 GRAM = 64
+_NAMES = ["gh", "span", "doc", "tag", "lo", "n", "back"]
 _HIT = "kind int, gh long, span long, doc long, tag long, lo long, n int, back int"
 
 
@@ -109,17 +110,26 @@ def _anchor_rows(width: int):
             gh, span, d, lo, n, back = anchors([parts[k] for k in fresh], width)
             doc = np.array([docs[k] for k in fresh], np.int64)[d] if len(d) else d
             tag = np.array([tags[k] for k in fresh], np.int64)[d] if len(d) else d
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gh.view(np.int64), span.view(np.int64), doc, tag, lo, n.astype(np.int32), back.astype(np.int32))], names=["gh", "span", "doc", "tag", "lo", "n", "back"])
+            # a span that occurs twice here already is covered: one of its rows meets those of other tasks, the others go anywhere
+            order = np.lexsort((span, gh))
+            same = np.zeros(len(gh), bool)
+            same[order[1:]] = (gh[order[1:]] == gh[order[:-1]]) & (span[order[1:]] == span[order[:-1]])
+            state = np.where(same, 2, 0)
+            first = order[:-1][same[order[1:]]]
+            state[first[~same[first]]] = 1
+            route = np.where(same, _mix(doc.astype(np.uint64) * _K + lo.astype(np.uint64)), gh)
+            cols = (route.view(np.int64), state.astype(np.int32), gh.view(np.int64), span.view(np.int64), doc, tag, lo, n.astype(np.int32), back.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["route", "state", *_NAMES])
 
     return run
 
 
 def _stream_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by (gh, span): kind 0, spans that occur again; kind 1 and 2, one of each distinct span under an anchor with several: 1 occurs once, 2 again.
+    """From anchors sorted by (gh, span), state 2 being covered already and 1 known to occur again: kind 0, spans that occur again; kind 1 and 2, one of each distinct span under an anchor with several: 1 occurs once, 2 again.
 
     Of the rows seen, the first of the last run is held back, until the next run shows whether it shares the anchor.
     """
-    names = ["gh", "span", "doc", "tag", "lo", "n", "back"]
+    names = _NAMES
     held, dup, same = None, False, False
 
     def rows(cols: list[np.ndarray], pick: np.ndarray, kind) -> pa.RecordBatch:
@@ -127,15 +137,20 @@ def _stream_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(kinds)] + [pa.array(c[pick]) for c in cols], names=["kind", *names])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        state = batch.column("state").to_numpy(zero_copy_only=False)
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        yield rows(cols, np.flatnonzero(state == 2), 0)
+        meet = state < 2
+        if not meet.any():
+            continue
+        cols, state = [c[meet] for c in cols], state[meet]
         if held is not None:
+            state = np.concatenate([[0], state])
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         gh, span = cols[:2]
         head = np.flatnonzero(np.concatenate([[True], (gh[1:] != gh[:-1]) | (span[1:] != span[:-1])]))
         size = np.diff(np.append(head, len(gh)))
-        again = size > 1
+        again = (size > 1) | np.logical_or.reduceat(state == 1, head)
         told = held is not None and dup  # its first row went out before
         again[0] |= told
         before = np.concatenate([[same], gh[head[1:]] == gh[head[:-1]]])
@@ -271,8 +286,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows that share an id are told apart by a checksum of their text
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"), F.col(id_col).alias("id"))
     texts = keyed.select("doc", "tag", "text")
-    found = texts.mapInArrow(_anchor_rows(width), "gh long, span long, doc long, tag long, lo long, n int, back int")
-    hits = materialise(found.repartition("gh").sortWithinPartitions("gh", "span").mapInArrow(_stream_hits, _HIT), "hits")
+    found = texts.mapInArrow(_anchor_rows(width), "route long, state int, gh long, span long, doc long, tag long, lo long, n int, back int")
+    hits = materialise(found.repartition("route").sortWithinPartitions("gh", "span").mapInArrow(_stream_hits, _HIT), "hits")
     spans = hits.where("kind > 0")
     many = spans.groupBy("gh").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
     fine = spans.join(many, "gh").groupBy("doc", "tag").agg(F.collect_list(F.struct("gh", "kind", "crowded", "lo", "n", "back")).alias("fine"))
