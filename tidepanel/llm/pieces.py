@@ -72,6 +72,17 @@ class Vocabulary:
             hashes[int(h)] = i
         self.hashes = np.array(sorted(hashes), np.uint64)
         self.hash_ids = np.array([hashes[int(h)] for h in self.hashes], np.int64)
+        slots = self.hashes >> np.uint64(44)
+        self.at_slot = np.zeros(1 << 20, np.int32)
+        self.at_slot[slots] = np.arange(len(slots))
+        self.crowded = np.bincount(slots.astype(np.int64), minlength=1 << 20) > 1  # slots of several pieces
+
+    def find(self, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Place of each hash among self.hashes; any place if it has none."""
+        at = self.at_slot[slot]
+        shared = np.flatnonzero(self.crowded[slot])
+        at[shared] = np.minimum(np.searchsorted(self.hashes, h[shared]), len(self.hashes) - 1)
+        return at
 
     def decode(self, ids) -> str:
         """The text of ids; the space prefixed in encoding goes."""
@@ -115,8 +126,9 @@ class Lattices:
             h = _roll(h, codes[at + n - 1].astype(np.uint64))
             slot = h >> np.uint64(44)
             some = np.flatnonzero(v.whole[slot])
-            where = np.minimum(np.searchsorted(v.hashes, h[some]), len(v.hashes) - 1)
-            hit = v.hashes[where] == h[some]
+            found = h[some]
+            where = v.find(found, slot[some])
+            hit = v.hashes[where] == found
             begin.append(at[some[hit]])
             length.append(np.full(hit.sum(), n, np.int64))
             piece.append(v.hash_ids[where[hit]])
@@ -160,6 +172,7 @@ class Lattices:
         cum -= np.repeat(cum[heads] - parts[heads], np.diff(np.append(heads, len(node))))
         key = (node << 32) + cum
         key[np.append(heads[1:], len(node)) - 1] = (node[heads] + 1) << 32
+        self.first_edge = heads  # every character ends an edge, so heads go by node
         return key
 
     def walk(self, chunk: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +182,11 @@ class Lattices:
         while len(who):
             here = at[who]
             u = _mix(draw[who] + _GOLD * (here - base[who] + 1).astype(np.uint64)) >> np.uint64(32)
-            e = np.searchsorted(self.key, (here << 32) + u.astype(np.int64), "right")
+            e, value = self.first_edge[here], (here << 32) + u.astype(np.int64)
+            on = np.flatnonzero(self.key[e] <= value)
+            while len(on):
+                e[on] += 1
+                on = on[self.key[e[on]] <= value[on]]
             edges.append(e)
             owners.append(who)
             at[who] = here = here - self.length[e]
