@@ -31,6 +31,12 @@ def rounded(df: DataFrame, n: int = 6, **other: int) -> DataFrame:
     return df.select(*[(F.round(F.col(c), other.get(c, n)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_scaled(df: DataFrame, n: int = 6, **other: int) -> DataFrame:
+    """As rounded, but rounds the scaled binary value and not its shortest decimal form, as SQL engines on doubles do. The two differ where a value lies next to a tie."""
+    places = {c: 10.0 ** other.get(c, n) for c in df.columns}
+    return df.select(*[(F.round(F.col(c) * places[c]) / places[c] + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with planted defects: missing closes, crossed and low highs, zero volumes, spikes; by day of month and symbol number."""
     k = F.dayofmonth("ts") + F.substring("symbol", 7, 2).cast("int")

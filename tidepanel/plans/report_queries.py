@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import rolling as R
 from tidepanel.functions import scalars as S
 from tidepanel.operators import align
-from tidepanel.plans.panel_queries import NEIGHBOURS, RAW, SCORED, W, neighbour_pairs, raw_bars, rounded, scored
+from tidepanel.plans.panel_queries import NEIGHBOURS, RAW, SCORED, W, neighbour_pairs, raw_bars, rounded, rounded_scaled, scored
 from tidepanel.plans.trade_queries import NET, netted
 from tidepanel.sources.panel import BARS, TRADES, bars, table, trades
 
@@ -59,9 +59,9 @@ def holding_buckets(spark, sf_dir):
     return rounded(h.groupBy("holding").agg(F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("net"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate")), net=2)
 
 
-@query(f"WITH {NET} SELECT exit_date AS day, round(sum(gross_pnl) + 1e-6, 2) AS gross, round(sum(fees) + 3e-7, 4) AS fees, count(*) AS n FROM net GROUP BY exit_date")
+@query(f"WITH {NET} SELECT exit_date AS day, round(sum(gross_pnl) + 1e-6, 2) AS gross, round(sum(fees), 4) AS fees, count(*) AS n FROM net GROUP BY exit_date")
 def cost_components_daily(spark, sf_dir):
-    return rounded(netted(spark, sf_dir).groupBy(F.col("exit_date").alias("day")).agg((F.sum("gross_pnl") + 1e-6).alias("gross"), (F.sum("fees") + 3e-7).alias("fees"), F.count(F.lit(1)).alias("n")), gross=2, fees=4)
+    return rounded_scaled(netted(spark, sf_dir).groupBy(F.col("exit_date").alias("day")).agg((F.sum("gross_pnl") + 1e-6).alias("gross"), F.sum("fees").alias("fees"), F.count(F.lit(1)).alias("n")), gross=2, fees=4)
 
 
 @query(f"""WITH {BARS}, {TRADES}, m AS (SELECT t.trade_id, side, exec_px, b.close AS later FROM trades t ASOF LEFT JOIN bars b ON b.symbol = t.symbol AND b.ts <= t.entry_date + 5)

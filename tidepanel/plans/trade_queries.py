@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import scalars as S
 from tidepanel.operators import align, reports, signals, trades as T
-from tidepanel.plans.panel_queries import SCORED, rounded, scored
+from tidepanel.plans.panel_queries import SCORED, rounded, rounded_scaled, scored
 from tidepanel.sources.panel import BARS, TRADES, bars, table, trades
 from tidepanel.streaming import live
 
@@ -103,12 +103,12 @@ def pnl_concentration(spark, sf_dir):
     return rounded(reports.concentration(g, "net"))
 
 
-PATHS = f"""{BARS}, {TRADES}, few AS (SELECT * FROM trades WHERE trade_id % 5 = 0), days AS (SELECT trade_id, symbol, entry_date, exit_date, side, qty, exec_px, CAST(unnest(generate_series(CAST(entry_date AS TIMESTAMP), CAST(exit_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM few),
+PATHS = f"""{BARS}, {TRADES}, days AS (SELECT trade_id, symbol, entry_date, exit_date, side, qty, exec_px, CAST(unnest(generate_series(CAST(entry_date AS TIMESTAMP), CAST(exit_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM trades),
 paths AS (SELECT d.*, coalesce(b.close, exec_px) AS px FROM days d ASOF LEFT JOIN bars b ON b.symbol = d.symbol AND b.ts <= d.day)"""
 
 
 def paths(spark, sf_dir):
-    return T.daily_values(trades(spark, sf_dir).where("trade_id % 5 = 0"), bars(spark, sf_dir))
+    return T.daily_values(trades(spark, sf_dir), bars(spark, sf_dir))
 
 
 @query(f"WITH {PATHS} SELECT trade_id, round(-0.1::DOUBLE / 360 * sum(qty * px), 4) AS borrow, count(*) AS days FROM paths WHERE side < 0 AND day > entry_date GROUP BY trade_id")
@@ -126,7 +126,7 @@ def curve(spark, sf_dir):
 
 @query(f"WITH {EQUITY} SELECT day, round(pnl, 2) AS pnl, round(equity, 2) AS equity, round(peak, 2) AS peak, round(drawdown, 6) AS drawdown FROM curve")
 def mtm_equity(spark, sf_dir):
-    return rounded(curve(spark, sf_dir), 2, drawdown=6)
+    return rounded_scaled(curve(spark, sf_dir), 2, drawdown=6)
 
 
 @query(f"""WITH {EQUITY}, r AS (SELECT *, pnl / (equity - pnl) AS r FROM curve) SELECT count(*) AS n, round(sum(pnl) / 1e8, 6) AS total_return, round(avg(r), 6) AS mean, round(stddev_samp(r) * sqrt(252), 6) AS vol, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe,
