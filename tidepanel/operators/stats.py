@@ -29,6 +29,13 @@ def pair_correlations(rets: DataFrame, min_days: int = 20) -> DataFrame:
     return day.select(F.inline(pairs)).groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("corr")).where(F.col("n") >= min_days)
 
 
+def every_day(rets: DataFrame) -> DataFrame:
+    """symbol, ts, ret on every day of the panel from each symbol's first return on: a day without a bar carries the price forward, so its return is 0."""
+    first = rets.groupBy("symbol").agg(F.min("ts").alias("_first"))  # one row per symbol
+    grid = rets.select("ts").distinct().join(F.broadcast(first), F.col("ts") >= F.col("_first")).select("symbol", "ts")
+    return grid.join(rets, ["symbol", "ts"], "left").select("symbol", "ts", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+
+
 def hopping(rows: DataFrame, window: int, step: int, key: str = "symbol") -> DataFrame:
     """Row-count windows [s, s + window) every `step` rows: one row per input row and window id; only whole windows."""
     at = rows.withColumns({"_i": F.row_number().over(by_time(key)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
@@ -61,6 +68,7 @@ def shrunk_correlations(rets: DataFrame, window: int = 84, step: int = 21) -> Da
         wide = rows.pivot(index="ts", columns="symbol", values="ret").sort_index(axis=1).dropna()
         cov = ledoit_wolf(wide.to_numpy())
         d = np.sqrt(np.diag(cov))
+        d[d == 0] = 1.0  # a price that stands still has no correlation
         corr = np.clip(cov / np.outer(d, d), -1, 1)
         i, j = np.triu_indices(len(d), 1)
         names = wide.columns.to_numpy()

@@ -269,15 +269,19 @@ def cointegration(spark, sf_dir):
     return rounded(stats.cointegration(neighbour_pairs(spark, sf_dir)))
 
 
+def window_correlations(spark, sf_dir) -> DataFrame:
+    """Shrunk correlations of all symbols' pairs. Few days have a bar of every symbol at small scales, so prices are carried over days without one."""
+    return stats.shrunk_correlations(stats.every_day(stats.returns(bars(spark, sf_dir))), 42, 21)
+
+
 @query()
 def shrunk_pair_persistence(spark, sf_dir):
-    return rounded(stats.pair_persistence(stats.shrunk_correlations(stats.returns(bars(spark, sf_dir)).where(F.col("symbol") <= "Brand#15"), 42, 21), 0.1, 0.2))
+    return rounded(stats.pair_persistence(window_correlations(spark, sf_dir), 0.1, 0.2))
 
 
 @query()
 def bootstrap_pairs(spark, sf_dir):
-    corr = stats.shrunk_correlations(stats.returns(bars(spark, sf_dir)).where(F.col("symbol") <= "Brand#15"), 42, 21)
-    return rounded(stats.bootstrap_means(corr))
+    return rounded(stats.bootstrap_means(window_correlations(spark, sf_dir)))
 
 
 def scored(spark, sf_dir) -> DataFrame:
