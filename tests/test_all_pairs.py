@@ -7,7 +7,7 @@ import pandas as pd
 
 from tests.oracle import connect
 from tidepanel.operators import stats
-from tidepanel.plans import panel_queries
+from tidepanel.plans import panel_queries, report_queries
 from tidepanel.sources.panel import BARS
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,19 @@ def test_shrunk_pairs_of_all_symbols(spark):
         assert got[k].n == len(c) and abs(got[k].mean_corr - np.mean(c)) < 2e-6 and abs(got[k].pct1 - np.mean(np.array(c) >= 0.1)) < 2e-6
     boot = {(r.left, r.right): r for r in panel_queries.bootstrap_pairs(spark, SF).collect()}
     assert set(boot) == set(want) and all(abs(boot[k].mean - np.mean(c)) < 2e-6 and boot[k].ci_low <= boot[k].mean <= boot[k].ci_high for k, c in want.items())
+
+
+def test_cointegration_half_life_and_pnl_of_all_pairs(spark):
+    wide = closes()
+    names = [f"{a}-{b}" for i, a in enumerate(wide) for b in wide.columns[i + 1 :]]
+    common = {f"{a}-{b}": wide[[a, b]].dropna() for i, a in enumerate(wide) for b in wide.columns[i + 1 :]}
+    got = {r.pair: r for r in panel_queries.cointegration(spark, SF).collect()}
+    assert set(got) == {n for n in names if len(common[n])} and len(got) == 300
+    for n, r in got.items():
+        assert r.n == len(common[n])
+        if r.n >= 30:
+            y, x = common[n].to_numpy().T
+            slope, cut = np.polyfit(x, y, 1)
+            assert abs(r.statistic - stats.adf_statistic(y - cut - slope * x)) < 1e-4
+    assert panel_queries.QUERIES["all_pair_half_life"](spark, SF).count() == 300
+    assert report_queries.QUERIES["all_pair_pnl"](spark, SF).count() == 300

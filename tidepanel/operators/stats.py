@@ -36,6 +36,13 @@ def every_day(rets: DataFrame) -> DataFrame:
     return grid.join(rets, ["symbol", "ts"], "left").select("symbol", "ts", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
+def day_pairs(bars: DataFrame) -> DataFrame:
+    """a, b, ts, y, x: closes of every two symbols (a < b) on their common days, exploded from a day's gathered rows."""
+    day = bars.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("symbol", "close"))).alias("m"))  # a day's symbols
+    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda b: F.struct(a["symbol"].alias("a"), b["symbol"].alias("b"), a["close"].alias("y"), b["close"].alias("x")))))
+    return day.select("ts", F.inline(pairs)).select("a", "b", "ts", "y", "x")
+
+
 def hopping(rows: DataFrame, window: int, step: int, key: str = "symbol") -> DataFrame:
     """Row-count windows [s, s + window) every `step` rows: one row per input row and window id; only whole windows."""
     at = rows.withColumns({"_i": F.row_number().over(by_time(key)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})

@@ -264,9 +264,22 @@ def pair_half_life(spark, sf_dir):
     return rounded(stats.half_life(neighbour_pairs(spark, sf_dir)))
 
 
+def all_pairs(spark, sf_dir) -> DataFrame:
+    """pair, ts, y, x: closes of every two symbols on their common days."""
+    return stats.day_pairs(bars(spark, sf_dir)).select(S.canonical_pair(F.col("a"), F.col("b")).alias("pair"), "ts", "y", "x")
+
+
+ALL_PAIRS = f"""{BARS}, np AS (SELECT a.symbol || '-' || b.symbol AS pair, a.ts, a.close AS y, b.close AS x FROM bars a JOIN bars b ON b.ts = a.ts AND a.symbol < b.symbol)"""
+
+
+@query(ORACLE["pair_half_life"].replace(NEIGHBOURS, ALL_PAIRS))
+def all_pair_half_life(spark, sf_dir):
+    return rounded(stats.half_life(all_pairs(spark, sf_dir)))
+
+
 @query()
 def cointegration(spark, sf_dir):
-    return rounded(stats.cointegration(neighbour_pairs(spark, sf_dir)))
+    return rounded(stats.cointegration(all_pairs(spark, sf_dir)))
 
 
 def window_correlations(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import rolling as R
 from tidepanel.functions import scalars as S
 from tidepanel.operators import align
-from tidepanel.plans.panel_queries import NEIGHBOURS, RAW, SCORED, W, neighbour_pairs, raw_bars, rounded, rounded_scaled, scored
+from tidepanel.plans.panel_queries import ALL_PAIRS, NEIGHBOURS, RAW, SCORED, W, all_pairs, neighbour_pairs, raw_bars, rounded, rounded_scaled, scored
 from tidepanel.plans.trade_queries import NET, netted
 from tidepanel.sources.panel import BARS, TRADES, bars, table, trades
 
@@ -153,14 +153,23 @@ def signal_pnl(spark, sf_dir):
     return rounded(e.groupBy("symbol").agg(F.sum(F.col("p") * (F.col("close") - F.col("pc"))).alias("gross"), (-F.sum(turn * F.col("close") * 5 / 1e4)).alias("cost"), F.sum(turn).cast("long").alias("turns")), 2)
 
 
-@query(f"""WITH {NEIGHBOURS}, l AS (SELECT pair, ts, y - lag(y) OVER w AS dy, x - lag(x) OVER w AS dx, CASE WHEN lag(y) OVER w > lag(x) OVER w THEN -1 ELSE 1 END AS s FROM np WINDOW w AS (PARTITION BY pair ORDER BY ts)) SELECT pair, count(dy) AS n, round(sum(s * dy - s * dx), 2) AS pnl FROM l GROUP BY pair""")
-def pair_pnl(spark, sf_dir):
+def pnl_of_pairs(pairs):
     w = R.by_time("pair")
     py, px = F.lag("y").over(w), F.lag("x").over(w)
-    l = neighbour_pairs(spark, sf_dir).select("pair", (F.col("y") - py).alias("dy"), (F.col("x") - px).alias("dx"), F.when(py > px, -1).otherwise(1).alias("s"))  # noqa: E741
+    l = pairs.select("pair", (F.col("y") - py).alias("dy"), (F.col("x") - px).alias("dx"), F.when(py > px, -1).otherwise(1).alias("s"))  # noqa: E741
     return rounded(l.groupBy("pair").agg(F.count("dy").alias("n"), F.sum(F.col("s") * F.col("dy") - F.col("s") * F.col("dx")).alias("pnl")), 2)
 
 
+@query(f"""WITH {NEIGHBOURS}, l AS (SELECT pair, ts, y - lag(y) OVER w AS dy, x - lag(x) OVER w AS dx, CASE WHEN lag(y) OVER w > lag(x) OVER w THEN -1 ELSE 1 END AS s FROM np WINDOW w AS (PARTITION BY pair ORDER BY ts)) SELECT pair, count(dy) AS n, round(sum(s * dy - s * dx), 2) AS pnl FROM l GROUP BY pair""")
+def pair_pnl(spark, sf_dir):
+    return pnl_of_pairs(neighbour_pairs(spark, sf_dir))
+
+
+@query(ORACLE["pair_pnl"].replace(NEIGHBOURS, ALL_PAIRS))
+def all_pair_pnl(spark, sf_dir):
+    return pnl_of_pairs(all_pairs(spark, sf_dir))
+
+
 @query(f"""WITH {BARS}, m AS (SELECT symbol, avg(close) AS mu, stddev_pop(close) AS sd FROM bars WHERE ts < DATE '1998-01-01' GROUP BY symbol) SELECT b.symbol, count(*) AS n, round(avg((close - mu) / sd), 6) AS mean_z, round(max(abs((close - mu) / sd)), 6) AS max_z FROM bars b JOIN m ON m.symbol = b.symbol WHERE ts >= DATE '1998-01-01' AND sd > 0 GROUP BY b.symbol""")
 def frozen_zscore(spark, sf_dir):
     b, cut = bars(spark, sf_dir), F.lit(dt.date(1998, 1, 1))
