@@ -54,3 +54,13 @@ def test_sample_is_bounded_and_repeatable(spark):
     docs = spark.createDataFrame([(i, f"the number {i}", "en") for i in range(300)], "doc_id long, text string, lang string")
     a, b = L.fit(docs, F.lit(True), sample=20, steps=50), L.fit(docs.repartition(7), F.lit(True), sample=20, steps=50)
     assert np.array_equal(a.weights, b.weights)
+
+
+def test_long_text_of_wide_characters_behind_a_short_one():
+    m = model()
+    texts = ["the dog", "的是在有 " * 200_000, "der hund"]
+    got = m.logits(texts)
+    assert len(got) == 3 and np.allclose(got, np.concatenate([m.logits([t]) for t in texts]), atol=1e-4)
+    assert m.predict(texts)[0][::2] == ["en", "de"]
+    small = ["the dog", "的" * 36]
+    assert np.allclose(m.logits(small, step=50), np.concatenate([m.logits([t]) for t in small]), atol=1e-5)

@@ -69,19 +69,20 @@ class LanguageModel:
         """Mean weights of each text's buckets, over whole texts, step bytes at a time."""
         out, group, size = [], [], 0
         for text in [*texts, None]:
-            if group and (text is None or size + len(text) > step):
+            data = None if text is None else text_bytes(text)
+            if group and (data is None or size + len(data) > step):
                 out.append(self._group(group, step))
                 group, size = [], 0
-            if text is not None:
-                group.append(text_bytes(text))
-                size += len(group[-1])
+            if data is not None:
+                group.append(data)
+                size += len(data)
         return np.concatenate(out) + self.bias if out else np.zeros((0, len(self.labels)))
 
     def _group(self, group: list[np.ndarray], step: int) -> np.ndarray:
         sizes = np.array([len(g) for g in group])
         runs = sizes - PAD
         data = np.concatenate(group)
-        if len(data) > 2 * step:  # one long text: sums over slices, with the runs that cross their ends
+        if len(group) == 1 and len(data) > 2 * step:  # one long text: sums over slices, with the runs that cross their ends
             total = np.zeros((1, len(self.labels)))
             for at in range(0, runs[0], step):
                 n = min(step, runs[0] - at)
