@@ -30,6 +30,26 @@ def test_one_page(name):
     assert "\n".join(t for _, t in H.content_blocks(page)[1]) == want
 
 
+OPEN = {
+    "custom element": ("<article><p>a</p><svg-icon name=x></svg-icon><p>kept</p></article>", "a\nkept"),
+    "custom elements": ("<article><video-player>v</video-player><p>one</p><button-group><p>two</p></button-group><title-bar>t</title-bar><p>three</p></article>", "v\none\ntwo\nt\nthree"),
+    "unclosed button": ("<article><button>go<p>one</p><button>no</button><p>two</p></article>", "go\none\ntwo"),
+    "unclosed others": ("<article><object data=x><audio src=y><select><p>kept</p></article>", "kept"),
+    "closed": ("<article><svg><title>t</title><p>no</p></svg><p>x</p><object><object>no</object>no</object><button>no</button></article>", "x"),
+    "raw to the end": ("<article><p>x</p><script>var a = '<p>no</p>'", "x"),
+}
+
+
+@pytest.mark.parametrize("name", OPEN)
+def test_elements_that_hold_no_text(name):
+    page, want = OPEN[name]
+    assert "\n".join(t for _, t in H.content_blocks(page)[1]) == want
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert len(H.content_blocks("<button><object>" * 100_000 + "<p>x")[1]) == 1
+
+
 def test_simple_tree_matching():
     t = lambda name, *kids: (name, kids)
     a = t("r", t("a", t("x"), t("y")), t("b"), t("c"))

@@ -29,7 +29,11 @@ from tidepanel.llm.common import materialise, table
 
 #: Fixed values of the HTML standard: block elements, raw-text elements, void elements.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-RAW = "script|style|noscript|template|textarea|iframe|noembed|noframes|svg|math|object|select|button|title|canvas|audio|video"
+RAW = "script|style|textarea|iframe|noembed|noframes|title"
+#: Elements left out with all they hold, if they are closed; unclosed ones are ordinary tags.
+SKIPPED = frozenset("noscript template svg math object select button canvas audio video".split())
+#: Of these a start tag ends one still open.
+_FLAT = frozenset(("button", "select"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without content.
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset search".split())
@@ -40,7 +44,7 @@ _INNER = REGION - {"header", "masthead"}
 #: Names with these tell of another element's region ("with-sidebar").
 _NOT = frozenset("has with without no".split())
 _CONTENT = frozenset(("article", "main"))
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 DEPTH = 200
@@ -53,6 +57,25 @@ class Node:
         self.name, self.parent, self.dropped, self.content, self.children, self.shape, self.slot = name, parent, dropped, content, [], None, ()
 
 
+def skipped(tokens: list[re.Match]) -> dict[int, int]:
+    """Number of the end token by number of the start token of each closed skipped element."""
+    starts: dict[str, list[int]] = {}
+    out = {}
+    for i, m in enumerate(tokens):
+        tag = m["tag"].lower() if m["tag"] else None
+        if tag not in SKIPPED:
+            continue
+        at = starts.setdefault(tag, [])
+        if m["close"]:
+            if at:
+                out[at.pop()] = i
+        elif not m[0].endswith("/>"):
+            if tag in _FLAT:
+                at.clear()
+            at.append(i)
+    return out
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """Tree of block elements, and the text blocks in page order with the node each stands in."""
     root = Node("", None, False, False)
@@ -65,10 +88,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if text:
                 blocks.append((node, text))
 
-    for m in _TOKEN.finditer(page):
+    marks = list(_TOKEN.finditer(page))
+    ends, last = skipped(marks), -1
+    for i, m in enumerate(marks):
+        if i <= last:
+            continue
         if m.start() > at:
             run.append(page[at : m.start()])
         at = m.end()
+        if i in ends:
+            last = ends[i]
+            at = marks[last].end()
+            continue
         tag = m["tag"]
         if tag is None:
             if m["raw"] and m["raw"].lower() in ("title",):
