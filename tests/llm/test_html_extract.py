@@ -82,6 +82,17 @@ def test_equal_pages_are_no_template(spark):
     assert {r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"same"}
 
 
+def test_near_equal_pages_are_no_template(spark):
+    story = "".join(f"<p>paragraph {k} of one long article that many pages of the host repeat word by word</p>" for k in range(5))
+    tail = "<div><p>Read on our app</p></div></article>"
+    copies = [(i, "http://a.example/", f"<article><p>seen {i} times</p>{story}</article><!-- {i} -->") for i in range(30)]
+    mixed = [(100 + i, "http://b.example/", f"<article><p>seen {i} times</p>{story}{tail}") for i in range(30)]
+    mixed += [(200 + i, "http://b.example/", f"<article>{story.replace('article', f'story{i}')}{tail}") for i in range(10)]
+    out = {r.page_id: r.text.split("\n") for r in H.extract_text(spark.createDataFrame(copies + mixed, "page_id long, url string, html string")).collect()}
+    assert all(len(out[i]) == 6 and out[i][0] == f"seen {i} times" for i in range(30))
+    assert all(len(out[100 + i]) == 6 for i in range(30)) and all(len(out[200 + i]) == 5 for i in range(10))
+
+
 def test_empty_table_and_query(spark):
     assert H.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     out = H.op3_html_extract(spark, "/root/testdata/sf0.001").collect()

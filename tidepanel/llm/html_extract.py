@@ -11,7 +11,7 @@
 White space in a block becomes one space, blocks are joined by one new line. A host with one page has no constants; its regions are still known.
 
 Cases: null and empty html give an empty text; broken or cut-off markup is parsed as far as it goes; a null url is a host of its own; repeated pages count as one page
-for constants (equal html); an empty table gives an empty result; other columns are not read. Whole pages are read; nesting beyond 200 blocks folds into the 200th.
+for constants (equal html, or near copies: under a quarter of own text beside the same shared values); an empty table gives an empty result; other columns are not read. Whole pages are read; nesting beyond 200 blocks folds into the 200th.
 """
 
 from __future__ import annotations
@@ -256,8 +256,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             skeletons.append(skeleton)
             hashes.append(_digest(skeleton))
             body.append(xxhash.xxh3_64_intdigest((page or "").encode(errors="replace")) - (1 << 63))
-            blocks.append([{"place": p, "digest": _digest(t)} for p, t in found])
-        kind = pa.list_(pa.struct([("place", pa.string()), ("digest", pa.int64())]))
+            blocks.append([{"place": p, "digest": _digest(t), "size": len(t)} for p, t in found])
+        kind = pa.list_(pa.struct([("place", pa.string()), ("digest", pa.int64()), ("size", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(skeletons), pa.array(hashes, pa.int64()), pa.array(body, pa.int64()), pa.array(blocks, kind)], names=["host", "skeleton", "shape", "body", "blocks"])
 
 
@@ -313,7 +313,7 @@ def induce(pages: DataFrame, parts: int = 16) -> tuple[DataFrame, DataFrame, Dat
     A host's distinct skeletons are merged in `parts` salted groups first, so no task holds them all.
     """
     ready = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
-    profile = materialise(ready.mapInArrow(_profile, "host string, skeleton string, shape long, body long, blocks array<struct<place:string,digest:long>>"), "profile")
+    profile = materialise(ready.mapInArrow(_profile, "host string, skeleton string, shape long, body long, blocks array<struct<place:string,digest:long,size:long>>"), "profile")
     shapes = profile.groupBy("host", "shape").agg(F.first("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("pages")).withColumn("part", F.pmod("shape", F.lit(parts)).cast("int"))
     shapes = materialise(shapes, "shapes")
     merged = shapes.groupBy("host", "part").applyInArrow(_merge_shapes, "host string, tree string, part int")
@@ -322,14 +322,30 @@ def induce(pages: DataFrame, parts: int = 16) -> tuple[DataFrame, DataFrame, Dat
     return templates, materialise(nodes, "nodes"), profile
 
 
-def constants(nodes: DataFrame, profile: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """host, shape, place, digest of the values that are constant at their template node: on min_share of the host's distinct pages that have the node."""
+def _shared(placed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """host, node, digest of the values on min_share of the distinct votes that have the node. placed: host, node, digest, vote."""
+    counted = placed.select("host", "node", "digest", "vote").distinct().groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"))
+    pages = placed.select("host", "node", "vote").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
+    return counted.join(pages, ["host", "node"]).where((F.col("pages") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))).select("host", "node", "digest")
+
+
+def constants(nodes: DataFrame, profile: DataFrame, min_pages: int, min_share: float, min_own: float = 0.25) -> DataFrame:
+    """host, shape, place, digest of the values that are constant at their template node: on min_share of the host's distinct contents that have the node.
+
+    Shared values are found with a vote for each distinct page. Pages whose own text, beside these, is under min_own of their text are near copies
+    (of an article, with another advert or date) if they have the same shared values: such a group has one vote in the count that decides.
+    """
     each = profile.select("host", "shape", "body", F.inline("blocks")).distinct()
-    placed = each.join(nodes, ["host", "shape", "place"])
-    counted = placed.select("host", "node", "digest", "body").distinct().groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"))
-    pages = placed.select("host", "node", "body").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
-    fixed = counted.join(pages, ["host", "node"]).where((F.col("pages") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))).select("host", "node", "digest")
-    return fixed.join(nodes, ["host", "node"]).select("host", "shape", "place", "digest")
+    placed = materialise(each.join(nodes, ["host", "shape", "place"]).select("host", "body", "node", "digest", "size").distinct(), "placed")
+    first = materialise(_shared(placed.withColumn("vote", F.col("body")), min_pages, min_share).withColumn("common", F.lit(True)), "shared")
+    both = placed.join(first, ["host", "node", "digest"], "left")
+    own = F.sum(F.when(F.col("common").isNull(), F.col("size")).otherwise(0))
+    # an order-free digest of the page's shared values
+    common = F.bit_xor(F.when(F.col("common"), F.xxhash64("node", "digest")))
+    votes = both.groupBy("host", "body").agg(own.alias("own"), F.sum("size").alias("all"), common.alias("same"))
+    votes = votes.where(F.col("own") < min_own * F.col("all")).select("host", "body", "same")
+    voted = placed.join(votes, ["host", "body"], "left").withColumn("vote", F.coalesce("same", "body"))
+    return _shared(voted, min_pages, min_share).join(nodes, ["host", "node"]).select("host", "shape", "place", "digest")
 
 
 def extract_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.6) -> DataFrame:
