@@ -93,6 +93,19 @@ def test_near_equal_pages_are_no_template(spark):
     assert all(len(out[100 + i]) == 6 for i in range(30)) and all(len(out[200 + i]) == 5 for i in range(10))
 
 
+def test_names_of_single_pages_do_not_split_a_template(spark):
+    page = "<article id=post-{0} class='post post-{0} tag-a{0}'><p>story {0} of many words</p><p>more of {0}</p><div id=app-{0}><p>Read on our app</p></div></article>"
+    rows = [(i, "http://a.example/%d" % i, page.format(i)) for i in range(12)]
+    rows += [(100 + i, "http://b.example/%d" % i, "<article>" + "<div>" * (i % 9) + f"<p>own text {i}</p>" + "</div>" * (i % 9) + "<footer>f</footer><section><p>Read on</p></section></article>") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r for r in H.extract_text(pages).collect()}
+    assert all(out[i].text == f"story {i} of many words\nmore of {i}" for i in range(12))
+    assert all(out[100 + i].text == f"own text {i}" for i in range(90))
+    _, nodes, _ = H.induce(pages, fan=2)
+    assert nodes.where("host = 'b.example'").select("shape").distinct().count() == 9
+    assert nodes.where("host = 'b.example' and node like '0.%'").select("node").distinct().count() >= 9
+
+
 def test_empty_table_and_query(spark):
     assert H.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     out = H.op3_html_extract(spark, "/root/testdata/sf0.001").collect()

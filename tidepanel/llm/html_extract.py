@@ -1,7 +1,7 @@
 """HTML extraction (operator 3): wrapper induction over the pages of a host.
 
 1. Each page is parsed into a tree of block elements; siblings with equal structure fold into one repeated node. The folded tree is the page's skeleton.
-2. Per host, the distinct skeletons are aligned by simple tree matching and merged into one template tree, first in salted parts, then over the parts; a node carries the
+2. Per host, the distinct skeletons are aligned by simple tree matching and merged into one template tree, in a tree of tasks; a node carries the
    number of pages that have it. Every skeleton node maps to its template node.
 3. Every text block is a slot value of a template node. Values are counted per host, node and digest over all pages: a value that most pages of the host share is constant and
    becomes template; the rest of the node is a varying slot.
@@ -47,6 +47,7 @@ _CONTENT = frozenset(("article", "main"))
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_DIGIT = re.compile(r"[0-9]")
 DEPTH = 200
 
 
@@ -129,7 +130,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         content = node.content or tag in _CONTENT or "main" in names
         header = tag == "header" and not node.content
         dropped = node.dropped or tag in DROPPED or header or (tag not in ("html", "body", "article", "main") and not (_INNER if node.content else REGION).isdisjoint(tokens))
-        child = Node(".".join([tag, *sorted(set(names))]), node, dropped, content)
+        child = Node(".".join([tag, *sorted(set(_stable(m["attrs"])))]), node, dropped, content)
         node.children.append(child)
         node, depth = child, depth + 1
     if at < len(page):
@@ -138,6 +139,13 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     return root, blocks
 
 
+def _stable(attrs: str | None) -> list[str]:
+    """Class and role names that pages of a shape share: ids, and names with a digit, differ from page to page."""
+    if not attrs:
+        return []
+    return [a for x in _ATTR.finditer(attrs) if x[1].lower() != "id" for a in (x[2] or x[3] or x[4] or "").lower().split() if not _DIGIT.search(a)]
+
+
 def fold(node: Node) -> tuple:
     """Skeleton (name, children) of a node: children with equal skeletons fold into one."""
     kids = dict.fromkeys(fold(child) for child in node.children)
@@ -175,6 +183,12 @@ class Template:
     def __init__(self) -> None:
         self.names, self.pages, self.kids = [""], [0], [[]]
 
+    def copy(self) -> Template:
+        """For one more merge; a merge replaces lists of children and changes none."""
+        other = Template()
+        other.names, other.pages, other.kids = list(self.names), list(self.pages), list(self.kids)
+        return other
+
     def shape(self, n: int, memo: dict) -> tuple:
         if n not in memo:
             memo[n] = (self.names[n], tuple(self.shape(k, memo) for k in self.kids[n]))
@@ -278,46 +292,50 @@ def _merge_shapes(group: pa.Table) -> pa.Table:
 
 
 def _merge_parts(group: pa.Table) -> pa.Table:
-    """The parts of a host into its template."""
+    """Some trees of a host into one."""
     import ast
 
     template = Template()
-    for r in sorted(group.to_pylist(), key=lambda r: r["part"]):
+    rows = sorted(group.to_pylist(), key=lambda r: r["part"])
+    for r in rows:
         tree, weights = ast.literal_eval(r["tree"])
         template.merge(tree, weights)
-    return pa.table({"host": [group.column("host")[0].as_py()], "template": [repr(template.tree())]})
+    return pa.table({"host": [rows[0]["host"]], "tree": [repr(template.tree())], "part": pa.array([rows[0]["up"]], pa.int32())})
 
 
 def _map_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Template node of each place of each skeleton, as the alignment with the finished template gives it."""
+    """Template node of each place of each skeleton, as the alignment with the finished template gives it. A host's template is built once a task."""
     import ast
 
-    last, trees = None, None
+    last, base, back = None, None, None
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            if r["host"] != last:
-                last, trees = r["host"], ast.literal_eval(r["template"])
-            template = Template()
-            first = template.merge(trees[0], 0)
-            back = {n: p for p, n in first.items()}
-            for place, n in template.merge(ast.literal_eval(r["skeleton"]), 0).items():
+            if base is None or r["host"] != last:
+                last, base = r["host"], Template()
+                back = {n: p for p, n in base.merge(ast.literal_eval(r["template"])[0], 0).items()}
+            for place, n in base.copy().merge(ast.literal_eval(r["skeleton"]), 0).items():
                 out.append((r["host"], r["shape"], _place(place), _place(back.get(n, place))))
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["host", "shape", "place", "node"])
 
 
-def induce(pages: DataFrame, parts: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+def induce(pages: DataFrame, fan: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Templates (host, template), nodes (host, shape, place, node) and the profile of every page (host, shape, body, blocks).
 
-    A host's distinct skeletons are merged in `parts` salted groups first, so no task holds them all.
+    A host's distinct skeletons are merged in a tree: some `fan` of them in a task, then some `fan` of the results, until one is left.
     """
     ready = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
     profile = materialise(ready.mapInArrow(_profile, "host string, skeleton string, shape long, body long, blocks array<struct<place:string,digest:long,size:long>>"), "profile")
-    shapes = profile.groupBy("host", "shape").agg(F.first("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("pages")).withColumn("part", F.pmod("shape", F.lit(parts)).cast("int"))
-    shapes = materialise(shapes, "shapes")
-    merged = shapes.groupBy("host", "part").applyInArrow(_merge_shapes, "host string, tree string, part int")
-    templates = materialise(merged.groupBy("host").applyInArrow(_merge_parts, "host string, template string"), "templates")
+    shapes = materialise(profile.groupBy("host", "shape").agg(F.first("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("pages")), "shapes")
+    sizes = materialise(shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("parts")), "shape-parts")
+    parted = shapes.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int")).drop("parts")
+    trees = materialise(parted.groupBy("host", "part").applyInArrow(_merge_shapes, "host string, tree string, part int"), "trees")
+    left = sizes.agg(F.max("parts")).first()[0] or 0
+    while left > 1:
+        trees = materialise(trees.withColumn("up", F.floor(F.col("part") / fan).cast("int")).groupBy("host", "up").applyInArrow(_merge_parts, "host string, tree string, part int"), "trees")
+        left = -(-left // fan)
+    templates = trees.select("host", F.col("tree").alias("template"))
     nodes = shapes.join(templates, "host").select("host", "shape", "skeleton", "template").mapInArrow(_map_shapes, "host string, shape long, place string, node string")
     return templates, materialise(nodes, "nodes"), profile
 
@@ -351,29 +369,36 @@ def constants(nodes: DataFrame, profile: DataFrame, min_pages: int, min_share: f
 def extract_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.6) -> DataFrame:
     """page_id, url, text, n_chars, n_constant (blocks dropped as template) of every row of pages.
 
-    The last step reads the pages again and looks up the constants of their skeleton; these are few, and joined by the engine's own choice of strategy.
+    The last step reads the pages again and looks up the constants of their skeleton, joined by host and skeleton.
     """
     _, nodes, profile = induce(pages)
     fixed = constants(nodes, profile, min_pages, min_share)
 
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("place", pa.string()), ("digest", pa.int64()), ("text", pa.string())]))
+        for batch in batches:
+            own, blocks = [], []
+            for page in batch.column("html").to_pylist():
+                skeleton, found = content_blocks(page or "")
+                own.append(_digest(skeleton))
+                blocks.append([{"place": p, "digest": _digest(t), "text": t} for p, t in found])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "url", "host")] + [pa.array(own, pa.int64()), pa.array(blocks, kind)], names=["page_id", "url", "host", "shape", "blocks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, gone = [], [], []
-            for page, known in zip(batch.column("html").to_pylist(), batch.column("fixed").to_pylist(), strict=True):
-                skeleton, found = content_blocks(page or "")
-                kept = found
-                if known:
-                    own = _digest(skeleton)
-                    out = {(x["place"], x["digest"]) for x in known if x["shape"] == own}
-                    kept = [(p, t) for p, t in found if (p, _digest(t)) not in out]
-                texts.append("\n".join(t for _, t in kept))
+            for found, known in zip(batch.column("blocks").to_pylist(), batch.column("fixed").to_pylist(), strict=True):
+                out = {(x["place"], x["digest"]) for x in known or ()}
+                kept = [x["text"] for x in found if (x["place"], x["digest"]) not in out]
+                texts.append("\n".join(kept))
                 sizes.append(len(texts[-1]))
                 gone.append(len(found) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_constant"])
 
-    by_host = materialise(fixed.groupBy("host").agg(F.collect_list(F.struct("shape", "place", "digest")).alias("fixed")), "host-constants")
-    ready = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(by_host, "host", "left")
-    return ready.select("page_id", "url", "html", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_constant long")
+    by_shape = materialise(fixed.groupBy("host", "shape").agg(F.collect_list(F.struct("place", "digest")).alias("fixed")), "shape-constants")
+    ready = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    parsed = ready.mapInArrow(shapes, "page_id long, url string, host string, shape long, blocks array<struct<place:string,digest:long,text:string>>")
+    return parsed.join(by_shape, ["host", "shape"], "left").select("page_id", "url", "blocks", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_constant long")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
