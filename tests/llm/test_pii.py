@@ -48,6 +48,19 @@ def test_context_finds_what_the_patterns_miss(spark):
     assert out[100].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_context_with_a_fifth_of_unseen_numbers(spark):
+    rows = [(i, f"text {i} call me at +1 (555) 010-{1000 + i} thanks a lot") for i in range(80)] + [(100 + i, f"call me at 555-01{10 + i}-77 thanks") for i in range(20)]
+    rows += [(200 + i, f"the order no +1 555 010 {2000 + i} came") for i in range(6)] + [(300 + i, f"the order no 555-02{10 + i}-88 came") for i in range(30)]
+    out = {r.doc_id: r.n_found for r in P.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[100 + i] == 1 for i in range(20)) and not any(out[300 + i] for i in range(30))
+
+
+def test_long_candidates_are_scored():
+    row = " ".join(f"555-01{i}-77" for i in range(10, 40))
+    found = [f for f in P.mentions(f"call me at {row} or {'a' * 200}@host x")[1] if f[0] < 0]
+    assert sum(bool(f[4] & 8) for f in found) == 30 and any(f[4] & 1 for f in found)
+
+
 def test_rows_stay(spark):
     assert P.find_pii(documents(spark)).count() == 36
     assert P.find_pii(documents(spark).limit(0)).count() == 0

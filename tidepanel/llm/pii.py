@@ -1,8 +1,9 @@
 """PII (operator 8): base patterns of four kinds as seeds, and bootstrapped contextual extraction for what they miss.
 
 One pass over the whole texts finds the base spans and, elsewhere, candidates (digit groups, tokens with @). Every mention of either has lexical
-patterns: the words around it. Spark then scores the pattern-instance graph: a pattern's score for a kind is the mean confidence of its distinct instances,
-seeds counting 1; an instance's confidence is the noisy-or over its accepted patterns; a few rounds. Candidates next to an accepted pattern (enough seeds,
+patterns: the words around it. Spark then scores the pattern-instance graph: a pattern's score for a kind is the confidence of its distinct instances
+over that plus its conflicts (seeds of other kinds, candidates of unfitting shape), seeds counting 1; fitting candidates that nothing is known of are
+no conflict, but less than half of the fitting instances; an instance's confidence is the noisy-or over its accepted patterns; a few rounds. Candidates next to an accepted pattern (enough seeds,
 high score, fitting shape) become spans of its kind. Base spans always stay.
 
 Cases: null text has no spans; an empty table gives an empty result; repeated rows are scanned each, and count as one instance in the graph; ties between
@@ -27,6 +28,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9][0-9 ().-]*[0-9](?![0-9A-Za-z])")
+_GROUP = re.compile(r"[0-9][0-9().-]*[0-9]")
 _AT = re.compile(r"[^\s@]*@[^\s@]*")
 _EDGE = ".,;!?()[]{}<>\"'"
 _DIGIT = re.compile("[0-9]")
@@ -94,13 +96,18 @@ def mentions(text: str) -> tuple[list, list]:
     found = [(k, s, e, text[s:e].lower(), 0, _patterns(text, s, e)) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
     i = 0
-    places = [(m.start(), m.end()) for m in _NUMBER.finditer(text)] if _DIGIT.search(text) else []
+    places = []
+    for m in _NUMBER.finditer(text) if _DIGIT.search(text) else ():
+        if m.end() - m.start() <= 128:
+            places.append((m.start(), m.end()))
+        else:  # a row of numbers: each is a candidate
+            places += [(g.start(), g.end()) for g in _GROUP.finditer(text, m.start(), m.end())]
     if "@" in text:
         places += [(m.start(), m.end()) for m in _AT.finditer(text)]
     for s, e in sorted(places):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if (i < len(taken) and taken[i][0] < e) or e - s > 128:
+        if i < len(taken) and taken[i][0] < e:
             continue
         bits = _fits(text[s:e])
         if bits and (near := _patterns(text, s, e)):
@@ -123,21 +130,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, base_kind), pa.array(founds, found_kind)], names=["doc_id", "base", "found"])
 
 
-def accepted_patterns(each: DataFrame, rounds: int = 3, min_seeds: int = 5, min_score: float = 0.9) -> DataFrame:
+def accepted_patterns(each: DataFrame, rounds: int = 3, min_seeds: int = 5, min_score: float = 0.9, min_known: float = 0.5) -> DataFrame:
     """pattern, kind, score of the accepted patterns. each: kind, inst, bits, pattern of every mention.
 
     min_seeds: distinct seed instances a pattern needs. Only patterns with so many seeds, and their instances, enter the rounds.
+    min_known: confidence a pattern needs as a share of its fitting instances, so that a few seeds do not carry a context of other numbers.
     """
     edges = each.groupBy("pattern", "inst").agg(F.max("kind").alias("kind"), F.max("bits").alias("bits"))
     seeded = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds)
     seeded = materialise(seeded, "seeded")
     graph = materialise(edges.join(seeded.select("pattern").distinct(), "pattern", "left_semi"), "graph")
-    total = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    kinds = graph.withColumnRenamed("kind", "own").join(seeded.select("pattern", "kind"), "pattern")
+    fits = F.when(F.col("own") >= 0, F.col("own") == F.col("kind")).otherwise(_fitting())
+    total = materialise(kinds.groupBy("pattern", "kind").agg(F.count_if(fits).alias("fit"), F.count_if(~fits).alias("against")), "evidence")
     sure = graph.where("kind >= 0").select("inst", "kind").distinct().withColumn("conf", F.lit(1.0))
     now = sure
     for step in range(rounds):
         mass = graph.select("pattern", "inst").join(now, "inst").groupBy("pattern", "kind").agg(F.sum("conf").alias("mass"))
-        best = seeded.join(mass, ["pattern", "kind"]).join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("score")).where(F.col("score") >= min_score)
+        scored = seeded.join(mass, ["pattern", "kind"]).join(total, ["pattern", "kind"]).where(F.col("mass") >= min_known * F.col("fit"))
+        best = scored.select("pattern", "kind", (F.col("mass") / (F.col("mass") + F.col("against"))).alias("score")).where(F.col("score") >= min_score)
         best = materialise(best, "patterns")
         if step + 1 < rounds:
             fresh = graph.where("kind < 0").select("pattern", "inst", "bits").join(best, "pattern").where(_fitting())
