@@ -53,6 +53,24 @@ def test_ranges_cover_selected_records_and_join_neighbours(spark):
     assert sorted(r.page_id for r in A.read_records(wanted).collect()) == [*range(20), *range(51, 60)]
 
 
+def test_one_id_with_several_payloads(spark):
+    rows = [(1, "u", "x"), (5, "u", "x"), (5, "u", "other!!!"), (5, "u", "y"), (7, "u", "y"), (7, "u", "other!!!"), (2, "u", "y")]
+    out = A.read_records(A.write_archives(pages(spark, rows), scratch_path(spark, "t"))).collect()
+    got = sorted((r.page_id, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to or 0) for r in out)
+    want = []
+    for i, _, h in rows:
+        first = min(j for j, _, g in rows if g == h)
+        want.append((i, A.base32_sha1(h.encode()), len(h), "response" if first == i else "revisit", 0 if first == i else first))
+    assert got == sorted(want)
+    assert {r.payload for r in out if r.record_type == "response"} == {b"x", b"other!!!", b"y"}
+
+
+def test_reading_is_spread_over_tasks(spark):
+    rows = [(i, f"http://h/{i}", f"{i} {uuid.uuid4()}" * 20) for i in range(200)]
+    index = A.write_archives(pages(spark, rows).repartition(2), scratch_path(spark, "t"))
+    assert A.read_records(index, range_bytes=1000, max_gap=0).rdd.getNumPartitions() >= 4
+
+
 def test_smaller_payloads_are_responses(spark):
     out = {r.page_id: r.record_type for r in A.read_records(A.write_archives(pages(spark), scratch_path(spark, "t"), min_bytes=9)).collect()}
     assert out[2] == "response" and out[5] == "response"

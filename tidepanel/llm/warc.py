@@ -7,8 +7,9 @@ Reading: index rows are sorted by offset within each archive (whose size is boun
 read at once and parsed; response payloads are checked against their digest.
 
 Cases: null html is an empty payload; a null url gives a record without target URI (control characters of others are percent-encoded in the header, the index keeps the url as it is);
-repeated rows with the smallest id are all responses; a page with a null id is a response and is never referred to; empty tables give
-an empty index and no archive; columns other than the three are not read.
+repeated rows with the smallest id are all responses (and repeat their record id, as the same record); rows that share an id but not a payload are records of
+their own (ids hold the payload's digest); a page with a null id is a response and is never referred to; empty tables give an empty index and no archive; columns
+other than the three are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import scratch_path, table
@@ -50,12 +51,12 @@ def _record(page_id, url, payload: bytes, digest: str, size: int, refers_to, dat
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Date: {date}"]
-    head.append(f"WARC-Record-ID: <urn:page:{page_id}>" if page_id is not None else f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>")
+    head.append(f"WARC-Record-ID: <urn:page:{page_id}:{digest}>" if page_id is not None else f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -74,11 +75,17 @@ def parse_record(raw: bytes) -> dict:
     return found
 
 
+def _identity() -> list[Column]:
+    """SHA-1 and length of the payload."""
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    return [F.unhex(F.sha1(payload.cast("binary"))).alias("digest"), F.octet_length(payload).alias("size")]
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to of the pages that repeat another page's payload. Ids and digests are shuffled, no html."""
-    keyed = pages.select("page_id", F.unhex(F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))).alias("digest"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("size"))
+    """page_id, digest, size, refers_to of the payloads that repeat one of a smaller id. Ids and digests are shuffled, no html."""
+    keyed = pages.select("page_id", *_identity())
     groups = keyed.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keyed.join(groups, ["digest", "size"]).where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return keyed.join(groups, ["digest", "size"]).where("page_id > refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = 64 << 20, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
@@ -116,7 +123,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
             out.close()
 
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
-    ready = pages.select("page_id", "url", html).join(revisits(pages), "page_id", "left")
+    again = revisits(pages).select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), F.col("size").alias("__size"), "refers_to")
+    same = (F.col("page_id") == F.col("__id")) & (F.col("digest") == F.col("__digest")) & (F.col("size") == F.col("__size"))
+    ready = pages.select("page_id", "url", html, *_identity()).join(again, same, "left").select("page_id", "url", "payload", "refers_to")
     index = f"{folder}/index"
     ready.mapInArrow(write, INDEX_SCHEMA).write.parquet(index)
     return pages.sparkSession.read.schema(INDEX_SCHEMA).parquet(index)
@@ -136,7 +145,10 @@ def plan_ranges(index: DataFrame, range_bytes: int = 8 << 20, max_gap: int = 64
 
 
 def read_records(index: DataFrame, with_payload: bool = True, range_bytes: int = 8 << 20, max_gap: int = 64 << 10) -> DataFrame:
-    """Reads the selected records by coalesced ranges and parses them. A response whose payload differs from its digest raises."""
+    """Reads the selected records by coalesced ranges and parses them. A response whose payload differs from its digest raises.
+
+    The ranges are dealt out by the archive bytes behind them (known from the index), not by the size of their few index rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -150,7 +162,7 @@ def read_records(index: DataFrame, with_payload: bool = True, range_bytes: int =
                 for m in x["members"]:
                     at = m["offset"] - x["start"]
                     found = parse_record(zlib.decompress(data[at : at + m["length"]], 31))
-                    number = lambda key: int(v[1]) if (v := re.fullmatch(r"<urn:page:(-?\d+)>", found.get(key, ""))) else None  # noqa: E731, B023
+                    number = lambda key: int(v[1]) if (v := re.fullmatch(r"<urn:page:(-?\d+):[A-Z2-7]+>", found.get(key, ""))) else None  # noqa: E731, B023
                     digest, size = found["warc-payload-digest"].removeprefix("sha1:"), found["http_length"]
                     if found["warc-type"] == "response":
                         size = len(found["payload"])
@@ -159,7 +171,9 @@ def read_records(index: DataFrame, with_payload: bool = True, range_bytes: int =
                     rows.append((number("warc-record-id"), found.get("warc-target-uri"), found["warc-type"], number("warc-refers-to"), size, digest, found["payload"] if with_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
 
-    return plan_ranges(index, range_bytes, max_gap).mapInArrow(read, RECORD_SCHEMA)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * range_bytes)))
+    return plan_ranges(index, range_bytes, max_gap).repartition(tasks, "archive", "start").mapInArrow(read, RECORD_SCHEMA)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
