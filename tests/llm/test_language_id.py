@@ -27,6 +27,18 @@ def test_edge_texts():
     assert labels[3:5] == ["en", "de"] and labels[6] == "en"
 
 
+def test_letters_are_unicode_letters():
+    assert [L.has_letter(t) for t in (None, "", "½ ² ① Ⅷ 12_", "½a", "的", "ª", "é")] == [False, False, False, True, True, True, True]
+    labels, scores, rejected = model().predict(["½ ①", "Ⅷ 4"])
+    assert labels == ["und", "und"] and scores.tolist() == [0, 0] and rejected.all()
+
+
+def test_texts_that_share_an_id_train_repeatably(spark):
+    docs = spark.createDataFrame([(1, f"the number {i}", "en") for i in range(60)] + [(2, "der hund", "de")], "doc_id long, text string, lang string")
+    a, b = L.fit(docs, F.lit(True), steps=50), L.fit(docs.repartition(5), F.lit(True), steps=50)
+    assert np.array_equal(a.weights, b.weights)
+
+
 def test_score_does_not_depend_on_the_batch():
     m = model()
     texts = ["the dog", "der hund", "cat and house " * 1000, "x"]

@@ -8,7 +8,7 @@ of right answers, both on a part of the sample that training did not see.
 Training sample: at most `sample` rows (parameter), those with the smallest hash of their id among rows that have a label and a text with a letter.
 
 Cases: null text or text without a letter is `und`, score 0, rejected; an empty table, or one without labels, learns nothing: every row is `und` then;
-one label only predicts that label; repeated rows are predicted each; ties go to the label that sorts first; other columns are not read.
+one label only predicts that label; repeated rows are predicted each; of rows that share an id the least (text, label) is learned from; letters are the Unicode categories L; ties go to the label that sorts first; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ from tidepanel.llm.common import table
 UND = "und"
 ORDERS = (1, 2, 3, 4)
 PAD = ORDERS[-1] - 1
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character of the Unicode categories L is in text; number signs such as U+00BD and U+2460 are none."""
+    return bool(text) and any(m[0].isalpha() for m in _WORDY.finditer(text))
 
 
 def buckets_of(data: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -170,7 +171,8 @@ def fit(docs: DataFrame, eligible: Column, sample: int = 4000, id_col: str = "do
     """Trains on at most `sample` eligible rows: those with the smallest hash of their id. Ids are chosen first, then only the chosen texts move."""
     usable = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("__id"), text_col, lang_col)
     chosen = usable.select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = usable.join(F.broadcast(chosen), "__id", "left_semi").dropDuplicates(["__id"]).collect()  # bounded by `sample` rows
+    picked = usable.join(F.broadcast(chosen), "__id", "left_semi").groupBy("__id").agg(F.min(F.struct(text_col, lang_col)).alias("r"))
+    rows = picked.select("__id", "r.*").collect()  # bounded by `sample` rows
     rows = sorted((r for r in rows if has_letter(r[text_col])), key=lambda r: str(r["__id"]))
     return train([r[text_col] for r in rows], [r[lang_col] for r in rows], **options)
 
