@@ -45,6 +45,37 @@ def test_index_holds_across_batches(spark):
     assert at.rows().count() == 3
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_whole_table_goes_through_the_index_in_batches(spark, batches):
+    rows = [*CASES, *[(20 + i, "ab" if i % 3 else f"n{i}") for i in range(30)]]
+    at = index(spark)
+    got = E.dedup_table(docs(spark, rows), at, batches=batches).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert at.rows().select("batch").distinct().count() == batches and at.rows().count() == len({r[4] for r in brute(rows)})
+    assert E.dedup_table(docs(spark, []), index(spark)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "a"), (3, "A"), (None, "b"), (None, "B")]
+    for got in (E.dedup_table(docs(spark, rows), index(spark)), E.exact_dedup(docs(spark, rows), index(spark))):
+        out = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got.collect())
+        assert out == [(0, 0, 2, False), (0, 0, 2, False), (0, 3, 2, False), (3, 3, 2, True)]
+
+
+def test_anti_join_decides_in_the_query(spark):
+    at = index(spark)
+    E.dedup_table(docs(spark, CASES), at, batches=2).collect()
+    plan = at.unseen(E.digest_groups(docs(spark, CASES)))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan
+
+
+def test_buckets_grow_with_the_first_batch_and_stay(spark):
+    name = f"t_{uuid.uuid4().hex}"
+    at = E.DigestIndex(spark, name, bucket_rows=2)
+    E.exact_dedup(docs(spark, [(i, str(i)) for i in range(50)]), at).collect()
+    assert at.buckets == 32 and E.DigestIndex(spark, name).buckets == 32
+
+
 def test_index_is_bucketed_and_its_scan_is_not_shuffled(spark):
     at = index(spark)
     E.exact_dedup(docs(spark, [(i, str(i)) for i in range(50)]), at).collect()
