@@ -49,10 +49,13 @@ def test_policy_and_ablations(spark):
 
 def test_empty_table_and_no_python(spark):
     assert Q.measurements(docs(spark, ["a"]).limit(0)).count() == 0
-    plan = Q.op2_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    rules = Q.standard_rules()
+    for df in (Q.op2_quality_rules(spark, "/root/testdata/sf0.001"), Q.ledger(Q.measurements(docs(spark, ["a"])), rules)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_matches_sql(spark, sf):
+    assert_same(Q.quality_ablations(spark, f"/root/testdata/{sf}"), connect(f"/root/testdata/{sf}"), Q.ABLATIONS_ORACLE)
     assert_same(Q.op2_quality_rules(spark, f"/root/testdata/{sf}"), connect(f"/root/testdata/{sf}"), Q.ORACLE)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import SPACES, WORD, table
+from tidepanel.llm.common import SPACES, WORD, materialise, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -122,9 +122,19 @@ def ablations(rows: DataFrame, rules: list[Rule], version: str) -> DataFrame:
     return each.groupBy("rule").agg(count(has).alias("n_failed"), count(alone).alias("n_failed_alone"), count(F.col("b") == 0).alias("n_kept"), count((F.col("b") == 0) | alone).alias("n_kept_without"))
 
 
+def stored_ledger(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The ledger of docs, written to the shared folder: policies and ablations read its bits and evaluate no rule again."""
+    return materialise(ledger(measurements(docs), rules), "ledger")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = standard_rules()
+    return ablations(stored_ledger(table(spark, sf_dir, "documents"), rules), rules, "v1")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = standard_rules()
-    rows = apply_policy(ledger(measurements(table(spark, sf_dir, "documents")), rules), rules, "v1")
+    rows = apply_policy(stored_ledger(table(spark, sf_dir, "documents"), rules), rules, "v1")
     base = F.col("failed_bits").bitwiseAND(F.lit(mask(rules, BASE))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "failed_bits")
 
@@ -147,3 +157,10 @@ b AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, failed_bits = 0 AS kept, n_lines, failed_bits FROM b
 """
+
+ABLATIONS_ORACLE = f"""
+WITH q AS ({ORACLE.strip()}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {1 << i})" for i, name in enumerate(POLICIES["v1"]))})
+SELECT rule, CAST(count(*) FILTER (failed_bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed_bits = bit) AS BIGINT) AS n_failed_alone,
+       CAST(count(*) FILTER (failed_bits = 0) AS BIGINT) AS n_kept, CAST(count(*) FILTER (failed_bits IN (0, bit)) AS BIGINT) AS n_kept_without
+FROM q, r GROUP BY rule
+"""

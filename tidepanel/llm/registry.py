@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "quality_ablations": quality_rules.quality_ablations,
         "op3_html_extract": html_extract.op3_html_extract,
         "op4_language_id": language_id.op4_language_id,
         "op5_sentencepiece": pieces.op5_sentencepiece,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op2_quality_rules": quality_rules.ORACLE,
+        "quality_ablations": quality_rules.ABLATIONS_ORACLE,
         "op9_jaccard_join": jaccard_join.ORACLE,
     }
