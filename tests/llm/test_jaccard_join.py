@@ -67,17 +67,64 @@ def test_against_brute_force(spark, seed, crowd, block):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
-def test_similar_sets_share_signatures():
-    rng = np.random.default_rng(0)
-    for size in (1, 2, 5, 17, 64, 65, 100, 256, 300, 1000):
-        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-        cut = rng.integers(0, size // 4 + 1)
-        b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, max(0, size // 4 - cut)).astype(np.uint64)]))
-        if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
-            o, h = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
-            t, ends, share, crowded, _ = J.enumerate_signatures(o, h, 2, np.zeros(0, np.uint64), 6)
-            assert not crowded.any()
-            assert len(np.intersect1d(t[: ends[1]], t[ends[1] :])) >= min(share)
+def random_pair(rng, size):
+    a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+    drop = int(rng.integers(0, size // 4 + 1))
+    cut = rng.permutation(a)[drop:]
+    b = np.unique(np.concatenate([cut, rng.integers(0, 1 << 63, int(rng.integers(0, size // 3 + 1))).astype(np.uint64)]))
+    return a, b, 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 7, 9, 12, 17, 24, 40, 64, 100, 300, 1000, 5000])
+def test_similar_sets_agree_in_more_partitions_than_either_spares(size):
+    rng = np.random.default_rng(size)
+    seen = 0
+    for _ in range(60):
+        a, b, similar = random_pair(rng, size)
+        t, ends, left = J.signatures(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
+        shared = np.intersect1d(t[: ends[1]], t[ends[1] :])
+        if similar:
+            seen += 1
+            part = shared & np.uint64(J.PART)
+            enough = [len(np.unique(part[(part != J.PART) & (part >> np.uint64(19) == k)])) > max(left[0, k], left[1, k]) >= 0 for k in (0, 1)]
+            assert any(enough) or (part == J.PART).any()
+    assert seen
+
+
+def test_signatures_are_subsets_of_parts_and_differ_by_band():
+    a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2))
+    t, ends, left = J.signatures(np.zeros(100, np.int64), a, 1)
+    k, k2, n2, spare, n1 = J.PARAMETERS[np.searchsorted(J.BANDS, 100)]
+    assert (k2, n2) == (1, 3) and (left >= 0).all() and len(t) == ends[1] and len(np.unique(t)) == len(t)
+    both = [len(np.unique(t[(t >> np.uint64(19)) & np.uint64(1) == p])) for p in (0, 1)]
+    assert all(0 < n <= 3 * n1 for n in both)
+
+
+def test_common_counts_are_exact_beyond_single_precision():
+    n = 700_000
+    h = np.arange(n, dtype=np.uint64)
+    both = np.concatenate([h, h[: n * 3 // 4]])
+    owner = np.repeat([0, 1], [n, n * 3 // 4])
+    assert J._block_links(owner, both, np.array([n, n * 3 // 4])) == [(0, 1)]
+    assert J._block_links(owner[:-1], both[:-1], np.array([n, n * 3 // 4 - 1])) == []
+
+
+@pytest.mark.parametrize("parts", [1, 60])
+def test_a_signature_that_all_documents_hold(spark, parts):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} a{i} b{i} c{i % 7}") for i in range(90)] + [(100 + i, f"x{i} y{i} {passage} " + " ".join(f"z{i}q{j}" for j in range(40))) for i in range(90)]
+    rows += [(500, " ".join(f"z3q{j}" for j in range(40)) + " tail"), (501, " ".join(f"z3q{j}" for j in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    for options in ({}, {"crowd": 5, "block_sets": 16, "pivots": 0}, {"crowd": 5, "block_sets": 16, "pivots": 3}):
+        assert sorted(tuple(r) for r in J.jaccard_components(df, **options).collect()) == brute(rows)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    w = " ".join(f"w{i}" for i in range(30))
+    v = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, w), (2, w + " x"), (2, v), (3, v + " y"), (4, v), (None, w), (None, "a b")]
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 26, 1), (2, 27, 1), (2, 26, 1), (3, 27, 1), (4, 26, 1), (0, 26, 1), (0, 1, None)], key=str)
 
 
 def test_empty_table_keep_one_and_long_text(spark):

@@ -1,37 +1,36 @@
 """N-gram Jaccard join (operator 9): PartEnum signatures over sets of word shingles, exact links, components.
 
-Two sets with a Jaccard similarity of 3/4 or more differ in at most (|A| + |B|) / 7 features. Sets of similar size share a band; in a band the
-feature domain is cut into n partitions, so similar sets agree on all partitions but k. A signature is a partition's number with the features
-of the set in it; a set enumerates those of its first k + l non-empty partitions (single partitions as subsets: the enumeration with the
-fewest signatures for these k), so two similar sets share l signatures at least. Sets near a band's lower end also enumerate in the band below.
+Two sets with a Jaccard similarity of 3/4 or more differ in at most (|A| + |B|) / 7 features. Sets of similar size share a band (its upper end is 4/3 of its lower
+end); sets near a lower end also enumerate in the band below, so similar sets meet in one band at least. A band with at most K differences cuts the feature domain into
+n1 partitions and each of these into n2 parts; a partition with at most k2 differences agrees on n2 - k2 parts, so its signatures are all subsets of n2 - k2 parts,
+with the features in them. A set enumerates its first k // (k2 + 1) + 1 + s partitions (k: its own differences), so similar sets agree in 1 + s partitions.
 
-Hot signatures (those of passages that many documents share) are counted beforehand and skipped: a set takes the next partitions instead, which
-keeps the guarantee as long as it has k + 1 others. Sets that have not (near copies in large groups) are joined among themselves in blocks:
-they are grouped by shared features, each group's sets are dealt to blocks of bounded size, and each pair of blocks is joined in a task that returns
-a spanning forest of its links. Any choice of hot signatures gives the same, exact links; the choice only moves work.
+A signature without features says nothing, and one that more than `crowd` sets hold (passages that many documents share, large groups of near copies) is hot. A set
+whose partitions with such signatures are s at most loses no link without them. Others are handled apart: sets with too many empty subsets ("thin", short ones
+as a rule) also meet on the first features of their sorted sets, as prefix filtering does; sets with too many hot signatures are joined among themselves in blocks, after those
+that are similar to a pivot of their group have been set aside. Signatures are counted over all sets, by one shuffle that also drops those of one set alone.
 
-Equal sets are one node, so exact copies cost one row each. Candidates are verified on the full sets.
+Equal sets are one node, so exact copies cost one row each. Candidates are verified on the full sets: any choice of parameters gives the same, exact links.
 
 Cases: null, empty and blank texts have an empty set, no link, and are their own component; a text with one to four words is one shingle; ties have no
-meaning here (a component's id is its smallest doc_id); rows that share a doc_id are one node for links, with the size and component of each row's own set; a null doc_id takes the component of an equal set with an id, else null;
-an empty table gives an empty result; other columns are not read.
+meaning here (a component's id is its smallest doc_id); rows that share a doc_id are one document for links, with the size of each row's own set; a null doc_id links nothing and takes the
+component of an equal set with an id, else null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import materialise, table
 from tidepanel.llm.components import connected_components
 
 WIDTH = 5
-#: Upper ends of the size bands; sets up to the first are split into single features.
-BANDS = [64 * 4**i for i in range(20)]
 _K = np.uint64(0x9E3779B97F4A7C15)
 _KINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -91,57 +90,84 @@ def max_difference(size: np.ndarray) -> np.ndarray:
     return (size + size * 4 // 3) // 7
 
 
-def partition_tokens(owner: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures: number of the text, band, and hash of (band, partition, features in it), by text, band and partition."""
-    size = np.bincount(owner, minlength=n_texts)
-    own = np.searchsorted(BANDS, np.maximum(size, 1))
-    low = np.concatenate([[0], BANDS])[own] + 1  # smallest size of the band
+def _bands() -> np.ndarray:
+    """Upper ends of the size bands: 1, 2, 4, 6, 9, 13, ... (4/3 of the lower end)."""
+    ends = [1]
+    while ends[-1] < 1 << 40:
+        ends.append((ends[-1] + 1) * 4 // 3)
+    return np.array(ends, np.int64)
+
+
+BANDS = _bands()
+
+
+def _parameters() -> np.ndarray:
+    """By band: K (differences), k2, n2, s, n1. Small bands have one or two partitions with many parts, others pairs of parts of three."""
     out = []
-    for extra in (False, True):
-        # a similar set may be as small as 3/4 of this one
-        chosen = size > 0 if not extra else (own > 0) & (-(-size * 3 // 4) < low)
-        band = own - extra
-        pick = chosen[owner]
-        o, x = owner[pick], h[pick]
-        b = band[o]
-        n = np.array(BANDS, np.uint64)[b]
-        part = np.where(b == 0, x, ((x >> np.uint64(32)) * n) >> np.uint64(32))
-        head = np.ones(len(o), bool)
-        head[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(head)
-        total = np.add.reduceat(x, at) if len(at) else x
-        out.append((o[at], b[at], _mix(total + part[at] * _K + _mix(b[at].astype(np.uint64) + np.uint64(17)))))
-    o, b, t = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.argsort(o * 64 + b, kind="stable")
-    return o[order], b[order], t[order]
-
-
-def enumerate_signatures(owner: np.ndarray, h: np.ndarray, n_texts: int, hot: np.ndarray, spare: int) -> tuple[list, list, np.ndarray]:
-    """Per text: its signatures, how many of them a similar set shares at least, and whether hot ones leave too few."""
+    for k in max_difference(BANDS):
+        k2, n2 = {0: (0, 1), 1: (1, 3), 2: (2, 5), 3: (3, 6), 4: (2, 5), 5: (2, 5)}.get(int(k), (1, 3))
+        least = int(k) // (k2 + 1) + 1
+        spare = 0 if k < 6 else max(1, -(-least // 4))
+        out.append((int(k), k2, n2, spare, least + spare))
+    return np.array(out, np.int64)
+
+
+PARAMETERS = _parameters()
+#: Low bits of a signature: the band's parity and the partition, or all ones for a thin set's feature.
+PART = (1 << 20) - 1
+_PARTS = PART >> 1
+
+
+def signatures(owner: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures by text (values, ends), and by text and band parity the partitions beyond those with an empty subset that it can spare.
+
+    owner, h: as shingle_sets gives them. Spare counts under 0 mark thin sets; a parity in which the text has no signature has the least number.
+    """
     size = np.bincount(owner, minlength=n_texts)
-    k = max_difference(size)
-    o, b, t = partition_tokens(owner, h, n_texts)
-    if len(hot):
-        cold = hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] != t
-        o, b, t = o[cold], b[cold], t[cold]
-    group = o * 64 + b
-    at = np.flatnonzero(np.diff(group, prepend=-1))
-    n = np.diff(np.append(at, len(group)))
-    few = np.full(n_texts, 1 << 30)
-    np.minimum.at(few, o[at], n)
-    wants_two = np.zeros(n_texts, bool)
-    seen = np.bincount(o[at], minlength=n_texts)
     own = np.searchsorted(BANDS, np.maximum(size, 1))
-    low = np.concatenate([[0], BANDS])[own] + 1
-    wants_two = (own > 0) & (-(-size * 3 // 4) < low)
-    few[seen < 1 + wants_two] = 0
-    share = np.minimum(spare, few - k)
-    crowded = (share < 1) & (size > 0)
-    rank = np.arange(len(t)) - np.repeat(at, n)
-    take = crowded[o] | (rank < k[o] + share[o])
-    o, t = o[take], t[take]
-    ends = np.searchsorted(o, np.arange(n_texts + 1))
-    return t, ends, np.where(crowded, 1, share), crowded, size
+    left = np.full((n_texts, 2), -(1 << 30), np.int64)
+    out_o, out_t = [], []
+    y = _mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    thin = np.zeros(n_texts, bool)
+    for below in (0, 1):
+        chosen = size > 0
+        if below:
+            chosen &= (own > 0) & (-(-size * 3 // 4) <= BANDS[own - 1])
+        band = own - below
+        diff, k2, n2, spare, n1 = PARAMETERS[band].T
+        first = np.minimum(max_difference(size), diff) // (k2 + 1) + 1 + spare  # partitions enumerated
+        texts = np.flatnonzero(chosen)
+        left[texts, band[texts] & 1] = (spare - first)[texts]
+        for parts, drop in {(int(n2[t]), int(k2[t])) for t in texts}:
+            part = ((h >> np.uint64(32)) * n1.astype(np.uint64)[owner]) >> np.uint64(32)
+            pick = np.flatnonzero((chosen & (n2 == parts) & (k2 == drop))[owner] & (part < first.astype(np.uint64)[owner]))
+            if not len(pick):
+                continue
+            o, p, v = owner[pick], part[pick], y[pick]
+            at = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (p[1:] != p[:-1])]))
+            second = (v >> np.uint64(40)) % np.uint64(parts)
+            sums = [np.add.reduceat(np.where(second == np.uint64(j), v, np.uint64(0)), at) for j in range(parts)]
+            has = np.bitwise_or.reduceat(np.uint64(1) << second, at)
+            o, p = o[at], p[at]
+            parity = band[o] & 1
+            code = (parity.astype(np.uint64) << np.uint64(19)) | (p % np.uint64(_PARTS))
+            seed = _mix(p * _K + band[o].astype(np.uint64) + np.uint64(17))
+            full = np.ones(len(o), bool)
+            for number, subset in enumerate(combinations(range(parts), parts - drop)):
+                filled = (has & np.uint64(sum(1 << j for j in subset))) != 0
+                full &= filled
+                t = _mix(sum(sums[j] for j in subset) + seed + np.uint64(number << 32))
+                out_o.append(o[filled])
+                out_t.append(((t & ~np.uint64(PART)) | code)[filled])
+            np.add.at(left, (o[full], parity[full]), 1)
+        thin[texts] |= left[texts, band[texts] & 1] < 0
+    rank = np.arange(len(h)) - np.searchsorted(owner, owner)
+    pick = thin[owner] & (rank < (size - -(-size * 3 // 4) + 1)[owner])
+    out_o.append(owner[pick])
+    out_t.append(h[pick] | np.uint64(PART))
+    o, t = np.concatenate(out_o), np.concatenate(out_t)
+    order = np.argsort(o, kind="stable")
+    return t[order], np.searchsorted(o[order], np.arange(n_texts + 1)), left
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[list, list]]:
@@ -159,50 +185,43 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[
         yield ids, texts
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: size and digest of its set (token null). Per signature that several sets of a part hold: their number (doc_id null)."""
+def _digests(h: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
     import hashlib
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
-    held, known = [], set()
+    return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_SETS = "doc_id long, n_shingles long, digest binary, left_even int, left_odd int, sigs array<long>"
 
-    def counted() -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        tokens, n = tokens[n > 1].view(np.int64), n[n > 1]
-        none = pa.nulls(len(n), pa.int64())
-        held.clear()
-        known.clear()
-        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(n), pa.binary()), pa.array(tokens), pa.array(n)], schema=schema)
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the size, digest and signatures of its set; a task gives the signatures of equal sets once. Rows without an id or a word have none."""
+    known: set = set()
     for ids, texts in _chunks(batches):
         owner, h = shingle_sets(texts)
         size = np.bincount(owner, minlength=len(texts))
-        ends = np.concatenate([[0], np.cumsum(size)])
-        digests = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        digests = _digests(h, np.concatenate([[0], np.cumsum(size)]))
         fresh = np.zeros(len(texts), bool)
         for i, d in enumerate(digests):
-            if d is not None and d not in known:
+            if d is not None and ids[i] is not None and d not in known:
                 known.add(d)
                 fresh[i] = True
         pick = fresh[owner]
-        held.append(partition_tokens(owner[pick], h[pick], len(texts))[2])
-        none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size), pa.array(digests, pa.binary()), none, none], schema=schema)
-        if sum(map(len, held)) > 4_000_000:
-            yield counted()
-    if held:
-        yield counted()
+        t, ends, left = signatures(owner[pick], h[pick], len(texts))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.view(np.int64)))
+        columns = [pa.array(ids, pa.int64()), pa.array(size), pa.array(digests, pa.binary()), pa.array(left[:, 0].astype(np.int32)), pa.array(left[:, 1].astype(np.int32)), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SETS.split(", ")])
 
 
-def _block_links(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, cross: np.ndarray) -> list[tuple[int, int]]:
-    """Links between sets of different sides (or all, if one side) as a spanning forest, by counting common features."""
+def _block_links(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the sets of a block or of two as a spanning forest, by counting common features."""
     feature, index = np.unique(h, return_inverse=True)
     often = np.bincount(index, minlength=len(feature)) > 1
     new = np.cumsum(often) - 1
     pick = often[index]
     owner, index = owner[pick], new[index[pick]]
     m, total = len(sizes), int(often.sum())
-    common = np.zeros((m, m), np.float32)
+    common = np.zeros((m, m), np.int64)
     order = np.argsort(index, kind="stable")
     owner, index = owner[order], index[order]
     step = 4096
@@ -210,7 +229,7 @@ def _block_links(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, cross: np.
         a, b = np.searchsorted(index, [at, at + step])
         dense = np.zeros((m, min(step, total - at)), np.float32)
         dense[owner[a:b], index[a:b] - at] = 1
-        common += dense @ dense.T
+        common += (dense @ dense.T).astype(np.int64)  # 4096 at most, exact
     linked = 100 * common >= 75 * (sizes[:, None] + sizes[None, :] - common)
     parent = list(range(m))
 
@@ -227,96 +246,121 @@ def _block_links(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, cross: np.
     return forest
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, spare: int = 6, max_hot: int = 1_000_000, block_features: int = 200_000, block_sets: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, block_features: int = 200_000, block_sets: int = 256, pivots: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
-    crowd: a signature of more sets is hot. spare: signatures beyond k that similar sets must share. max_hot bounds the hot signatures that tasks hold (8 bytes each).
-    block_sets and block_features: size of a block of crowded sets.
+    crowd: a signature of more sets is hot. block_sets and block_features: size of a block of crowded sets. pivots: rounds of setting aside what is similar to one set of the group.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = materialise(texts.mapInArrow(_survey, "doc_id long, n_shingles long, digest binary, token long, n long"), "survey")
-    sets = survey.where("token is null").select("doc_id", "n_shingles", "digest")
-    firsts = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    copies = sets.join(firsts, "digest").where("doc_id <> node").select("doc_id").distinct()
-    counts = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > crowd)
-    hot = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "token").limit(max_hot).select("token").collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(hot)
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, part in _chunks(batches):
-            owner, h = shingle_sets(part)
-            t, ends, share, crowded, size = enumerate_signatures(owner, h, len(part), shared.value, spare)
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            first = np.where(crowded, size // 4 + 1, 0)  # of a crowded set, features of which a similar one has one at least
-            picks = np.repeat(starts, first) + np.arange(first.sum()) - np.repeat(np.cumsum(first) - first, first)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(share.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(h[picks].view(np.int64))),
-            ], names=["doc_id", "share", "sigs", "features"])
-
-    rows = texts.where("doc_id is not null").mapInArrow(signatures, "doc_id long, share int, sigs array<long>, features array<long>")
-    rows = rows.join(copies, "doc_id", "left_anti")
-    crowded = materialise(rows.where("size(features) > 0").select("doc_id", "features"), "crowded")
-    one = rows.select("doc_id", "share", F.explode("sigs").alias("sig"))
-    groups = one.groupBy("sig").agg(F.collect_list(F.struct("doc_id", "share")).alias("m")).where("size(m) > 1").select(F.array_sort(F.array_distinct("m")).alias("m"))
-    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b"), F.least(x["share"], y["share"]).alias("need")))))
-    pairs = groups.select(F.inline(pair)).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
-    pairs = materialise(pairs, "pairs")
-    links = _verified(texts, sets, pairs).union(_crowded_links(texts, crowded, block_features, block_sets))
+    sets = materialise(texts.mapInArrow(_sets, _SETS).withColumn("row", F.monotonically_increasing_id()), "sets")
+    distinct = sets.where("digest is not null and doc_id is not null").groupBy("digest")
+    nodes = distinct.agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("left_even").alias("left_even"), F.max("left_odd").alias("left_odd"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs, crowded = _candidates(sets, nodes, crowd)
+    full = _features(texts, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
+    apart = _features(texts, nodes.join(crowded.select("node").distinct(), "node", "left_semi"))
+    links = _verified(pairs, full).union(_crowded_links(crowded, apart, block_features, block_sets, pivots)).union(_same_document(sets, nodes))
     found = connected_components(links)
-    of_node = firsts.join(found.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("digest", F.coalesce("component", "node").alias("component"))
-    # several sets may share a doc_id; their smallest component holds them all
-    out = sets.join(of_node, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumnRenamed("doc_id", id_col)
-
-
-def set_rows(texts: DataFrame) -> DataFrame:
-    """doc_id, features (sorted array<long>) of each row."""
+    grouped = nodes.select("digest", "node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = materialise(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "components")
+    of_set = materialise(grouped.join(least, "component").select("digest", "component_id"), "set-components")
+    out = sets.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _candidates(sets: DataFrame, nodes: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that share enough signatures, and the crowded nodes with their hot signatures (node, sig)."""
+    each = sets.select("row", F.explode("sigs").alias("sig"))
+    several = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("sig", "row")
+    of = sets.where("size(sigs) > 0").select("row", "digest").join(nodes.select("digest", "node"), "digest").select("row", "node")
+    shared = materialise(several.join(of, "row").select("sig", "node").distinct(), "signatures")
+    counts = materialise(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signature-counts")
+    part = F.col("sig").bitwiseAND(F.lit(PART))
+    key = F.when(part == PART, F.lit(2)).otherwise(F.shiftright(part, 19)).cast("int")
+    hot = materialise(shared.join(counts.where(F.col("n") > crowd).select("sig"), "sig").select("sig", "node", key.alias("key")), "hot")
+    weak = hot.groupBy("node", "key").agg(F.count_distinct(part).alias("weak"))
+    spare = nodes.select("node", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("key"), c.alias("left")) for i, c in enumerate((F.col("left_even"), F.col("left_odd"), F.lit(0)))])).alias("x")).select("node", "n", "x.*")
+    spare = materialise(spare.join(weak, ["node", "key"], "left").select("node", "n", "key", (F.col("left") - F.coalesce("weak", F.lit(0))).alias("left")), "spare")
+    crowded = materialise(hot.join(spare.where("left < 0").select("node", "key"), ["node", "key"]).select("node", "sig"), "crowded")
+    cold = materialise(shared.join(counts.where(F.col("n") <= crowd).select("sig"), "sig"), "cold")  # `crowd` rows a signature at most
+    met = cold.select("sig", F.col("node").alias("a")).join(cold.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b", part.alias("part"), key.alias("key"))
+    agreed = met.repartition("a", "b").groupBy("a", "b", "key").agg(F.count_distinct("part").alias("agreed"))
+    side = lambda c: spare.select(F.col("node").alias(c), "key", F.col("left").alias(f"left_{c}"), F.col("n").alias(f"n_{c}"))
+    fits = agreed.join(side("a"), ["a", "key"]).join(side("b"), ["b", "key"]).where("agreed > greatest(left_a, left_b, 0) and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    return materialise(fits.select("a", "b").distinct(), "pairs"), crowded
+
+
+def _features(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, features (sorted array<long>) of the wanted nodes, shingled from their first document again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in _chunks(batches):
             owner, h = shingle_sets(part)
-            ends = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["doc_id", "features"])
+            ends = np.searchsorted(owner, np.arange(len(part) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_digests(h, ends), pa.binary()), lists], names=["doc_id", "digest", "features"])
 
-    return texts.mapInArrow(run, "doc_id long, features array<long>")
+    keys = wanted.select(F.col("first_id").alias("doc_id"), "digest", "node")
+    rows = texts.join(keys.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, digest binary, features array<long>")
+    return materialise(rows.join(keys, ["doc_id", "digest"]).select("node", "features"), "features")
 
 
-def _verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar."""
-    size = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("s"), F.min("n_shingles").alias("s0"))
-    fits = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), F.col("s0").alias("sa0")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"), F.col("s0").alias("sb0")), "b")
-    fits = fits.where("4 * sa >= 3 * sb0 and 4 * sb >= 3 * sa0").select("a", "b")
-    wanted = fits.select(F.col("a").alias("doc_id")).union(fits.select("b")).distinct()
-    full = materialise(set_rows(texts.join(wanted, "doc_id", "left_semi")), "sets")
-    both = fits.join(full.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-    common = F.size(F.array_intersect("fa", "fb"))
-    counted = both.select("a", "b", (F.size("fa") + F.size("fb")).alias("sum"), common.alias("common"))
-    return counted.where("100 * common >= 75 * (sum - common)").select("a", "b")
-
-
-def _crowded_links(texts: DataFrame, crowded: DataFrame, block_features: int, block_sets: int) -> DataFrame:
-    """Links among crowded sets: grouped by shared features, joined block by block."""
-    each = crowded.select("doc_id", F.explode("features").alias("f"))
-    low = each.groupBy("f").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = connected_components(each.join(low, "f").select("doc_id", "low").where("doc_id <> low").distinct(), "doc_id", "low")
-    full = materialise(set_rows(texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "crowded-sets")
-    dealt = full.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    sizes = dealt.groupBy("component").agg(F.greatest(F.ceil(F.sum(F.size("features")) / block_features), F.ceil(F.count(F.lit(1)) / block_sets)).cast("int").alias("blocks"))
-    dealt = dealt.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("component", "own", "doc_id", "features", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "features")
+    both = pairs.join(full.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
+    return both.select("a", "b", _similar("fa", "fb").alias("similar")).where("similar").select("a", "b")
+
+
+def _similar(a: str, b: str) -> F.Column:
+    """100 * common >= 75 * (|a| + |b| - common), with common computed once."""
+    sizes = (F.size(a) + F.size(b)).cast("long")
+    return 175 * F.size(F.array_intersect(a, b)).cast("long") >= 75 * sizes
+
+
+def _same_document(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the different sets of rows that share a doc_id."""
+    several = sets.where("doc_id is not null and digest is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").drop("high")
+    rows = sets.select("doc_id", "digest").join(several, "doc_id").where("digest <> low").select("digest", "low").distinct()
+    ids = nodes.select("digest", "node")
+    return rows.join(ids.withColumnRenamed("node", "a"), "digest").join(ids.select(F.col("digest").alias("low"), F.col("node").alias("b")), "low").select("a", "b")
+
+
+def _crowded_links(crowded: DataFrame, full: DataFrame, block_features: int, block_sets: int, pivots: int) -> DataFrame:
+    """Links among crowded sets. Sets that share hot signatures form a group; in it, what is similar to a pivot is linked with that and set aside as a pile; two piles,
+    and a pile or the rest with the rest, are joined block by block, but no pile with itself: its sets are one component already."""
+    spark = crowded.sparkSession
+    low = materialise(crowded.groupBy("sig").agg(F.min("node").alias("low")), "hot-lows")
+    groups = connected_components(crowded.join(low, "sig").select("node", "low").where("node <> low").distinct(), "node", "low")
+    rest = materialise(full.join(groups, "node").select("component", "node", "features"), "crowded-sets")
+    piles, links = [], spark.createDataFrame([], "a long, b long")
+    for pile in range(pivots):
+        chosen = rest.join(materialise(rest.groupBy("component").agg(F.min("node").alias("pivot")), "pivots"), "component")
+        center = materialise(chosen.where("node = pivot").groupBy("component").agg(F.first("pivot").alias("pivot"), F.first("features").alias("center")), "centers")
+        seen = materialise(rest.join(center, "component").withColumn("near", _similar("features", "center")).drop("center"), "seen")
+        near = seen.where("near")
+        links = links.union(near.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        piles.append(near.select("component", F.lit(pile).alias("pile"), "node", "features"))
+        rest = seen.where("not near").select("component", "node", "features")
+    dealt = rest.select("component", F.lit(pivots).alias("pile"), "node", "features")
+    for p in piles:
+        dealt = dealt.union(p)
+    sizes = dealt.groupBy("component", "pile").agg(F.greatest(F.ceil(F.sum(F.size("features")) / block_features), F.ceil(F.count(F.lit(1)) / block_sets)).cast("int").alias("blocks"))
+    sizes = materialise(sizes, "block-counts")
+    dealt = dealt.join(sizes, ["component", "pile"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    # the block pairs that each block takes part in: with every block of another pile, and within the rest with all
+    other = sizes.select("component", F.col("pile").alias("pile2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own2"))
+    spread = dealt.join(materialise(other, "blocks"), "component").where((F.col("pile") != F.col("pile2")) | (F.col("pile") == pivots))
+    mine, its = F.struct("pile", "own"), F.struct(F.col("pile2").alias("pile"), F.col("own2").alias("own"))
+    keyed = spread.select("component", F.least(mine, its).alias("x"), F.greatest(mine, its).alias("y"), "node", "features")
 
     def join(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_numpy()
+        ids = group.column("node").to_numpy()
         features = group.column("features").combine_chunks()
         n = features.value_lengths().to_numpy(zero_copy_only=False)
-        forest = _block_links(np.repeat(np.arange(len(ids)), n), features.flatten().to_numpy().view(np.uint64), n.astype(np.float64), None)
+        forest = _block_links(np.repeat(np.arange(len(ids)), n), features.flatten().to_numpy().view(np.uint64), n.astype(np.int64))
         return pa.table({"a": pa.array([int(ids[x]) for x, _ in forest], pa.int64()), "b": pa.array([int(ids[y]) for _, y in forest], pa.int64())})
 
-    return keyed.groupBy("component", "i", "j").applyInArrow(join, "a long, b long")
+    return links.union(keyed.groupBy("component", "x", "y").applyInArrow(join, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
