@@ -5,13 +5,14 @@
    number of pages that have it. Every skeleton node maps to its template node.
 3. Every text block is a slot value of a template node. Values are counted per host, node and digest over all pages: a value that most pages of the host share is constant and
    becomes template; the rest of the node is a varying slot.
-4. Template nodes in navigation, header, footer, sidebar, notice, advert, form and comment regions (by element and by name tokens of class, id and role) hold no
-   content; if a page has an article or main node, only slots under it are content. The varying slots that are left are the text.
+4. Template nodes in navigation, header, footer, sidebar, notice, advert, form and comment regions hold no content: by element, or by a class, id or role all of whose
+   words name a region or a place on the page ("site-header", not "share-price"). If a page has an article or main node, only slots under it are content. The varying slots that are left are the text.
 
-White space in a block becomes one space, blocks are joined by one new line. A host with one page has no constants; its regions are still known.
+White space in a block becomes one space, blocks are joined by one new line. A template node on fewer than `min_pages` distinct contents has no constants, as so few pages tell
+template and text apart by chance only; its regions are still known.
 
 Cases: null and empty html give an empty text; broken or cut-off markup is parsed as far as it goes; a null url is a host of its own; repeated pages count as one page
-for constants (equal html, or near copies: under a quarter of own text beside the same shared values); an empty table gives an empty result; other columns are not read. Whole pages are read; nesting beyond 200 blocks folds into the 200th.
+for constants (equal html, or near copies: under a quarter of own text beside the same shared values); an empty table gives an empty result; other columns are not read. Whole pages are read, to any depth: trees are flat lists of (depth, name), and no step recurses.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ from tidepanel.llm.common import materialise, table
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 RAW = "script|style|textarea|iframe|noembed|noframes|title"
 #: Elements left out with all they hold, if they are closed; unclosed ones are ordinary tags.
-SKIPPED = frozenset("noscript template svg math object select button canvas audio video".split())
+SKIPPED = frozenset("noscript template svg object select button canvas audio video".split())
 #: Of these a start tag ends one still open.
 _FLAT = frozenset(("button", "select"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without content.
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset search".split())
-#: Name tokens of regions without content.
+#: Words for regions without content.
 REGION = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended footer header masthead topbar toolbar comment comments commentlist reply replies respond discussion disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social socials form search tags tagcloud copyright legal".split())
+#: Words that say where or in what box a region is.
+PLACES = frozenset("site page main global top bottom left right upper lower primary secondary inner outer wrapper wrap container box block section area region list item items bar row col column panel group holder slot unit zone link links side sticky fixed mobile desktop post posts article articles blog user users reader readers thread x js the".split())
 #: In an article its heading belongs to it.
 _INNER = REGION - {"header", "masthead"}
 #: Names with these tell of another element's region ("with-sidebar").
@@ -46,16 +49,15 @@ _NOT = frozenset("has with without no".split())
 _CONTENT = frozenset(("article", "main"))
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGIT = re.compile(r"[0-9]")
-DEPTH = 200
 
 
 class Node:
-    __slots__ = ("children", "content", "dropped", "name", "parent", "shape", "slot")
+    __slots__ = ("children", "content", "dropped", "name", "parent", "shape", "slot", "tag")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool, content: bool) -> None:
-        self.name, self.parent, self.dropped, self.content, self.children, self.shape, self.slot = name, parent, dropped, content, [], None, ()
+    def __init__(self, tag: str, name: str, parent: Node | None, dropped: bool, content: bool) -> None:
+        self.tag, self.name, self.parent, self.dropped, self.content, self.children, self.shape, self.slot = tag, name, parent, dropped, content, [], 0, 0
 
 
 def skipped(tokens: list[re.Match]) -> dict[int, int]:
@@ -77,10 +79,17 @@ def skipped(tokens: list[re.Match]) -> dict[int, int]:
     return out
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """Tree of block elements, and the text blocks in page order with the node each stands in."""
-    root = Node("", None, False, False)
-    node, depth, blocks, run, at = root, 0, [], [], 0
+def is_region(name: str, regions: frozenset = REGION) -> bool:
+    """Whether all words of a class, id or role name a region or a place, and one a region."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return not words.isdisjoint(regions) and words <= REGION | PLACES and words.isdisjoint(_NOT)
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """Block elements in page order, the root first, and the text blocks in page order with the node each stands in."""
+    root = Node("", "", None, False, False)
+    node, nodes, blocks, run, at = root, [root], [], [], 0
+    still_open: dict[str, int] = {}
 
     def flush() -> None:
         if run:
@@ -113,30 +122,31 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         flush()
         if m["close"]:
-            up = node
-            while up is not root and up.name.split(".")[0] != tag:
-                up = up.parent
-            if up is not root:
-                while node is not up.parent:
-                    node, depth = node.parent, depth - 1
+            if still_open.get(tag):
+                while True:
+                    closed, node = node.tag, node.parent
+                    still_open[closed] -= 1
+                    if closed == tag:
+                        break
             continue
-        own = node.name.split(".")[0]
-        if own == "p" or (own == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            node, depth = node.parent, depth - 1
-        if tag in VOID or depth >= DEPTH:
+        if node.tag == "p" or (node.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+            still_open[node.tag] -= 1
+            node = node.parent
+        if tag in VOID:
             continue
-        names = [a.lower() for x in _ATTR.finditer(m["attrs"]) for a in (x[2] or x[3] or x[4] or "").split()] if m["attrs"] else []
-        tokens = {t for n in names for parts in (_NAME.findall(n),) if _NOT.isdisjoint(parts) for t in parts}
-        content = node.content or tag in _CONTENT or "main" in names
-        header = tag == "header" and not node.content
-        dropped = node.dropped or tag in DROPPED or header or (tag not in ("html", "body", "article", "main") and not (_INNER if node.content else REGION).isdisjoint(tokens))
-        child = Node(".".join([tag, *sorted(set(_stable(m["attrs"])))]), node, dropped, content)
+        names = [a for x in _ATTR.finditer(m["attrs"]) for a in (x[2] or x[3] or x[4] or "").split()] if m["attrs"] else []
+        content = node.content or tag in _CONTENT or "main" in (n.lower() for n in names)
+        regions = _INNER if node.content else REGION
+        dropped = node.dropped or tag in DROPPED or (tag == "header" and not node.content) or (tag not in ("html", "body", "article", "main") and any(is_region(n, regions) for n in names))
+        child = Node(tag, ".".join([tag, *sorted(set(_stable(m["attrs"])))]), node, dropped, content)
         node.children.append(child)
-        node, depth = child, depth + 1
+        nodes.append(child)
+        still_open[tag] = still_open.get(tag, 0) + 1
+        node = child
     if at < len(page):
         run.append(page[at:])
     flush()
-    return root, blocks
+    return nodes, blocks
 
 
 def _stable(attrs: str | None) -> list[str]:
@@ -146,118 +156,140 @@ def _stable(attrs: str | None) -> list[str]:
     return [a for x in _ATTR.finditer(attrs) if x[1].lower() != "id" for a in (x[2] or x[3] or x[4] or "").lower().split() if not _DIGIT.search(a)]
 
 
-def fold(node: Node) -> tuple:
-    """Skeleton (name, children) of a node: children with equal skeletons fold into one."""
-    kids = dict.fromkeys(fold(child) for child in node.children)
-    node.shape = (node.name, tuple(kids))
-    return node.shape
-
-
-def places(node: Node, prefix: tuple = ()) -> None:
-    """Writes each node's place in the folded skeleton (child numbers from the root) to node.slot."""
-    node.slot = prefix
-    at = {kid: i for i, kid in enumerate(node.shape[1])}
-    for child in node.children:
-        places(child, (*prefix, at[child.shape]))
-
-
-def match(a: tuple, b: tuple, memo: dict) -> int:
-    """Simple tree matching: size of the largest order-keeping matching of two trees with equal roots."""
-    if a[0] != b[0]:
-        return 0
-    key = (a, b)
-    if key not in memo:
-        row = [0] * (len(b[1]) + 1)
-        for x in a[1]:
+class Tree:
+    """Nodes in the order of the page: names, and the numbers of each node's children; 0 is the root."""
+
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        self.names, self.kids, above = [n for _, n in rows], [[] for _ in rows], []
+        for i, (depth, _) in enumerate(rows):
+            del above[depth:]
+            if above:
+                self.kids[above[-1]].append(i)
+            above.append(i)
+
+    def rows(self) -> Iterator[tuple[int, int]]:
+        """Depth and number of each node, parents before children."""
+        stack = [(0, 0)]
+        while stack:
+            depth, n = stack.pop()
+            yield depth, n
+            stack += [(depth + 1, k) for k in reversed(self.kids[n])]
+
+
+def skeleton(nodes: list[Node]) -> list[tuple[int, str]]:
+    """Depth and name of each node of the folded tree, where children of equal structure are one; writes its number in this list to each node's slot."""
+    shapes: dict[tuple, int] = {}
+    for node in reversed(nodes):
+        node.shape = shapes.setdefault((node.name, tuple(dict.fromkeys(c.shape for c in node.children))), len(shapes))
+    of = list(shapes)
+    rows, at, stack = [], {}, [(nodes[0].shape, -1, 0)]
+    while stack:
+        shape, parent, depth = stack.pop()
+        at[parent, shape] = len(rows)
+        stack += [(k, len(rows), depth + 1) for k in reversed(of[shape][1])]
+        rows.append((depth, of[shape][0]))
+    for node in nodes:
+        node.slot = at[node.parent.slot if node.parent else -1, node.shape]
+    return rows
+
+
+def match(a: Tree, b: Tree) -> dict[tuple[int, int], int]:
+    """Simple tree matching: of each pair of nodes whose ancestors have equal names in turn, the size of the largest order-keeping matching of their trees."""
+    pairs = [(0, 0)] if a.names[0] == b.names[0] else []
+    for i, j in pairs:  # grows while it is read: parents come before children
+        pairs += [(x, y) for x in a.kids[i] for y in b.kids[j] if a.names[x] == b.names[y]]
+    size: dict[tuple[int, int], int] = {}
+    for i, j in reversed(pairs):
+        row = [0] * (len(b.kids[j]) + 1)
+        for x in a.kids[i]:
             new = [0]
-            for j, y in enumerate(b[1]):
-                new.append(max(new[j], row[j + 1], row[j] + match(x, y, memo)))
+            for k, y in enumerate(b.kids[j]):
+                new.append(max(new[k], row[k + 1], row[k] + size.get((x, y), 0)))
             row = new
-        memo[key] = row[-1] + 1
-    return memo[key]
-
-
-class Template:
-    """Merged tree of a host: nodes with a number, a name, the pages that have them, and children in order."""
+        size[i, j] = row[-1] + 1
+    return size
+
+
+def align(old: list[int], new: list[int], size: dict) -> list[tuple[int | None, int | None]]:
+    """Two lists of children in one order, matched ones side by side, for the largest total."""
+    best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+    for i, x in enumerate(old):
+        for j, y in enumerate(new):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size.get((x, y), 0))
+    i, j, out = len(old), len(new), []
+    while i or j:
+        hit = size.get((old[i - 1], new[j - 1]), 0) if i and j else 0
+        if hit and best[i][j] == best[i - 1][j - 1] + hit:
+            i, j = i - 1, j - 1
+            out.append((old[i], new[j]))
+        elif j and (not i or best[i][j] == best[i][j - 1]):
+            j -= 1
+            out.append((None, new[j]))
+        else:
+            i -= 1
+            out.append((old[i], None))
+    return out[::-1]
+
+
+class Template(Tree):
+    """Merged tree of a host, with the number of pages that have each node."""
 
     def __init__(self) -> None:
-        self.names, self.pages, self.kids = [""], [0], [[]]
-
-    def copy(self) -> Template:
-        """For one more merge; a merge replaces lists of children and changes none."""
-        other = Template()
-        other.names, other.pages, other.kids = list(self.names), list(self.pages), list(self.kids)
-        return other
-
-    def shape(self, n: int, memo: dict) -> tuple:
-        if n not in memo:
-            memo[n] = (self.names[n], tuple(self.shape(k, memo) for k in self.kids[n]))
-        return memo[n]
-
-    def merge(self, skeleton: tuple, weights: dict | int) -> dict[tuple, int]:
-        """Aligns skeleton with the template, adds its unmatched nodes, and returns template node by place. weights: pages, or pages by place."""
-        shapes: dict = {}
-        self.shape(0, shapes)
-        out: dict[tuple, int] = {}
-        self._merge(0, skeleton, (), weights, shapes, {}, out)
+        super().__init__([(0, "")])
+        self.pages = [0]
+
+    def merge(self, tree: Tree, weights: list[int]) -> list[int]:
+        """Aligns tree with the template, adds its unmatched nodes, and returns the template's node of each of its nodes."""
+        size, out, stack = match(self, tree), [0] * len(tree.names), [(0, 0)]
+        while stack:
+            n, y = stack.pop()
+            out[y] = n
+            self.pages[n] += weights[y]
+            kids = []
+            for x, k in align(self.kids[n], tree.kids[y], size):
+                if x is None:
+                    x = len(self.names)
+                    self.names.append(tree.names[k])
+                    self.pages.append(0)
+                    self.kids.append([])
+                kids.append(x)
+                if k is not None:
+                    stack.append((x, k))
+            self.kids[n] = kids
         return out
 
-    def _merge(self, n: int, s: tuple, place: tuple, weights, shapes: dict, memo: dict, out: dict) -> None:
-        out[place] = n
-        self.pages[n] += weights if isinstance(weights, int) else weights.get(place, 0)
-        old, new = list(self.kids[n]), s[1]
-        size = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
-        hits = {}
-        for i, k in enumerate(old):
-            for j, y in enumerate(new):
-                hits[i, j] = match(shapes[k], y, memo) if k in shapes else 0
-                size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + hits[i, j])
-        i, j, merged = len(old), len(new), []
-        while i or j:
-            if i and j and hits[i - 1, j - 1] and size[i][j] == size[i - 1][j - 1] + hits[i - 1, j - 1]:
-                i, j = i - 1, j - 1
-                merged.append((old[i], j))
-            elif j and (not i or size[i][j] == size[i][j - 1]):
-                j -= 1
-                merged.append((None, j))
-            else:
-                i -= 1
-                merged.append((old[i], None))
-        kids = []
-        for k, j in reversed(merged):
-            if k is None:
-                k = len(self.names)
-                self.names.append(new[j][0])
-                self.pages.append(0)
-                self.kids.append([])
-            kids.append(k)
-            if j is not None:
-                self._merge(k, new[j], (*place, j), weights, shapes, memo, out)
-        self.kids[n] = kids
-
-    def tree(self, n: int = 0, place: tuple = (), weights: dict | None = None) -> tuple[tuple, dict]:
-        """As a skeleton, with the pages by place."""
-        weights = {} if weights is None else weights
-        weights[place] = self.pages[n]
-        return (self.names[n], tuple(self.tree(k, (*place, i), weights)[0] for i, k in enumerate(self.kids[n]))), weights
+    def text(self) -> str:
+        """Depth, pages and name of each node, a line each."""
+        return "\n".join(f"{d} {self.pages[n]} {self.names[n]}" for d, n in self.rows())
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+def tree_of(text: str) -> tuple[Tree, list[int]]:
+    """Tree and pages by node of a template's text."""
+    rows = [x.split(" ", 2) for x in text.split("\n")]
+    return Tree([(int(d), n) for d, _, n in rows]), [int(p) for _, p, _ in rows]
+
 
+def nodes_in(template: Tree, tree: Tree) -> list[tuple[int, int]]:
+    """Node of tree and node of the template that it is aligned with, for those that are."""
+    size, out, stack = match(template, tree), [], [(0, 0)]
+    while stack:
+        n, y = stack.pop()
+        out.append((y, n))
+        stack += [(x, k) for x, k in align(template.kids[n], tree.kids[y], size) if x is not None and k is not None]
+    return out
 
-def _place(p: tuple) -> str:
-    return ".".join(map(str, p))
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
 
-def content_blocks(page: str) -> tuple[str, list[tuple[str, str]]]:
-    """Skeleton (as text), and the place and text of each block that no region excludes."""
-    root, blocks = parse(page)
-    skeleton = fold(root)
+
+def content_blocks(page: str) -> tuple[str, list[tuple[int, str]]]:
+    """Skeleton (as a template's text of one page), and the place in it and text of each block that no region excludes."""
+    nodes, blocks = parse(page)
+    rows = skeleton(nodes)
     inside = any(n.content and not n.dropped for n, _ in blocks)
-    chosen = [(n, t) for n, t in blocks if not n.dropped and (n.content or not inside)]
-    places(root)
-    return repr(skeleton), [(_place(n.slot), t) for n, t in chosen]
+    chosen = [(n.slot, t) for n, t in blocks if not n.dropped and (n.content or not inside)]
+    return "\n".join(f"{d} 1 {name}" for d, name in rows), chosen
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +303,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(_digest(skeleton))
             body.append(xxhash.xxh3_64_intdigest((page or "").encode(errors="replace")) - (1 << 63))
             blocks.append([{"place": p, "digest": _digest(t), "size": len(t)} for p, t in found])
-        kind = pa.list_(pa.struct([("place", pa.string()), ("digest", pa.int64()), ("size", pa.int64())]))
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.int64()), ("size", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(skeletons), pa.array(hashes, pa.int64()), pa.array(body, pa.int64()), pa.array(blocks, kind)], names=["host", "skeleton", "shape", "body", "blocks"])
 
 
@@ -281,43 +313,34 @@ def host_of(url) -> F.Column:
 
 def _merge_shapes(group: pa.Table) -> pa.Table:
     """One part of a host's skeletons into one template tree."""
-    import ast
-
     rows = sorted(group.to_pylist(), key=lambda r: (-r["pages"], r["shape"]))
     template = Template()
     for r in rows:
-        template.merge(ast.literal_eval(r["skeleton"]), r["pages"])
-    tree, weights = template.tree()
-    return pa.table({"host": [rows[0]["host"]], "tree": [repr((tree, weights))], "part": pa.array([rows[0]["part"]], pa.int32())})
+        tree, _ = tree_of(r["skeleton"])
+        template.merge(tree, [r["pages"]] * len(tree.names))
+    return pa.table({"host": [rows[0]["host"]], "tree": [template.text()], "part": pa.array([rows[0]["part"]], pa.int32())})
 
 
 def _merge_parts(group: pa.Table) -> pa.Table:
     """Some trees of a host into one."""
-    import ast
-
     template = Template()
     rows = sorted(group.to_pylist(), key=lambda r: r["part"])
     for r in rows:
-        tree, weights = ast.literal_eval(r["tree"])
-        template.merge(tree, weights)
-    return pa.table({"host": [rows[0]["host"]], "tree": [repr(template.tree())], "part": pa.array([rows[0]["up"]], pa.int32())})
+        template.merge(*tree_of(r["tree"]))
+    return pa.table({"host": [rows[0]["host"]], "tree": [template.text()], "part": pa.array([rows[0]["up"]], pa.int32())})
 
 
 def _map_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Template node of each place of each skeleton, as the alignment with the finished template gives it. A host's template is built once a task."""
-    import ast
-
-    last, base, back = None, None, None
+    """Template node of each place of each skeleton that is aligned with one. A host's template is read once a run of its rows."""
+    last = template = None
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            if base is None or r["host"] != last:
-                last, base = r["host"], Template()
-                back = {n: p for p, n in base.merge(ast.literal_eval(r["template"])[0], 0).items()}
-            for place, n in base.copy().merge(ast.literal_eval(r["skeleton"]), 0).items():
-                out.append((r["host"], r["shape"], _place(place), _place(back.get(n, place))))
+            if template is None or r["host"] != last:
+                last, template = r["host"], tree_of(r["template"])[0]
+            out += [(r["host"], r["shape"], place, node) for place, node in nodes_in(template, tree_of(r["skeleton"])[0])]
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["host", "shape", "place", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["host", "shape", "place", "node"])
 
 
 def induce(pages: DataFrame, fan: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -326,7 +349,7 @@ def induce(pages: DataFrame, fan: int = 64) -> tuple[DataFrame, DataFrame, DataF
     A host's distinct skeletons are merged in a tree: some `fan` of them in a task, then some `fan` of the results, until one is left.
     """
     ready = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
-    profile = materialise(ready.mapInArrow(_profile, "host string, skeleton string, shape long, body long, blocks array<struct<place:string,digest:long,size:long>>"), "profile")
+    profile = materialise(ready.mapInArrow(_profile, "host string, skeleton string, shape long, body long, blocks array<struct<place:int,digest:long,size:long>>"), "profile")
     shapes = materialise(profile.groupBy("host", "shape").agg(F.first("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("pages")), "shapes")
     sizes = materialise(shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("parts")), "shape-parts")
     parted = shapes.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int")).drop("parts")
@@ -336,7 +359,7 @@ def induce(pages: DataFrame, fan: int = 64) -> tuple[DataFrame, DataFrame, DataF
         trees = materialise(trees.withColumn("up", F.floor(F.col("part") / fan).cast("int")).groupBy("host", "up").applyInArrow(_merge_parts, "host string, tree string, part int"), "trees")
         left = -(-left // fan)
     templates = trees.select("host", F.col("tree").alias("template"))
-    nodes = shapes.join(templates, "host").select("host", "shape", "skeleton", "template").mapInArrow(_map_shapes, "host string, shape long, place string, node string")
+    nodes = shapes.join(templates, "host").select("host", "shape", "skeleton", "template").mapInArrow(_map_shapes, "host string, shape long, place int, node int")
     return templates, materialise(nodes, "nodes"), profile
 
 
@@ -366,7 +389,7 @@ def constants(nodes: DataFrame, profile: DataFrame, min_pages: int, min_share: f
     return _shared(voted, min_pages, min_share).join(nodes, ["host", "node"]).select("host", "shape", "place", "digest")
 
 
-def extract_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.6) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = 4, min_share: float = 0.6) -> DataFrame:
     """page_id, url, text, n_chars, n_constant (blocks dropped as template) of every row of pages.
 
     The last step reads the pages again and looks up the constants of their skeleton, joined by host and skeleton.
@@ -375,7 +398,7 @@ def extract_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.6) -
     fixed = constants(nodes, profile, min_pages, min_share)
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("place", pa.string()), ("digest", pa.int64()), ("text", pa.string())]))
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.int64()), ("text", pa.string())]))
         for batch in batches:
             own, blocks = [], []
             for page in batch.column("html").to_pylist():
@@ -397,7 +420,7 @@ def extract_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.6) -
 
     by_shape = materialise(fixed.groupBy("host", "shape").agg(F.collect_list(F.struct("place", "digest")).alias("fixed")), "shape-constants")
     ready = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    parsed = ready.mapInArrow(shapes, "page_id long, url string, host string, shape long, blocks array<struct<place:string,digest:long,text:string>>")
+    parsed = ready.mapInArrow(shapes, "page_id long, url string, host string, shape long, blocks array<struct<place:int,digest:long,text:string>>")
     return parsed.join(by_shape, ["host", "shape"], "left").select("page_id", "url", "blocks", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_constant long")
 
 
