@@ -95,6 +95,7 @@ def test_signatures_are_subsets_of_parts_and_differ_by_band():
     a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2))
     t, ends, left = J.signatures(np.zeros(100, np.int64), a, 1)
     k, k2, n2, spare, n1 = J.PARAMETERS[np.searchsorted(J.BANDS, 100)]
+    assert all(p[4] == p[0] // (p[1] + 1) + 1 + p[3] for p in J.PARAMETERS) and tuple(J.PARAMETERS[np.searchsorted(J.BANDS, 1000)][1:3]) == (0, 1)
     assert (k2, n2) == (1, 3) and (left >= 0).all() and len(t) == ends[1] and len(np.unique(t)) == len(t)
     both = [len(np.unique(t[(t >> np.uint64(19)) & np.uint64(1) == p])) for p in (0, 1)]
     assert all(0 < n <= 3 * n1 for n in both)

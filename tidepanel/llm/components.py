@@ -11,8 +11,8 @@ from tidepanel.llm.common import materialise
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable), for every node that has an edge to another.
 
-    Every step is a min by node and a join with it, both sides stored, so that adaptive execution can split a star's centre; each round is written to the shared
-    folder. Rounds only lower the neighbours of a node, so they end, and their number grows with the logarithm of the longest chain. Nulls and self edges are ignored.
+    Every step is a min by node and a join with it. The least neighbours are stored before the join that a star's centre makes uneven, so that adaptive execution can
+    split it; each round is written to the shared folder. Rounds only lower the neighbours of a node, so they end, and their number grows with the logarithm of the longest chain. Nulls and self edges are ignored.
     """
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     now = materialise(pair, "cc")
@@ -20,8 +20,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "cc-low")
-        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small, "cc")
         before, mark = mark, _mark(now)

@@ -102,12 +102,13 @@ BANDS = _bands()
 
 
 def _parameters() -> np.ndarray:
-    """By band: K (differences), k2, n2, s, n1. Small bands have one or two partitions with many parts, others pairs of parts of three."""
+    """By band: K (differences), k2, n2, s, n1. Small bands have one or two partitions with many parts, the next pairs of parts of three. In large ones, where the number of
+    partitions that must agree tells sets apart, subsets would only multiply the signatures (by 1.5 for pairs of three): there a partition is one part."""
     out = []
     for k in max_difference(BANDS):
-        k2, n2 = {0: (0, 1), 1: (1, 3), 2: (2, 5), 3: (3, 6), 4: (2, 5), 5: (2, 5)}.get(int(k), (1, 3))
+        k2, n2 = {0: (0, 1), 1: (1, 3), 2: (2, 5), 3: (3, 6), 4: (2, 5), 5: (2, 5)}.get(int(k), (1, 3) if k <= 48 else (0, 1))
         least = int(k) // (k2 + 1) + 1
-        spare = 0 if k < 6 else max(1, -(-least // 4))
+        spare = 0 if k < 6 else max(1, -(-least // 4)) if k2 else -(-least * 9 // 50)
         out.append((int(k), k2, n2, spare, least + spare))
     return np.array(out, np.int64)
 
@@ -135,7 +136,8 @@ def signatures(owner: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarr
             chosen &= (own > 0) & (-(-size * 3 // 4) <= BANDS[own - 1])
         band = own - below
         diff, k2, n2, spare, n1 = PARAMETERS[band].T
-        first = np.minimum(max_difference(size), diff) // (k2 + 1) + 1 + spare  # partitions enumerated
+        most = (size + BANDS[np.maximum(own - 1, 0)]) // 7 if below else max_difference(size)  # differences from a set that it meets in this band
+        first = np.minimum(most, diff) // (k2 + 1) + 1 + spare  # partitions enumerated
         texts = np.flatnonzero(chosen)
         left[texts, band[texts] & 1] = (spare - first)[texts]
         for parts, drop in {(int(n2[t]), int(k2[t])) for t in texts}:
@@ -191,26 +193,35 @@ def _digests(h: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, left_even int, left_odd int, sigs array<long>"
+_SETS = "doc_id long, n_shingles long, digest binary, left_even int, left_odd int"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the size, digest and signatures of its set; a task gives the signatures of equal sets once. Rows without an id or a word have none."""
-    known: set = set()
+    """Per document the size and digest of its set, and the partitions it can spare."""
     for ids, texts in _chunks(batches):
         owner, h = shingle_sets(texts)
         size = np.bincount(owner, minlength=len(texts))
         digests = _digests(h, np.concatenate([[0], np.cumsum(size)]))
+        left = signatures(owner, h, len(texts))[2].astype(np.int32)
+        columns = [pa.array(ids, pa.int64()), pa.array(size), pa.array(digests, pa.binary()), pa.array(left[:, 0]), pa.array(left[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SETS.split(", ")])
+
+
+def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sig, doc_id of each signature; a task gives those of equal sets once. Rows without an id or a word have none."""
+    known: set = set()
+    for ids, texts in _chunks(batches):
+        owner, h = shingle_sets(texts)
         fresh = np.zeros(len(texts), bool)
-        for i, d in enumerate(digests):
+        for i, d in enumerate(_digests(h, np.searchsorted(owner, np.arange(len(texts) + 1)))):
             if d is not None and ids[i] is not None and d not in known:
                 known.add(d)
                 fresh[i] = True
         pick = fresh[owner]
-        t, ends, left = signatures(owner[pick], h[pick], len(texts))
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.view(np.int64)))
-        columns = [pa.array(ids, pa.int64()), pa.array(size), pa.array(digests, pa.binary()), pa.array(left[:, 0].astype(np.int32)), pa.array(left[:, 1].astype(np.int32)), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SETS.split(", ")])
+        t, ends, _ = signatures(owner[pick], h[pick], len(texts))
+        who = np.repeat(np.array([i or 0 for i in ids], np.int64), np.diff(ends))
+        for at in range(0, len(t), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(t[at : at + (1 << 16)].view(np.int64)), pa.array(who[at : at + (1 << 16)])], names=["sig", "doc_id"])
 
 
 def _block_links(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -252,14 +263,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     crowd: a signature of more sets is hot. block_sets and block_features: size of a block of crowded sets. pivots: rounds of setting aside what is similar to one set of the group.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialise(texts.mapInArrow(_sets, _SETS).withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = materialise(texts.mapInArrow(_sets, _SETS), "sets")
     distinct = sets.where("digest is not null and doc_id is not null").groupBy("digest")
     nodes = distinct.agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("left_even").alias("left_even"), F.max("left_odd").alias("left_odd"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs, crowded = _candidates(sets, nodes, crowd)
+    pairs, crowded = _candidates(texts, sets, nodes, crowd)
     full = _features(texts, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
-    apart = _features(texts, nodes.join(crowded.select("node").distinct(), "node", "left_semi"))
-    links = _verified(pairs, full).union(_crowded_links(crowded, apart, block_features, block_sets, pivots)).union(_same_document(sets, nodes))
+    links = _verified(pairs, full).union(_same_document(sets, nodes))
+    if not crowded.isEmpty():
+        apart = _features(texts, nodes.join(crowded.select("node").distinct(), "node", "left_semi"))
+        links = links.union(_crowded_links(crowded, apart, block_features, block_sets, pivots))
     found = connected_components(links)
     grouped = nodes.select("digest", "node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = materialise(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "components")
@@ -268,12 +281,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _candidates(sets: DataFrame, nodes: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes that share enough signatures, and the crowded nodes with their hot signatures (node, sig)."""
-    each = sets.select("row", F.explode("sigs").alias("sig"))
-    several = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("sig", "row")
-    of = sets.where("size(sigs) > 0").select("row", "digest").join(nodes.select("digest", "node"), "digest").select("row", "node")
-    shared = materialise(several.join(of, "row").select("sig", "node").distinct(), "signatures")
+def _candidates(texts: DataFrame, sets: DataFrame, nodes: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that share enough signatures, and the crowded nodes with their hot signatures (node, sig).
+
+    Different sets of one doc_id take each other's signatures as well: they are one document for links, and pairs are verified.
+    """
+    each = texts.mapInArrow(_signature_rows, "sig long, doc_id long")
+    several = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("sig", "doc_id")
+    of = sets.where("doc_id is not null and digest is not null").select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
+    shared = materialise(materialise(several, "shared").join(materialise(of, "doc-nodes"), "doc_id").select("sig", "node").distinct(), "signatures")
     counts = materialise(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signature-counts")
     part = F.col("sig").bitwiseAND(F.lit(PART))
     key = F.when(part == PART, F.lit(2)).otherwise(F.shiftright(part, 19)).cast("int")
