@@ -70,8 +70,8 @@ def stress_regime(score: Column) -> Column:
 
 
 def markov_state(z: Column, inner: float = 0.5, outer: float = 1.5) -> Column:
-    """Five bins of a z-score, -2 to 2; null without one."""
-    return F.when(z < -outer, -2).when(z < -inner, -1).when(z <= inner, 0).when(z <= outer, 1).when(z > outer, 2)
+    """Five bins of a z-score, -2 to 2; null without one. Each outer level belongs to the outer bin, each inner one to the middle."""
+    return F.when(z <= -outer, -2).when(z < -inner, -1).when(z <= inner, 0).when(z < outer, 1).when(z >= outer, 2)
 
 
 def fixed_bin(x: Column, edges: list[float]) -> Column:
@@ -82,5 +82,10 @@ def fixed_bin(x: Column, edges: list[float]) -> Column:
     return out
 
 
+def money(value: Column) -> Column:
+    """Whole ten-thousandths: sums of them are exact in any order."""
+    return F.round(value * 10000).cast("long")
+
+
 def lot_ceil(x: Column, lot: float) -> Column:
     return F.ceil(x / lot) * lot

@@ -42,17 +42,19 @@ def asof(left: DataFrame, right: DataFrame, value: str, left_ts: str, key: str =
 
 
 def map_to_calendar(df: DataFrame, day: str, calendar: DataFrame, how: str = "prior") -> DataFrame:
-    """Adds session: the calendar day at or before (prior), at or after (next), or nearest (ties to the earlier).
+    """Adds session: the calendar day at or before (prior), at or after (next), or nearest (ties to the earlier); null where the calendar has none on that side.
 
-    The calendar becomes intervals [day, next day), so every day meets one row by an equi-join on the exploded interval days.
+    The distinct days of both sides are put in one order and looked at both ways; df meets the result by an equi-join on the day.
     """
-    w = Window.orderBy("ts")  # one row per session
-    spans = calendar.select("ts").distinct().withColumn("to", F.coalesce(F.lead("ts").over(w), F.date_add("ts", 366)))
-    each = spans.select(F.col("ts").alias("prior_day"), "to", F.explode(F.sequence("ts", F.date_sub("to", 1))).alias("_d"))
-    nxt = F.when(F.col("_d") == F.col("prior_day"), F.col("_d")).otherwise(F.col("to"))
-    near = F.when(F.datediff("_d", "prior_day") <= F.datediff(nxt, F.col("_d")), F.col("prior_day")).otherwise(nxt)
-    pick = {"prior": F.col("prior_day"), "next": nxt, "nearest": near}[how]
-    return df.join(each.select("_d", pick.alias("session")), F.col(day) == F.col("_d"), "left").drop("_d")
+    both = calendar.select(F.col("ts").alias("_d"), F.col("ts").alias("_s")).distinct().union(df.select(F.col(day), F.lit(None).cast("date")).where(F.col(day).isNotNull()).distinct())
+    w = Window.orderBy("_d")  # one row per distinct day
+    marks = both.groupBy("_d").agg(F.max("_s").alias("_s"))
+    prior = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    found = marks.select("_d", prior.alias("_p"), later.alias("_n"))
+    near = F.when(F.col("_n").isNull() | (F.datediff("_d", "_p") <= F.datediff("_n", "_d")), F.col("_p")).otherwise(F.col("_n"))
+    pick = {"prior": F.col("_p"), "next": F.col("_n"), "nearest": near}[how]
+    return df.join(found.select("_d", pick.alias("session")), F.col(day) == F.col("_d"), "left").drop("_d")
 
 
 def mask_outside(bars: DataFrame, intervals: DataFrame, field: str = "close") -> DataFrame:

@@ -158,3 +158,8 @@ def kalman_fill(grid: DataFrame, q: float = 1e-3, r: float = 1e-2) -> DataFrame:
         return rows.assign(smoothed=out)
 
     return grid.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(smooth, "symbol string, ts date, close double, smoothed double")
+
+
+def last_present(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
+    """One row per keys: of rows that repeat a key, each field's last present value by order."""
+    return rows.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.rolling import by_time
-from tidepanel.functions.scalars import bps
+from tidepanel.functions.scalars import bps, money
 from tidepanel.operators.align import asof, expand_days
 
 
@@ -66,15 +66,15 @@ def borrow_cost(paths: DataFrame, rate: float, basis: int = 360) -> DataFrame:
 
 
 def daily_pnl(paths: DataFrame) -> DataFrame:
-    """day, pnl: the change of each trade's value against the day before (the entry price first), summed."""
+    """day, pnl: the change of each trade's value against the day before (the entry price first), summed in whole ten-thousandths, so that the sum is exact."""
     prev = F.coalesce(F.lag("px").over(by_time("trade_id", "day")), F.col("exec_px"))
-    return paths.withColumn("_d", F.col("side") * F.col("qty") * (F.col("px") - prev)).groupBy("day").agg(F.sum("_d").alias("pnl"))
+    return paths.withColumn("_d", F.col("side") * F.col("qty") * (F.col("px") - prev)).groupBy("day").agg((F.sum(money(F.col("_d"))) / 10000).alias("pnl"))
 
 
 def equity(pnl: DataFrame, capital: float) -> DataFrame:
     """day, pnl, equity, peak, drawdown. One row per day: a running sum over days."""
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    out = pnl.withColumn("equity", capital + F.sum("pnl").over(w))
+    out = pnl.withColumn("equity", (round(capital * 10000) + F.sum(money(F.col("pnl"))).over(w)) / 10000)
     return out.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 

@@ -40,5 +40,6 @@ def screen(rows: DataFrame, rules: Sequence, whitelist: Sequence[str] = (), key:
 
 
 def is_junk(symbol) -> F.Column:
-    """Warrants, units, rights, preferreds and test issues by symbol."""
-    return F.upper(symbol).rlike(r"(\.W|\.U|\.R|-W|-U|-R|-P[A-Z]?|\^|\$|TEST)")
+    """Warrants, units, rights, preferreds and test issues: by the end of the symbol, a leading $, or a mark inside it."""
+    token = F.upper(F.trim(symbol))
+    return token.rlike(r"^\$|(\.W|\.U|\.R|-W|-U|-R|-WS|\.WS|-P[A-Z]?)$|\^")

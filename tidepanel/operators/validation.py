@@ -34,13 +34,13 @@ def assign(rows: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def purged_folds(spark: SparkSession, n: int, blocks: int, k: int, purge: int, embargo: int) -> DataFrame:
-    """fold, i, part: combinatorial cross-validation of row numbers 0..n-1: k of the blocks test, rows within purge before and purge + embargo behind a test block are dropped."""
+    """fold, i, part: combinatorial cross-validation of row numbers 0..n-1: k of the blocks test, rows within purge + embargo of a test block, before or behind it, are dropped."""
     size = -(-n // blocks)
     folds = [(f, list(c)) for f, c in enumerate(itertools.combinations(range(blocks), k))]
     frame = spark.createDataFrame(folds, "fold int, tests array<int>")
     rows = frame.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     inside = F.array_contains("tests", F.floor(F.col("i") / size).cast("int"))
-    near = F.exists("tests", lambda t: (F.col("i") >= t * size - purge) & (F.col("i") < (t + 1) * size + purge + embargo))
+    near = F.exists("tests", lambda t: (F.col("i") >= t * size - purge - embargo) & (F.col("i") < (t + 1) * size + purge + embargo))
     return rows.withColumn("part", F.when(inside, "test").when(near, "dropped").otherwise("train")).select("fold", "i", "part")
 
 
@@ -55,5 +55,6 @@ def looks_ahead(before: DataFrame, after: DataFrame, cut: dt.date) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """n and an order-free hash of all rows."""
-    return rows.select(F.xxhash64(*sorted(rows.columns)).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("hash"))
+    """n and two order-free hashes of all rows: their exclusive or, and their sum, in which repeated rows do not cancel."""
+    each = rows.select(F.xxhash64(*sorted(rows.columns)).alias("h"))
+    return each.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("hash"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"))

@@ -31,12 +31,6 @@ def rounded(df: DataFrame, n: int = 6, **other: int) -> DataFrame:
     return df.select(*[(F.round(F.col(c), other.get(c, n)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def rounded_scaled(df: DataFrame, n: int = 6, **other: int) -> DataFrame:
-    """As rounded, but rounds the scaled binary value and not its shortest decimal form, as SQL engines on doubles do. The two differ where a value lies next to a tie."""
-    places = {c: 10.0 ** other.get(c, n) for c in df.columns}
-    return df.select(*[(F.round(F.col(c) * places[c]) / places[c] + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with planted defects: missing closes, crossed and low highs, zero volumes, spikes; by day of month and symbol number."""
     k = F.dayofmonth("ts") + F.substring("symbol", 7, 2).cast("int")
@@ -52,12 +46,14 @@ RAW = f"""{BARS}, raw AS (SELECT symbol, ts, open, CASE WHEN {K} % 17 = 0 THEN l
 CASE WHEN {K} % 11 = 0 THEN NULL WHEN {K} % 19 = 0 THEN close * 10 ELSE close END AS close, CASE WHEN {K} % 13 = 0 THEN 0.0 ELSE volume END AS volume FROM bars)"""
 GRID = f"{RAW}, grid AS (SELECT s.symbol, d.ts, r.open, r.high, r.low, r.close, r.volume FROM (SELECT DISTINCT symbol FROM raw) s CROSS JOIN (SELECT DISTINCT ts FROM raw) d LEFT JOIN raw r ON r.symbol = s.symbol AND r.ts = d.ts)"
 W = "PARTITION BY symbol ORDER BY ts"
+#: z enters at 2 and stops at 4; q is the z before.
+ENTERS = "((z <= -2 AND z > -4 AND (q IS NULL OR q > -2)) OR (z >= 2 AND z < 4 AND (q IS NULL OR q < 2)))"
 
 
 @query(f"""WITH {BARS}, s AS (SELECT symbol, ts, ln(close) AS x FROM bars), v AS (SELECT symbol, ts, x - lag(x) OVER ({W}) AS ret FROM s),
 z AS (SELECT symbol, ts, CASE WHEN count(ret) OVER p >= 10 AND stddev_pop(ret) OVER p > 0 THEN (ret - avg(ret) OVER p) / stddev_pop(ret) OVER p END AS z FROM v WINDOW p AS ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-e AS (SELECT *, abs(lag(z) OVER ({W})) AS q FROM z)
-SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n_entries, CAST(sum(CASE WHEN z > 0 THEN -1 ELSE 1 END) AS BIGINT) AS net_side FROM e WHERE abs(z) >= 2 AND abs(z) < 4 AND (q < 2 OR q >= 4) GROUP BY ALL""")
+e AS (SELECT *, lag(z) OVER ({W}) AS q FROM z)
+SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n_entries, CAST(sum(CASE WHEN z > 0 THEN -1 ELSE 1 END) AS BIGINT) AS net_side FROM e WHERE {ENTERS} GROUP BY ALL""")
 def zscore_entries(spark, sf_dir):
     """Entry crossings of the past-only z-score of log returns, by symbol and month."""
     ret = bars(spark, sf_dir).select("symbol", "ts", R.log_return(F.col("close")).alias("ret"))
@@ -304,29 +300,71 @@ def scored(spark, sf_dir) -> DataFrame:
 SCORED = f"""{BARS}, scored AS (SELECT symbol, ts, CASE WHEN count(close) OVER p >= 10 AND stddev_pop(close) OVER p > 0 THEN (close - avg(close) OVER p) / stddev_pop(close) OVER p END AS z FROM bars WINDOW p AS ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
 
 
-@query(f"""WITH {SCORED}, s AS (SELECT symbol, ts, CASE WHEN z < -1.5 THEN -2 WHEN z < -0.5 THEN -1 WHEN z <= 0.5 THEN 0 WHEN z <= 1.5 THEN 1 WHEN z > 1.5 THEN 2 END AS state FROM scored), n AS (SELECT *, lead(state) OVER ({W}) AS next_state FROM s),
+STATE = "CASE WHEN z <= -1.5 THEN -2 WHEN z < -0.5 THEN -1 WHEN z <= 0.5 THEN 0 WHEN z < 1.5 THEN 1 WHEN z >= 1.5 THEN 2 END"
+
+
+def hit_sql(moves: str, by: str = "", horizon: int = 10) -> str:
+    """CTEs h0 to h<horizon> (by, state, p) over moves (by, state, next_state, share): one step each."""
+    b, on = (f"{by}, ", f" AND h.{by} = k.{by}") if by else ("", "")
+    keys = f"(SELECT DISTINCT {by} FROM {moves})" if by else "(SELECT 1)"
+    out = [f"keys AS (SELECT {b}s AS state FROM {keys} x, (VALUES (-2), (-1), (0), (1), (2)) t(s))", f"h0 AS (SELECT {b}state, CASE WHEN state = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS p FROM keys)"]
+    for i in range(horizon):
+        back = f" AND h.{by} = m.{by}" if by else ""
+        own = f" AND m.{by} = k.{by}" if by else ""
+        out.append(f"h{i + 1} AS MATERIALIZED (SELECT {'k.' + by + ', ' if by else ''}k.state, CASE WHEN k.state = 0 THEN 1.0 ELSE coalesce(sum(m.share * h.p), any_value(o.p)) END AS p FROM keys k JOIN h{i} o ON o.state = k.state{on.replace('h.', 'o.')} LEFT JOIN {moves} m ON m.state = k.state{own} LEFT JOIN h{i} h ON h.state = m.next_state{back} GROUP BY {'k.' + by + ', ' if by else ''}k.state)")
+    return ", ".join(out)
+
+
+@query(f"""WITH {SCORED}, s AS (SELECT symbol, ts, {STATE} AS state FROM scored), n AS (SELECT *, lead(state) OVER ({W}) AS next_state FROM s),
 c AS (SELECT state, next_state, count(*) AS n FROM n WHERE state IS NOT NULL AND next_state IS NOT NULL GROUP BY ALL) SELECT state, next_state, n, round(n / sum(n) OVER (PARTITION BY state), 6) AS share FROM c""")
 def markov_transitions(spark, sf_dir):
     return rounded(signals.transitions(scored(spark, sf_dir)))
 
 
-@query()
+MOVES = f"""{SCORED}, st AS (SELECT symbol, ts, {STATE} AS state FROM scored), nx AS (SELECT *, lead(state) OVER ({W}) AS next_state FROM st),
+mc AS (SELECT state, next_state, count(*) AS n FROM nx WHERE state IS NOT NULL AND next_state IS NOT NULL GROUP BY ALL), moves AS MATERIALIZED (SELECT state, next_state, n / sum(n) OVER (PARTITION BY state) AS share FROM mc)"""
+
+
+@query(f"WITH {MOVES}, {hit_sql('moves')} SELECT state, round(p, 6) AS p FROM h10")
 def markov_hit_probability(spark, sf_dir):
     return rounded(signals.hit_probability(signals.transitions(scored(spark, sf_dir))))
 
 
-@query()
+GATE_STATE = STATE.replace("1.5", "2")
+GATED = f"""{SCORED}, st AS (SELECT symbol, ts, z, {GATE_STATE} AS state FROM scored), pst AS (SELECT * FROM st WHERE ts < DATE '1998-01-01'), nx AS (SELECT *, lead(state) OVER ({W}) AS next_state FROM pst),
+mc AS (SELECT symbol, state, next_state, count(*) AS n FROM nx WHERE state IS NOT NULL AND next_state IS NOT NULL GROUP BY ALL), moves AS MATERIALIZED (SELECT symbol, state, next_state, n / sum(n) OVER (PARTITION BY symbol, state) AS share FROM mc),
+seen AS (SELECT symbol, state, count(*) AS visits FROM pst WHERE state IS NOT NULL GROUP BY ALL), total AS (SELECT symbol, sum(visits) AS n_train FROM seen GROUP BY symbol), {hit_sql('moves', 'symbol')}"""
+
+
+@query(f"""WITH {GATED} SELECT s.symbol, s.state, count(*) AS n, round(avg(CASE WHEN n_train >= 60 THEN p END), 6) AS hit_prob,
+CAST(count(*) FILTER (n_train >= 60 AND visits >= 10 AND p < 0.9 AND EXISTS (SELECT 1 FROM moves m WHERE m.symbol = s.symbol AND m.state = s.state)) AS BIGINT) AS n_barred
+FROM st s LEFT JOIN h10 h ON h.symbol = s.symbol AND h.state = s.state LEFT JOIN seen v ON v.symbol = s.symbol AND v.state = s.state LEFT JOIN total t ON t.symbol = s.symbol WHERE s.ts >= DATE '1998-01-01' GROUP BY ALL""")
+def entry_gate(spark, sf_dir):
+    """Entry bars per symbol from its own transitions before 1998, applied to later rows."""
+    gated = signals.entry_gate(scored(spark, sf_dir), F.col("ts") < F.lit(dt.date(1998, 1, 1)), least=0.9)
+    return rounded(gated.groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("hit_prob").alias("hit_prob"), F.count_if(~F.col("gate")).alias("n_barred")))
+
+
+#: The state machine, row by row: position, rows held, rows to wait.
+POSITIONS = f"""{SCORED}, sn AS MATERIALIZED (SELECT symbol, ts, z, lag(z) OVER ({W}) AS q, row_number() OVER ({W}) AS k FROM scored), walk AS (
+SELECT symbol, k, ts, z, CASE WHEN z <= -2 AND z > -4 THEN 1 WHEN z >= 2 AND z < 4 THEN -1 ELSE 0 END AS pos, 0 AS held, 0 AS wait FROM sn WHERE k = 1 UNION ALL
+SELECT symbol, k, ts, z, CASE WHEN act = 'stay' THEN p WHEN act = 'in' THEN CASE WHEN z < 0 THEN 1 ELSE -1 END ELSE 0 END, CASE WHEN act = 'stay' AND p <> 0 THEN h + 1 ELSE 0 END, CASE WHEN act = 'out' THEN 5 WHEN w > 0 THEN w - 1 ELSE 0 END
+FROM (SELECT s.symbol, s.k, s.ts, s.z, r.pos AS p, r.held AS h, r.wait AS w, CASE WHEN r.wait > 0 THEN 'rest' WHEN r.pos <> 0 AND (s.z IS NULL OR abs(s.z) <= 0.5 OR abs(s.z) >= 4 OR r.held + 1 >= 20 OR r.pos * s.z >= 2) THEN 'out'
+WHEN r.pos = 0 AND {ENTERS.replace("z", "s.z").replace("q", "s.q")} THEN 'in' ELSE 'stay' END AS act FROM walk r JOIN sn s ON s.symbol = r.symbol AND s.k = r.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {POSITIONS} SELECT symbol, ts, round(z, 6) AS z, pos FROM walk")
 def position_states(spark, sf_dir):
     return rounded(signals.positions(scored(spark, sf_dir)))
 
 
-@query(f"""WITH {SCORED}, e AS (SELECT *, abs(lag(z) OVER ({W})) AS q FROM scored), o AS (SELECT symbol, ts AS entry_ts FROM e WHERE abs(z) >= 2 AND abs(z) < 4 AND (q < 2 OR q >= 4)),
-h AS (SELECT o.symbol, entry_ts, min(s.ts) AS hit FROM o JOIN scored s ON s.symbol = o.symbol AND s.ts > entry_ts AND s.ts <= entry_ts + 20 AND (abs(s.z) <= 0.5 OR abs(s.z) >= 4 OR s.z IS NULL) GROUP BY ALL)
-SELECT o.symbol, o.entry_ts, coalesce(hit, o.entry_ts + 20) AS exit_ts FROM o LEFT JOIN h ON h.symbol = o.symbol AND h.entry_ts = o.entry_ts""")
+@query(f"""WITH {SCORED}, e AS (SELECT *, lag(z) OVER ({W}) AS q, row_number() OVER ({W}) AS k, max(ts) OVER (PARTITION BY symbol) AS last_ts FROM scored), o AS (SELECT symbol, ts AS entry_ts, k, last_ts, CASE WHEN z > 0 THEN -1 ELSE 1 END AS side FROM e WHERE {ENTERS}),
+h AS (SELECT o.symbol, entry_ts, min(s.ts) AS hit FROM o JOIN e s ON s.symbol = o.symbol AND s.k > o.k AND s.k <= o.k + 20 AND (abs(s.z) <= 0.5 OR abs(s.z) >= 4 OR s.z IS NULL OR s.k = o.k + 20 OR side * s.z >= 2) GROUP BY ALL)
+SELECT o.symbol, o.entry_ts, o.side, coalesce(hit, last_ts) AS exit_ts FROM o LEFT JOIN h ON h.symbol = o.symbol AND h.entry_ts = o.entry_ts""")
 def exit_scan(spark, sf_dir):
     z = scored(spark, sf_dir)
-    opened = signals.entries(z, 2.0, 4.0).select("symbol", F.col("ts").alias("entry_ts"))
-    return signals.exit_hits(opened, z, 0.5, 4.0, 20)
+    opened = signals.entries(z, 2.0, 4.0).select("symbol", F.col("ts").alias("entry_ts"), "side")
+    return signals.exit_hits(opened, z, 2.0, 0.5, 4.0, 20)
 
 
 @query(f"""WITH {BARS}, l AS (SELECT *, lag(close) OVER ({W}) AS pc, lag(volume) OVER ({W}) AS pv FROM bars), g AS (SELECT symbol, ts, least(3.0, greatest(0.0, abs(open / pc - 1) / 0.02)) * 0.35 + least(3.0, greatest(0.0, ((high - low) / pc) / 0.03)) * 0.35 + least(3.0, greatest(0.0, (volume / pv) / 3.0)) * 0.1 AS s FROM l WHERE pc > 0 AND pv > 0)
@@ -367,7 +405,7 @@ def walk_forward(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS fold, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b), r AS (SELECT fold, a, b, i FROM c, range(240) t(i)),
-p AS (SELECT fold, i, CASE WHEN i // 40 IN (a, b) THEN 'test' WHEN (i >= a * 40 - 3 AND i < a * 40 + 40 + 5) OR (i >= b * 40 - 3 AND i < b * 40 + 40 + 5) THEN 'dropped' ELSE 'train' END AS part FROM r)
+p AS (SELECT fold, i, CASE WHEN i // 40 IN (a, b) THEN 'test' WHEN (i >= a * 40 - 5 AND i < a * 40 + 40 + 5) OR (i >= b * 40 - 5 AND i < b * 40 + 40 + 5) THEN 'dropped' ELSE 'train' END AS part FROM r)
 SELECT CAST(fold AS INT) AS fold, part, count(*) AS n, CAST(sum(i) AS BIGINT) AS sum_i FROM p GROUP BY ALL""")
 def purged_folds(spark, sf_dir):
     return validation.purged_folds(spark, 240, 6, 2, 3, 2).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))

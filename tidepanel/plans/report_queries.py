@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import rolling as R
 from tidepanel.functions import scalars as S
-from tidepanel.operators import align
-from tidepanel.plans.panel_queries import ALL_PAIRS, NEIGHBOURS, RAW, SCORED, W, all_pairs, neighbour_pairs, raw_bars, rounded, rounded_scaled, scored
+from tidepanel.functions.scalars import money
+from tidepanel.operators import align, clean
+from tidepanel.plans.panel_queries import ALL_PAIRS, NEIGHBOURS, RAW, SCORED, W, all_pairs, neighbour_pairs, raw_bars, rounded, scored
 from tidepanel.plans.trade_queries import NET, netted
 from tidepanel.sources.panel import BARS, TRADES, bars, table, trades
 
@@ -59,9 +60,10 @@ def holding_buckets(spark, sf_dir):
     return rounded(h.groupBy("holding").agg(F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("net"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate")), net=2)
 
 
-@query(f"WITH {NET} SELECT exit_date AS day, round(sum(gross_pnl) + 1e-6, 2) AS gross, round(sum(fees), 4) AS fees, count(*) AS n FROM net GROUP BY exit_date")
+@query(f"WITH {NET} SELECT exit_date AS day, CAST(sum(CAST(round(gross_pnl * 10000) AS BIGINT)) AS BIGINT) / 10000 AS gross, CAST(sum(CAST(round(fees * 10000) AS BIGINT)) AS BIGINT) / 10000 AS fees, count(*) AS n FROM net GROUP BY exit_date")
 def cost_components_daily(spark, sf_dir):
-    return rounded_scaled(netted(spark, sf_dir).groupBy(F.col("exit_date").alias("day")).agg((F.sum("gross_pnl") + 1e-6).alias("gross"), F.sum("fees").alias("fees"), F.count(F.lit(1)).alias("n")), gross=2, fees=4)
+    day = netted(spark, sf_dir).groupBy(F.col("exit_date").alias("day"))
+    return day.agg((F.sum(money(F.col("gross_pnl"))) / 10000).alias("gross"), (F.sum(money(F.col("fees"))) / 10000).alias("fees"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {BARS}, {TRADES}, m AS (SELECT t.trade_id, side, exec_px, b.close AS later FROM trades t ASOF LEFT JOIN bars b ON b.symbol = t.symbol AND b.ts <= t.entry_date + 5)
@@ -188,11 +190,12 @@ def settlement_dates(spark, sf_dir):
     return at.join(lagged, at.session == lagged.ts).select("trade_id", "settles")
 
 
-@query(f"""WITH {BARS}, d AS (SELECT symbol, ts, close FROM bars UNION ALL SELECT symbol, ts, close * 2 FROM bars WHERE day(ts) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY close DESC) AS q FROM d) SELECT symbol, count(*) AS n, round(sum(close), 2) AS total FROM k WHERE q = 1 GROUP BY symbol""")
+@query(f"""WITH {BARS}, d AS (SELECT symbol, ts, close, 0 AS seq FROM bars UNION ALL SELECT symbol, ts, close / 2, 1 FROM bars WHERE day(ts) = 1 UNION ALL SELECT symbol, ts, NULL, 2 FROM bars WHERE day(ts) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY seq DESC) AS q FROM d WHERE close IS NOT NULL) SELECT symbol, count(*) AS n, round(sum(close), 2) AS total FROM k WHERE q = 1 GROUP BY symbol""")
 def duplicate_rows(spark, sf_dir):
     b = bars(spark, sf_dir).select("symbol", "ts", "close")
-    d = b.unionByName(b.where(F.dayofmonth("ts") == 1).withColumn("close", F.col("close") * 2))
-    return rounded(d.groupBy("symbol", "ts").agg(F.max("close").alias("close")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("total")), 2)
+    again = b.where(F.dayofmonth("ts") == 1)
+    d = b.withColumn("seq", F.lit(0)).union(again.withColumns({"close": F.col("close") / 2, "seq": F.lit(1)})).union(again.withColumns({"close": F.lit(None).cast("double"), "seq": F.lit(2)}))
+    return rounded(clean.last_present(d, ["symbol", "ts"], "seq", ["close"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("total")), 2)
 
 
 @query(f"WITH {RAW} SELECT symbol, count(*) AS n FROM raw WHERE close IS NULL GROUP BY symbol ORDER BY n DESC, symbol LIMIT 10")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalars as S
+from tidepanel.functions.scalars import money
 from tidepanel.operators import align, reports, signals, trades as T
-from tidepanel.plans.panel_queries import SCORED, rounded, rounded_scaled, scored
+from tidepanel.plans.panel_queries import POSITIONS, SCORED, rounded, scored
 from tidepanel.sources.panel import BARS, TRADES, bars, table, trades
 from tidepanel.streaming import live
 
@@ -71,10 +72,10 @@ def risk_sizing(spark, sf_dir):
 PRICED = f"""{BARS}, {TRADES}, priced AS (SELECT t.*, b.close AS exit_px, side * qty * (b.close - exec_px) AS gross_pnl FROM trades t ASOF JOIN bars b ON b.symbol = t.symbol AND b.ts <= t.exit_date WHERE b.close > 0)"""
 
 
-@query(f"WITH {PRICED} SELECT trade_id, round(exit_px, 6) AS exit_px, round(gross_pnl + 1e-6, 2) AS gross_pnl FROM priced")
+@query(f"WITH {PRICED} SELECT trade_id, round(exit_px, 6) AS exit_px, round(gross_pnl * 10000) / 10000 AS gross_pnl FROM priced")
 def asof_exit(spark, sf_dir):
     out = T.priced_exit(trades(spark, sf_dir), bars(spark, sf_dir))
-    return rounded(out.select("trade_id", "exit_px", (F.col("gross_pnl") + 1e-6).alias("gross_pnl")), gross_pnl=2)
+    return rounded(out.select("trade_id", "exit_px", (money(F.col("gross_pnl")) / 10000).alias("gross_pnl")))
 
 
 NET = f"{PRICED}, net AS (SELECT *, {FEE} AS fees, gross_pnl + {FEE} AS net_pnl, CAST(date_trunc('quarter', exit_date) AS DATE) AS quarter FROM priced)"
@@ -116,17 +117,17 @@ def borrow_accrual(spark, sf_dir):
     return rounded(T.borrow_cost(paths(spark, sf_dir), 0.1), 4)
 
 
-EQUITY = f"""{PATHS}, moves AS (SELECT day, side * qty * (px - coalesce(lag(px) OVER (PARTITION BY trade_id ORDER BY day), exec_px)) AS d FROM paths), pnl AS (SELECT day, sum(d) AS pnl FROM moves GROUP BY day),
-eq AS (SELECT day, pnl, 100000000.0::DOUBLE + sum(pnl) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity FROM pnl), dd AS (SELECT *, max(equity) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM eq), curve AS (SELECT *, equity / peak - 1 AS drawdown FROM dd)"""
+EQUITY = f"""{PATHS}, moves AS (SELECT day, side * qty * (px - coalesce(lag(px) OVER (PARTITION BY trade_id ORDER BY day), exec_px)) AS d FROM paths), cents AS (SELECT day, CAST(sum(CAST(round(d * 10000) AS BIGINT)) AS BIGINT) AS m FROM moves GROUP BY day), pnl AS (SELECT day, m, m / 10000 AS pnl FROM cents),
+eq AS (SELECT day, pnl, (CAST(1000000000000 AS BIGINT) + CAST(sum(m) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 10000 AS equity FROM pnl), dd AS (SELECT *, max(equity) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM eq), curve AS (SELECT *, equity / peak - 1 AS drawdown FROM dd)"""
 
 
 def curve(spark, sf_dir):
     return T.equity(T.daily_pnl(paths(spark, sf_dir)), 1e8)
 
 
-@query(f"WITH {EQUITY} SELECT day, round(pnl, 2) AS pnl, round(equity, 2) AS equity, round(peak, 2) AS peak, round(drawdown, 6) AS drawdown FROM curve")
+@query(f"WITH {EQUITY} SELECT day, pnl, equity, peak, round(drawdown, 6) AS drawdown FROM curve")
 def mtm_equity(spark, sf_dir):
-    return rounded_scaled(curve(spark, sf_dir), 2, drawdown=6)
+    return rounded(curve(spark, sf_dir))
 
 
 @query(f"""WITH {EQUITY}, r AS (SELECT *, pnl / (equity - pnl) AS r FROM curve) SELECT count(*) AS n, round(sum(pnl) / 1e8, 6) AS total_return, round(avg(r), 6) AS mean, round(stddev_samp(r) * sqrt(252), 6) AS vol, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe,
@@ -148,7 +149,10 @@ def sharpe_significance(spark, sf_dir):
     return rounded(reports.probabilistic_sharpe(reports.moments(r, "r")), 4, sr=6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADES}, tn AS MATERIALIZED (SELECT trade_id, symbol, entry_date, exit_date, row_number() OVER (PARTITION BY symbol ORDER BY entry_date, exit_date, trade_id) AS k FROM trades), walk AS (
+SELECT symbol, k, trade_id, entry_date, exit_date, exit_date AS last_exit, true AS kept FROM tn WHERE k = 1 UNION ALL
+SELECT t.symbol, t.k, t.trade_id, t.entry_date, t.exit_date, CASE WHEN t.entry_date > w.last_exit THEN t.exit_date ELSE w.last_exit END, t.entry_date > w.last_exit FROM walk w JOIN tn t ON t.symbol = w.symbol AND t.k = w.k + 1)
+SELECT trade_id, symbol, entry_date, exit_date FROM walk WHERE kept""")
 def position_ledger(spark, sf_dir):
     return T.ledger(trades(spark, sf_dir))
 
@@ -165,9 +169,9 @@ def borrow_recalls(spark, sf_dir):
     return T.enforce_recalls(trades(spark, sf_dir), recalls, 2).select("trade_id", "exit_date", "recall")
 
 
-@query(f"""WITH {BARS}, {TRADES}, cal AS (SELECT ts, lead(ts, 1, ts + 366) OVER (ORDER BY ts) AS nx FROM (SELECT DISTINCT ts FROM bars WHERE extract(isodow FROM ts) IN (1, 4))),
-j AS (SELECT trade_id, exit_date, c.ts, c.nx FROM trades t ASOF LEFT JOIN cal c ON c.ts <= t.exit_date)
-SELECT trade_id, CASE WHEN exit_date >= nx THEN NULL WHEN ts IS NULL THEN NULL WHEN exit_date - ts <= (CASE WHEN exit_date = ts THEN ts ELSE nx END) - exit_date THEN ts ELSE (CASE WHEN exit_date = ts THEN ts ELSE nx END) END AS session FROM j""")
+@query(f"""WITH {BARS}, {TRADES}, cal AS (SELECT DISTINCT ts FROM bars WHERE extract(isodow FROM ts) IN (1, 4)),
+p AS (SELECT trade_id, exit_date, c.ts AS prior FROM trades t ASOF LEFT JOIN cal c ON c.ts <= t.exit_date), j AS (SELECT p.*, c.ts AS later FROM p ASOF LEFT JOIN cal c ON c.ts >= p.exit_date)
+SELECT trade_id, CASE WHEN prior IS NULL THEN later WHEN later IS NULL THEN prior WHEN exit_date - prior <= later - exit_date THEN prior ELSE later END AS session FROM j""")
 def calendar_nearest(spark, sf_dir):
     cal = bars(spark, sf_dir).where(F.dayofweek("ts").isin(2, 5)).select("ts")
     return align.map_to_calendar(trades(spark, sf_dir).select("trade_id", "exit_date"), "exit_date", cal, "nearest").select("trade_id", "session")
@@ -196,7 +200,9 @@ def backtest_overfitting(spark, sf_dir):
     return rounded(reports.overfit_probability(s.where("is_score is not null and oos_score is not null")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POSITIONS}, l AS (SELECT symbol, ts, pos, coalesce(lag(pos) OVER w, 0) AS q, lead(pos) OVER w AS nx, lead(ts) OVER w AS nt FROM walk WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+g AS (SELECT *, sum(CASE WHEN pos <> 0 AND pos <> q THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts) AS trade_no FROM l)
+SELECT symbol, CAST(trade_no AS BIGINT) AS trade_no, arg_min(pos, ts) AS side, min(ts) AS entry_ts, count(*) AS rows, max(CASE WHEN nx <> pos THEN nt END) AS exit_ts FROM g WHERE pos <> 0 GROUP BY ALL""")
 def signal_trades(spark, sf_dir):
     """Trades of the state machine's position edges."""
     return T.edges(signals.positions(scored(spark, sf_dir)))
