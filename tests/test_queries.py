@@ -6,11 +6,12 @@ import pytest
 
 import __spark_entry__
 from tests.oracle import assert_same, connect
-from tidepanel.plans import panel_queries, report_queries, trade_queries
+from tidepanel.plans import book_queries, market_queries, panel_queries, report_queries, trade_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = panel_queries.QUERIES | trade_queries.QUERIES | report_queries.QUERIES
-ORACLE = panel_queries.ORACLE | trade_queries.ORACLE | report_queries.ORACLE
+MODULES = (panel_queries, trade_queries, report_queries, book_queries, market_queries)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")

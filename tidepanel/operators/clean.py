@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,3 +164,142 @@ def kalman_fill(grid: DataFrame, q: float = 1e-3, r: float = 1e-2) -> DataFrame:
 def last_present(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
     """One row per keys: of rows that repeat a key, each field's last present value by order."""
     return rows.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
+
+
+def log_causal_return(bars: DataFrame, value: str = "close", max_gap: int = 5) -> DataFrame:
+    """As causal_return, in logs; what is not positive is missing."""
+    positive = bars.withColumn("_log", F.when(F.col(value) > 0, F.ln(value)))
+    w = by_time()
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    at = positive.withColumn("pos", F.row_number().over(w))
+    seen = at.withColumns({"_v": F.last("_log", ignorenulls=True).over(earlier), "_p": F.last(F.when(F.col("_log").isNotNull(), F.col("pos")), ignorenulls=True).over(earlier)})
+    return seen.withColumn("ret", F.when(F.col("pos") - F.col("_p") <= max_gap + 1, F.col("_log") - F.col("_v"))).drop("_v", "_p", "_log")
+
+
+def centered_outliers(bars: DataFrame, window: int = 21, limit: float = 8.0) -> DataFrame:
+    """The older scrub: log returns against the median of a window around them (it looks ahead). Marks outlier and nulls those closes; symbols with an outlier
+    also lose what is not positive; symbols with under five closes are left as they are."""
+    w = by_time()
+    half = window // 2
+    frame, least = w.rowsBetween(-half, half), max(5, half)
+    log = F.when(F.col("close") > 0, F.ln("close"))
+    at = bars.withColumn("_r", log - F.lag(log).over(w))
+    at = at.withColumn("_med", at_least(median(F.col("_r")), F.col("_r"), frame, least)).withColumn("_dev", F.abs(F.col("_r") - F.col("_med")))
+    scale = F.nullif(1.4826 * at_least(median(F.col("_dev")), F.col("_dev"), frame, least), F.lit(0.0))
+    whole = Window.partitionBy("symbol")
+    hit = F.coalesce(F.abs(F.try_divide(F.col("_r") - F.col("_med"), scale)) > limit, F.lit(False))
+    at = at.withColumn("_s", hit & (F.count("close").over(whole) >= 5))
+    touched = F.max("_s").over(whole)
+    return at.withColumn("close", F.when(~F.col("_s") & ~(touched & (F.col("close") <= 0)), F.col("close"))).withColumnRenamed("_s", "outlier").drop("_r", "_med", "_dev")
+
+
+def tradable(bars: DataFrame, calendar: DataFrame | None = None, opens: str = "09:30", closes: str = "16:00") -> DataFrame:
+    """Adds tradable: whether ts is a session (a day of the calendar, else a weekday); for times of day also whether it is within the session's hours."""
+    day = F.to_date("ts")
+    kind = dict(bars.dtypes)["ts"]
+    inside = F.lit(True) if kind == "date" else F.date_format("ts", "HH:mm").between(opens, closes)
+    if calendar is None:
+        return bars.withColumn("tradable", (F.weekday(day) < 5) & inside)
+    days = calendar.select(F.col("ts").alias("_day"), F.lit(True).alias("_open")).distinct()
+    return bars.join(days, day == F.col("_day"), "left").withColumn("tradable", F.coalesce("_open", F.lit(False)) & inside).drop("_day", "_open")
+
+
+def is_intraday(bars: DataFrame) -> DataFrame:
+    """One row: intraday, whether half of the neighbouring distances of a symbol's rows or more are under a day."""
+    gap = F.col("ts").cast("timestamp").cast("long") - F.lag(F.col("ts").cast("timestamp").cast("long")).over(by_time())
+    return bars.select(gap.alias("g")).where("g is not null").agg(F.coalesce(F.avg((F.col("g") < 86400).cast("double")) >= 0.5, F.lit(False)).alias("intraday"))
+
+
+def safe_fill(grid: DataFrame, max_gap: int, causal: bool = False, value: str = "close") -> DataFrame:
+    """symbol, ts, close, filled, method: gaps of up to max_gap tradable rows are filled. One row: the mean of its neighbours, or the one there is; two rows: a line between
+    them; more: a local-level smoother over the five rows on each side. causal: the value before, only. Longer gaps, gaps of two and more at an end, and rows that are not
+    tradable stay. grid: symbol, ts, close, tradable.
+
+    Gaps are runs of missing tradable rows; of other gaps near one, only values as read are used. One and two rows come from the neighbours by windows; the smoother runs on the rows around a gap, a gap at a time, so no task holds more than
+    max_gap + 10 rows.
+    """
+    w, whole = by_time(), Window.partitionBy("symbol")
+    at = grid.select("symbol", "ts", F.col(value).alias("close"), F.coalesce("tradable", F.lit(False)).alias("tradable"), F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(whole).alias("n"))
+    hole = F.col("close").isNull() & F.col("tradable")
+    at = at.withColumn("hole", hole).withColumn("gap", F.when(F.col("hole"), F.col("pos") - F.sum(F.col("hole").cast("int")).over(w)))
+    by_gap = Window.partitionBy("symbol", "gap")
+    at = at.withColumns({"length": F.count(F.lit(1)).over(by_gap), "first": F.min("pos").over(by_gap)})
+    at = at.withColumns({"before": F.lag("close").over(w), "after": F.lead("close").over(w)})
+    # the neighbours of the whole gap, carried to each of its rows
+    at = at.withColumns({"left": F.max(F.when(F.col("pos") == F.col("first"), F.col("before"))).over(by_gap), "right": F.max(F.when(F.col("pos") == F.col("first") + F.col("length") - 1, F.col("after"))).over(by_gap)})
+    step = F.col("pos") - F.col("first") + 1
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
+    open_ = F.col("hole") & (F.col("length") <= max_gap)
+    if causal:
+        found, how = F.col("left"), F.when(F.col("left").isNotNull(), "ffill")
+    else:
+        line = F.col("left") + (F.col("right") - F.col("left")) * step / (F.col("length") + 1)
+        found = F.when(F.col("length") == 1, F.when(both, (F.col("left") + F.col("right")) / 2).otherwise(F.coalesce("left", "right"))).when((F.col("length") == 2) & both, line)
+        how = F.when(F.col("length") == 1, F.when(both, "mean").when(F.col("left").isNotNull(), "ffill").when(F.col("right").isNotNull(), "bfill")).when((F.col("length") == 2) & both, "line").when((F.col("length") > 2) & both, "smooth")
+    at = at.withColumn("method", F.when(open_, how)).withColumn("value", F.when(open_ & how.isNotNull(), found))
+    if not causal:
+        gaps = at.where("method = 'smooth'").select("symbol", "first", "length").distinct()
+        around = gaps.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("first") - 5, F.lit(1)), (F.col("first") + F.col("length") + 4).cast("int"))))
+        near = around.join(at.select("symbol", "pos", "close", "n"), ["symbol", "pos"]).groupBy("symbol", "first", "length").agg(F.sort_array(F.collect_list(F.struct("pos", "close"))).alias("rows"))  # max_gap + 10 rows
+        smooth = near.select("symbol", F.explode(_level_smoother(F.col("first"), F.col("length"), F.col("rows"))).alias("x")).select("symbol", "x.pos", F.col("x.level").alias("_level"))
+        at = at.join(smooth, ["symbol", "pos"], "left").withColumn("value", F.coalesce("value", "_level"))
+    return at.select("symbol", "ts", F.coalesce("close", "value").alias("close"), F.col("value").isNotNull().alias("filled"), "method")
+
+
+def _level_smoother(first, length, rows):
+    """pos and level of the rows of a gap: forward filter and backward smoother of a local level, with the variance of the present values as noise."""
+
+    @F.pandas_udf("array<struct<pos:int,level:double>>")
+    def run(first: pd.Series, length: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for a, n, window in zip(first, length, rows, strict=True):
+            pos, y = np.array([r["pos"] for r in window]), np.array([np.nan if r["close"] is None else r["close"] for r in window], float)
+            level = smooth_level(y)
+            out.append([{"pos": int(p), "level": float(v)} for p, v in zip(pos, level, strict=True) if a <= p < a + n])
+        return pd.Series(out)
+
+    return run(first, length, rows)
+
+
+def smooth_level(y: np.ndarray, q: float = 1e-4) -> np.ndarray:
+    """Local-level smoother: steps of variance q, noise of the present values' variance; rows before the first present value take its level."""
+    have = np.isfinite(y)
+    if not have.any():
+        return np.full(len(y), np.nan)
+    noise, start = float(np.var(y[have])), int(np.argmax(have))
+    level, var = np.zeros(len(y)), np.zeros(len(y))
+    level[start], var[start] = y[start], 1.0
+    for t in range(start + 1, len(y)):
+        ahead = var[t - 1] + q
+        gain = ahead / (ahead + noise) if have[t] and ahead + noise > 0 else 0.0
+        level[t] = level[t - 1] + (gain * (y[t] - level[t - 1]) if have[t] else 0.0)
+        var[t] = (1 - gain) * ahead
+    back = level.copy()
+    for t in range(len(y) - 2, start - 1, -1):
+        if var[t]:
+            back[t] += var[t] / (var[t] + q) * (back[t + 1] - level[t])
+    back[:start] = back[start]
+    return back
+
+
+def events(masked: DataFrame, mask: str, stage: str, field: str, rule: str, severity: str, action: str) -> DataFrame:
+    """A row for each masked (symbol, ts): what was done to which field by which rule, with the bar's values as they were."""
+    told = {"stage": stage, "field": field, "rule": rule, "severity": severity, "action": action}
+    values = [F.col(c).alias(f"value_{c}") for c in ("open", "high", "low", "close", "volume") if c in masked.columns]
+    return masked.where(F.coalesce(F.col(mask), F.lit(False))).select("ts", "symbol", *[F.lit(v).alias(k) for k, v in told.items()], *values)
+
+
+def event_log(*parts: DataFrame) -> DataFrame:
+    """All events once, in one order: time, symbol, stage, field, rule. Sorted by ranges, not in one task."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.dropDuplicates(["ts", "symbol", "stage", "field", "rule"]).orderBy("ts", "symbol", "stage", "field", "rule")
+
+
+def hard_errors(bars: DataFrame, max_bad: float) -> DataFrame:
+    """symbol, n, n_bad, share, dropped: symbols of whose rows more than a share have prices that cannot be (crossed, or not positive)."""
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
+    bad = F.coalesce((h < l) | (h < F.greatest(o, c)) | (l > F.least(o, c)) | (F.least(o, h, l, c) <= 0), F.lit(False))
+    out = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_bad"))
+    return out.withColumn("share", F.col("n_bad") / F.col("n")).withColumn("dropped", F.col("share") > max_bad)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +114,55 @@ def first_reason(cases: Sequence[tuple[str, Column]]) -> Column:
     for name, cond in cases:
         out = F.when(F.coalesce(cond, F.lit(False)), name) if out is None else out.when(F.coalesce(cond, F.lit(False)), name)
     return out
+
+
+def precision_recall(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """auc_pr: area under precision over recall by trapezoids between distinct scores, from the highest on; n_points of the curve."""
+    by = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
+    run = prefix_sums(by, score, ["p", "q"], descending=True)
+    total = by.agg(F.greatest(F.sum("p"), F.lit(1.0)).alias("all"))
+    at = run.join(F.broadcast(total)).select(score, F.col("cum_p"), F.col("p"), "q", (F.col("cum_p") / F.col("all")).alias("rec"), (F.col("cum_p") / (F.col("cum_p") + F.col("cum_q"))).alias("prec"), (F.col("p") / F.col("all")).alias("step"), F.col("cum_q").alias("cq"), "all")
+    # the point before: its sums are this point's less its own counts
+    before = (F.col("cum_p") - F.col("p")) / F.nullif(F.col("cum_p") - F.col("p") + F.col("cq") - F.col("q"), F.lit(0.0))
+    return at.agg(F.sum(F.when(before.isNotNull(), F.col("step") * (F.col("prec") + before) / 2).otherwise(0.0)).alias("auc_pr"), F.count(F.lit(1)).alias("n_points"))
+
+
+def tear_sheet(days: DataFrame, capital: float, periods: int = 252) -> DataFrame:
+    """cagr (over calendar years of 365.25 days), ann_vol, max_drawdown, calmar, best and worst day of equity rows (day, pnl, equity, drawdown)."""
+    ret = days.withColumn("r", F.col("pnl") / (F.col("equity") - F.col("pnl")))
+    years = F.greatest(F.datediff(F.max("day"), F.min("day")), F.lit(1)) / 365.25
+    cagr = F.pow(F.max_by("equity", "day") / capital, 1 / years) - 1
+    out = ret.agg(cagr.alias("cagr"), (F.stddev_samp("r") * math.sqrt(periods)).alias("ann_vol"), F.min("drawdown").alias("max_drawdown"), F.max("r").alias("best"), F.min("r").alias("worst"))
+    return out.withColumn("calmar", F.try_divide("cagr", F.abs("max_drawdown")))
+
+
+def drawdown_spells(days: DataFrame) -> DataFrame:
+    """start (day of the peak before), trough, recovered (first day back at the peak, null if none), depth, days_down, days_back: each spell below a peak. One row per day in order."""
+    w = Window.orderBy("day")
+    at = days.withColumn("_peak_day", F.last(F.when(F.col("drawdown") == 0, F.col("day")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.withColumn("_back", F.first(F.when(F.col("drawdown") == 0, F.col("day")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = at.where("drawdown < 0").groupBy(F.col("_peak_day").alias("start"), F.col("_back").alias("recovered")).agg(F.min_by("day", "drawdown").alias("trough"), F.min("drawdown").alias("depth"))
+    return out.withColumns({"days_down": F.datediff("trough", "start"), "days_back": F.datediff("recovered", "trough")})
+
+
+def deflated_sharpe(stats: DataFrame, n_trials: int) -> DataFrame:
+    """Adds sr_max (expected best Sharpe of n_trials without skill) and dsr (probability that the true one is above it), from n, sr, skew and kurt (Bailey and Lopez de Prado)."""
+    from statistics import NormalDist
+
+    normal, gamma = NormalDist(), 0.5772156649015329
+    unit = 0.0 if n_trials <= 1 else (1 - gamma) * normal.inv_cdf(1 - 1 / n_trials) + gamma * normal.inv_cdf(1 - 1 / (n_trials * math.e))
+    sr = F.col("sr")
+    sigma = F.sqrt((1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr) / (F.col("n") - 1))
+
+    @F.pandas_udf("double")
+    def cdf(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: None if v is None or v != v else normal.cdf(v))
+
+    return stats.withColumn("sr_max", unit * sigma).withColumn("dsr", cdf(F.try_divide(sr - F.col("sr_max"), sigma)))
+
+
+def trial_scores(trials: DataFrame, keys: Sequence[str], weights: dict[str, float]) -> DataFrame:
+    """Per trial the mean of each metric over its folds, their weighted sum as score, and its rank (1 is best; ties by key)."""
+    out = trials.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in weights], F.count(F.lit(1)).alias("folds"))
+    score = sum((F.coalesce(F.col(m), F.lit(0.0)) * w for m, w in weights.items()), F.lit(0.0))
+    return out.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *keys)))  # one row per trial

@@ -168,3 +168,31 @@ def cointegration(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"pair": [rows["pair"].iloc[0] if n else None], "n": [n], "statistic": [stat], "level": [level]})
 
     return pairs.groupBy("pair").applyInPandas(run, "pair string, n long, statistic double, level double")
+
+
+def high_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
+    """left, right, corr of pairs at the threshold or above, names in order, highest first (then by name). Sorted by ranges."""
+    out = pairs.where(F.col("corr") >= threshold).select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "corr")
+    return out.orderBy(F.desc("corr"), "left", "right")
+
+
+def candidate_pairs(summary: DataFrame, most: int, by: str = "pct2") -> DataFrame:
+    """The first `most` pairs by a share, highest first: a top-k report, the limit is the feature."""
+    return summary.orderBy(F.desc(by), "left", "right").limit(most)
+
+
+def select_pairs(tested: DataFrame, share1: float, share2: float) -> DataFrame:
+    """Accepted pairs whose shares of windows over the two thresholds reach their cuts: mean_corr to 4 places, shares to 2, p to 6, highest rounded mean first.
+    tested: left, right, mean_corr, pct1, pct2, p, rejected."""
+    kept = tested.where(F.col("rejected") & (F.col("pct1") >= share1) & (F.col("pct2") >= share2))
+    out = kept.select(F.concat_ws("-", "left", "right").alias("pair"), F.round("mean_corr", 4).alias("mean_corr"), F.round("pct1", 2).alias("pct1"), F.round("pct2", 2).alias("pct2"), F.round("p", 6).alias("p"))
+    return out.orderBy(F.desc("mean_corr"), "pair")
+
+
+def nearest_positive(corr: np.ndarray, floor: float = 1e-8) -> np.ndarray:
+    """The matrix with its eigenvalues raised to the floor, scaled back to a unit diagonal."""
+    sym = (corr + corr.T) / 2
+    values, vectors = np.linalg.eigh(sym)
+    fixed = (vectors * np.maximum(values, floor)) @ vectors.T
+    scale = np.sqrt(np.diag(fixed))
+    return fixed / np.outer(scale, scale)
