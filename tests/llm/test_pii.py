@@ -73,3 +73,35 @@ def test_query_against_plain_patterns(spark):
         written = ",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e in want)
         assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
         assert set(filter(None, written.split(","))) <= set(r.spans.split(","))
+
+
+def test_secrets_next_to_a_learned_pattern(spark):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a7"
+    texts = [f'some words token = "{key(40)}" and more {i}' for i in range(20)] + ['config token = "9f3ab2c4d5e6f7a8" end', f"commit {key(40)} was made", "x" * 50_000 + " token = "]
+    out = {r.doc_id: r for r in P.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(out[i].n_secret == 1 and out[i].n_spans == 1 and out[i].spans == "" for i in range(21))
+    start, end = map(int, out[0].secrets.split(":"))
+    assert len(texts[0][start:end]) == 40 and out[21].n_secret == 0 and out[22].n_spans == 0
+
+
+def test_words_beside_a_mention_are_whole():
+    long = "w" * 500
+    assert P._near(f"a b {long} x", 4 + 500, -1, 3) == ["a", "b", long] and P._near(f"x {long} b", 1, 1, 1) == [long] and P._near("", 0, 1, 1) == []
+
+
+def test_recall_on_held_out_identifiers(spark):
+    """Numbers that no base pattern finds, next to contexts that also hold seeds: nine of ten and more are found, and numbers elsewhere are left alone."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    contexts = ["please call me at", "reach the office under", "our phone number is"]
+    rows, planted = [], set()
+    for i in range(600):
+        c, hidden = rng.choice(contexts), i % 5 == 0
+        number = f"555 {digits(3)} {digits(4)}" if hidden else f"+1 {digits(3)} 555 {digits(4)}"
+        rows.append((i, f"text {digits(2)} {c} {number} thanks"))
+        planted |= {i} if hidden else set()
+    rows += [(1000 + i, f"the order of {digits(9)} pieces was sent") for i in range(200)]
+    out = {r.doc_id: r for r in P.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[i].n_found > 0 for i in planted) >= 0.9 * len(planted)
+    assert sum(out[1000 + i].n_spans > 0 for i in range(200)) <= 2

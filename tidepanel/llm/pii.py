@@ -4,7 +4,8 @@ One pass over the whole texts finds the base spans and, elsewhere, candidates (d
 patterns: the words around it. Spark then scores the pattern-instance graph: a pattern's score for a kind is the confidence of its distinct instances
 over that plus its conflicts (seeds of other kinds, candidates of unfitting shape), seeds counting 1; fitting candidates that nothing is known of are
 no conflict, but less than half of the fitting instances; an instance's confidence is the noisy-or over its accepted patterns; a few rounds. Candidates next to an accepted pattern (enough seeds,
-high score, fitting shape) become spans of its kind. Base spans always stay.
+high score, fitting shape) become spans of its kind. Base spans always stay. Secrets (keys, tokens) have no base pattern: their seeds are strings of 32 characters and more
+that mix letters and digits, and like candidates (16 and more) they become spans only next to an accepted pattern.
 
 Cases: null text has no spans; an empty table gives an empty result; repeated rows are scanned each, and count as one instance in the graph; ties between
 kinds go to the higher score, then the kind listed first; long runs of digits or letters are scanned in linear time; other columns are not read.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -75,11 +78,28 @@ def _fits(text: str) -> int:
     return (1 if "@" in text[1:-1] else 0) | (2 if digits >= 4 and text.count(".") >= 3 else 0) | (4 if 12 <= digits <= 19 else 0) | (8 if 7 <= digits <= 15 else 0)
 
 
+def _near(text: str, at: int, way: int, n: int) -> list[str]:
+    """The n words before (way -1) or behind a place, whole: the stretch looked at grows until it holds more, or ends with the text."""
+    size = 64
+    while True:
+        part = text[max(0, at - size) : at] if way < 0 else text[at : at + size]
+        words = part.split()
+        if len(words) > n or len(part) < size:
+            return words[-n:] if way < 0 else words[:n]
+        size *= 4
+
+
+def _opaque(text: str) -> bool:
+    """Whether a string mixes letters and digits as keys do: two digits and two letters at least."""
+    digits = len(_DIGIT.findall(text))
+    return digits >= 2 and sum(c.isalpha() for c in text) >= 2
+
+
 def _patterns(text: str, start: int, end: int) -> list[str]:
     """Words around a mention: one before, two before, one before and one behind. Digits read as 0."""
     word = lambda w: _DIGIT.sub("0", w.strip(_EDGE).lower())
-    before = [w for w in map(word, text[max(0, start - 80) : start].split()[-2:]) if w]
-    behind = [w for w in map(word, text[end : end + 40].split()[:1]) if w]
+    before = [w for w in map(word, _near(text, start, -1, 3)) if w][-2:]
+    behind = [w for w in map(word, _near(text, end, 1, 1)) if w]
     out = []
     if before:
         out.append(f"{before[-1]} _")
@@ -91,7 +111,7 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def mentions(text: str) -> tuple[list, list]:
-    """Base spans; and mentions (kind or -1, start, end, instance, fitting kinds, patterns) of seeds and candidates."""
+    """Base spans; and mentions (kind or -1, start, end, instance, fitting kinds, patterns) of seeds, those of secrets among them, and candidates."""
     base = base_spans(text)
     found = [(k, s, e, text[s:e].lower(), 0, _patterns(text, s, e)) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
@@ -112,6 +132,15 @@ def mentions(text: str) -> tuple[list, list]:
         bits = _fits(text[s:e])
         if bits and (near := _patterns(text, s, e)):
             found.append((-1, s, e, text[s:e].lower(), bits, near))
+    if _DIGIT.search(text):
+        i = 0
+        for m in _OPAQUE.finditer(text):
+            while i < len(taken) and taken[i][1] <= m.start():
+                i += 1
+            if (i < len(taken) and taken[i][0] < m.end()) or not _opaque(m[0]):
+                continue
+            if near := _patterns(text, m.start(), m.end()):
+                found.append((SECRET if m.end() - m.start() >= 32 else -1, m.start(), m.end(), m[0], 1 << SECRET, near))
     return base, found
 
 
@@ -158,7 +187,8 @@ def accepted_patterns(each: DataFrame, rounds: int = 3, min_seeds: int = 5, min_
 
 
 def _fitting() -> Column:
-    return F.col("bits").bitwiseAND(F.shiftleft(F.lit(1), 0)) * (F.col("kind") == 0).cast("int") + F.col("bits").bitwiseAND(F.lit(2)) * (F.col("kind") == 1).cast("int") + F.col("bits").bitwiseAND(F.lit(4)) * (F.col("kind") == 2).cast("int") + F.col("bits").bitwiseAND(F.lit(8)) * (F.col("kind") == 3).cast("int") > 0
+    """Whether bits hold the kind's bit."""
+    return sum((F.when(F.col("kind") == i, F.col("bits").bitwiseAND(F.lit(1 << i))).otherwise(0) for i in range(SECRET + 1)), F.lit(0)) > 0
 
 
 def _written(spans: Column) -> Column:
@@ -168,20 +198,24 @@ def _written(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row of docs: the id, base counts, base_sha256, spans (base and discovered), n_found (discovered)."""
+    """Per row of docs: the id, base counts, base_sha256, spans (base and discovered), n_found (discovered ones of the four kinds), secrets (start:end), n_secret, n_spans (all)."""
     scanned = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, _SCAN)
     rows = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "mentions")
     each = rows.select("row", F.inline("found")).select("row", "kind", "s", "e", "inst", "bits", F.explode("pats").alias("pattern"))
     best = accepted_patterns(each, **options)
-    new = each.where("kind < 0").drop("kind").join(best, "pattern").where(_fitting())
+    new = each.where((F.col("kind") < 0) | (F.col("kind") == SECRET)).drop("kind").join(best, "pattern").where(_fitting())
     new = new.groupBy("row", "s", "e").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
     more = new.groupBy("row").agg(F.collect_list(F.struct("s", (-F.col("b.k")).alias("kind"), "e")).alias("more"))
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
     empty = F.array().cast("array<struct<s:int,kind:int,e:int>>")
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
-    return rows.join(more, "row", "left").select(
+    is_secret = lambda yes: F.filter(F.coalesce("more", empty), lambda x: (x["kind"] == SECRET) == F.lit(yes))
+    out = rows.join(more, "row", "left").withColumns({"secret": is_secret(True), "more": is_secret(False)})
+    return out.select(
         F.col("doc_id").alias(id_col), *[count(i) for i in range(4)], F.sha2(_written(base), 256).alias("base_sha256"),
-        _written(F.concat(base, F.coalesce("more", empty))).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_found"),
+        _written(F.concat(base, "more")).alias("spans"), F.size("more").cast("long").alias("n_found"),
+        F.array_join(F.transform(F.array_sort("secret"), lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",").alias("secrets"),
+        F.size("secret").cast("long").alias("n_secret"), (F.size("base") + F.size("more") + F.size("secret")).cast("long").alias("n_spans"),
     )
 
 
