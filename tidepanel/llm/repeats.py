@@ -278,7 +278,7 @@ def _cut(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, crowd: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, crowd: int = 2_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
     if width < GRAM:
         raise ValueError(f"width is {GRAM} at least")
@@ -289,8 +289,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = texts.mapInArrow(_anchor_rows(width), "route long, state int, gh long, span long, doc long, tag long, lo long, n int, back int")
     hits = materialise(found.repartition("route").sortWithinPartitions("gh", "span").mapInArrow(_stream_hits, _HIT), "hits")
     spans = hits.where("kind > 0")
-    many = spans.groupBy("gh").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
-    fine = spans.join(many, "gh").groupBy("doc", "tag").agg(F.collect_list(F.struct("gh", "kind", "crowded", "lo", "n", "back")).alias("fine"))
+    # the few anchors over the bound are stored, so the join has exchanges of its own and adaptive execution may split a frequent anchor
+    many = materialise(spans.groupBy("gh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("gh", F.lit(True).alias("crowded")), "crowded-anchors")
+    fine = spans.join(many, "gh", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))).groupBy("doc", "tag").agg(F.collect_list(F.struct("gh", "kind", "crowded", "lo", "n", "back")).alias("fine"))
     full = hits.where("kind = 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("full"))
     chosen = materialise(texts.join(full.join(fine, ["doc", "tag"], "full_outer"), ["doc", "tag"]), "hit-texts")
     rows = chosen.where("fine is not null").select("doc", "tag", "text", "fine")
