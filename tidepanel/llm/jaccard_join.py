@@ -257,7 +257,7 @@ def _block_links(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[tu
     return forest
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, block_features: int = 200_000, block_sets: int = 256, pivots: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, block_features: int = 200_000, block_sets: int = 256, pivots: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
     crowd: a signature of more sets is hot. block_sets and block_features: size of a block of crowded sets. pivots: rounds of setting aside what is similar to one set of the group.
@@ -269,7 +269,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs, crowded = _candidates(texts, sets, nodes, crowd)
     full = _features(texts, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
-    links = _verified(pairs, full).union(_same_document(sets, nodes))
+    links = _pair_links(pairs, full).union(_same_document(sets, nodes))
     if not crowded.isEmpty():
         apart = _features(texts, nodes.join(crowded.select("node").distinct(), "node", "left_semi"))
         links = links.union(_crowded_links(crowded, apart, block_features, block_sets, pivots))
@@ -293,11 +293,16 @@ def _candidates(texts: DataFrame, sets: DataFrame, nodes: DataFrame, crowd: int)
     counts = materialise(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signature-counts")
     part = F.col("sig").bitwiseAND(F.lit(PART))
     key = F.when(part == PART, F.lit(2)).otherwise(F.shiftright(part, 19)).cast("int")
-    hot = materialise(shared.join(counts.where(F.col("n") > crowd).select("sig"), "sig").select("sig", "node", key.alias("key")), "hot")
+    hot = materialise(shared.join(counts.where(F.col("n") > crowd), "sig").select("sig", "node", key.alias("key"), F.col("n").alias("held")), "hot")
     weak = hot.groupBy("node", "key").agg(F.count_distinct(part).alias("weak"))
     spare = nodes.select("node", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("key"), c.alias("left")) for i, c in enumerate((F.col("left_even"), F.col("left_odd"), F.lit(0)))])).alias("x")).select("node", "n", "x.*")
-    spare = materialise(spare.join(weak, ["node", "key"], "left").select("node", "n", "key", (F.col("left") - F.coalesce("weak", F.lit(0))).alias("left")), "spare")
-    crowded = materialise(hot.join(spare.where("left < 0").select("node", "key"), ["node", "key"]).select("node", "sig"), "crowded")
+    spare = materialise(spare.join(weak, ["node", "key"], "left").select("node", "n", "key", F.col("left").alias("full"), (F.col("left") - F.coalesce("weak", F.lit(0))).alias("left")), "spare")
+    # Crowded sets that share no cold signature share hot ones of full + 1 partitions at least, so each may leave out those of its `full` most held partitions
+    many = hot.join(spare.where("left < 0").select("node", "key", "full"), ["node", "key"])
+    order = Window.partitionBy("node", "key").orderBy(F.desc("held"), "sig")  # one set's signatures
+    new_part = F.row_number().over(Window.partitionBy("node", "key", part).orderBy(F.desc("held"), "sig")) == 1
+    seen = many.withColumn("_new", new_part.cast("int")).withColumn("_parts", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    crowded = materialise(seen.where(F.col("_parts") > F.col("full")).select("node", "sig", "held"), "crowded")
     cold = materialise(shared.join(counts.where(F.col("n") <= crowd).select("sig"), "sig"), "cold")  # `crowd` rows a signature at most
     met = cold.select("sig", F.col("node").alias("a")).join(cold.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b", part.alias("part"), key.alias("key"))
     agreed = met.repartition("a", "b").groupBy("a", "b", "key").agg(F.count_distinct("part").alias("agreed"))
@@ -321,6 +326,16 @@ def _features(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(rows.join(keys, ["doc_id", "digest"]).select("node", "features"), "features")
 
 
+def _pair_links(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Links that connect what the similar pairs connect. First each node is compared with its smallest partner; of the other pairs only those between two of the
+    components that result are compared, as the rest could not join anything more. In a group of copies that leaves about one comparison a copy."""
+    first = materialise(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), full), "first-links")
+    found = materialise(connected_components(first), "first-components")
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b")
+    return first.union(materialise(_verified(apart, full), "other-links"))
+
+
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar."""
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
@@ -347,16 +362,18 @@ def _crowded_links(crowded: DataFrame, full: DataFrame, block_features: int, blo
     spark = crowded.sparkSession
     low = materialise(crowded.groupBy("sig").agg(F.min("node").alias("low")), "hot-lows")
     groups = connected_components(crowded.join(low, "sig").select("node", "low").where("node <> low").distinct(), "node", "low")
-    rest = materialise(full.join(groups, "node").select("component", "node", "features"), "crowded-sets")
+    # the set whose signatures most others hold is the middle of its group
+    weight = crowded.groupBy("node").agg(F.sum("held").alias("weight"))
+    rest = materialise(full.join(groups, "node").join(weight, "node").select("component", "node", "features", "weight"), "crowded-sets")
     piles, links = [], spark.createDataFrame([], "a long, b long")
     for pile in range(pivots):
-        chosen = rest.join(materialise(rest.groupBy("component").agg(F.min("node").alias("pivot")), "pivots"), "component")
-        center = materialise(chosen.where("node = pivot").groupBy("component").agg(F.first("pivot").alias("pivot"), F.first("features").alias("center")), "centers")
+        middle = F.max_by(F.struct("node", "features"), F.struct("weight", -F.col("node")))
+        center = materialise(rest.groupBy("component").agg(middle.alias("m")).select("component", F.col("m.node").alias("pivot"), F.col("m.features").alias("center")), "centers")
         seen = materialise(rest.join(center, "component").withColumn("near", _similar("features", "center")).drop("center"), "seen")
         near = seen.where("near")
         links = links.union(near.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         piles.append(near.select("component", F.lit(pile).alias("pile"), "node", "features"))
-        rest = seen.where("not near").select("component", "node", "features")
+        rest = seen.where("not near").select("component", "node", "features", "weight")
     dealt = rest.select("component", F.lit(pivots).alias("pile"), "node", "features")
     for p in piles:
         dealt = dealt.union(p)
