@@ -189,10 +189,8 @@ def select_pairs(tested: DataFrame, share1: float, share2: float) -> DataFrame:
     return out.orderBy(F.desc("mean_corr"), "pair")
 
 
-def nearest_positive(corr: np.ndarray, floor: float = 1e-8) -> np.ndarray:
-    """The matrix with its eigenvalues raised to the floor, scaled back to a unit diagonal."""
-    sym = (corr + corr.T) / 2
-    values, vectors = np.linalg.eigh(sym)
-    fixed = (vectors * np.maximum(values, floor)) @ vectors.T
-    scale = np.sqrt(np.diag(fixed))
-    return fixed / np.outer(scale, scale)
+def nearest_positive(matrix: np.ndarray, floor: float = 1e-8) -> np.ndarray:
+    """The nearest symmetric matrix whose eigenvalues are at the floor or above."""
+    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    raised = vectors @ np.diag(np.maximum(values, floor)) @ vectors.T
+    return (raised + raised.T) / 2
