@@ -29,12 +29,24 @@ def on_grid(bars: DataFrame, mode: str = "union") -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, value: str, left_ts: str, key: str = "symbol", right_ts: str = "ts", skip_null: bool = False, out: str | None = None) -> DataFrame:
     """Adds right's value of the last row at or before left_ts; validity is the caller's check, unless skip_null looks further back.
 
-    Both sides are united and carried forward in one window per key: one shuffle by key, no range join.
+    For days, right is spread once to one row per key and day between its observations, and left meets it by an equi-join on both, so neither side is held per key; days
+    behind a key's last observation take that. For other times both sides are united and carried forward in one window per key.
     """
     out = out or value
+    seen = right.where(F.col(value).isNotNull()) if skip_null else right
+    if dict(right.dtypes)[right_ts] != "date" or dict(left.dtypes)[left_ts] != "date":
+        return _asof_times(left, seen, value, left_ts, key, right_ts, out)
+    following = F.lead(right_ts).over(Window.partitionBy(key).orderBy(right_ts))
+    spans = seen.where(F.col(right_ts).isNotNull()).select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.col(value).alias("_v"), following.alias("_next"))
+    daily = spans.where("_next > _t").select("_k", F.explode(F.sequence("_t", F.date_sub("_next", 1))).alias("_d"), F.struct("_v").alias("_hit"))
+    last = spans.where("_next is null").select(F.col("_k").alias("_lk"), F.col("_t").alias("_lt"), F.col("_v").alias("_lv"))  # one row per key
+    met = left.join(daily, (F.col(key) == F.col("_k")) & (F.col(left_ts) == F.col("_d")), "left").join(last, F.col(key) == F.col("_lk"), "left")
+    found = F.when(F.col(left_ts) >= F.col("_lt"), F.col("_lv")).otherwise(F.col("_hit._v"))
+    return met.select(*[F.col(c) for c in left.columns if c != out], found.alias(out))
+
+
+def _asof_times(left: DataFrame, right: DataFrame, value: str, left_ts: str, key: str, right_ts: str, out: str) -> DataFrame:
     marks = right.select(F.col(key), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(None).alias("_row").cast(left.select(F.struct("*").alias("s")).schema["s"].dataType))
-    if skip_null:
-        marks = marks.where("_v.v is not null")
     asks = left.select(F.col(key), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
     w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     hit = marks.unionByName(asks).withColumn("_hit", F.last("_v", ignorenulls=True).over(w))

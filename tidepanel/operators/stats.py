@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.rolling import by_time, log_return
+from tidepanel.operators.reports import prefix_sums
 
 
 def returns(bars: DataFrame, min_positive: float = 0.99, max_missing: float = 0.5) -> DataFrame:
@@ -111,14 +112,23 @@ def bootstrap_means(corrs: DataFrame, resamples: int = 200, block: float = 5.0,
     return corrs.groupBy("left", "right").applyInPandas(run, "left string, right string, mean double, ci_low double, ci_high double, p double")
 
 
+def harmonic_number(n: F.Column) -> F.Column:
+    """1 + 1/2 + ... + 1/n: summed up to 32, by its asymptotic series (exact to 4e-12) beyond."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(32)).cast("int")), F.lit(0.0), lambda acc, k: acc + 1 / k)
+    return F.when(n <= 32, few).otherwise(F.ln(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n))
+
+
 def false_discovery(tests: DataFrame, p: str, alpha: float, dependent: bool = False) -> DataFrame:
-    """Adds rejected by Benjamini-Hochberg, or Benjamini-Yekutieli if dependent: ranks by p, the cut by one aggregate."""
-    ranked = tests.withColumn("_r", F.row_number().over(Window.orderBy(p, *[c for c in tests.columns if c != p])))  # one row per pair
-    total = ranked.agg(F.count(F.lit(1)).alias("_n"), F.sum(1 / F.col("_r")).alias("_h"))
-    level = F.lit(alpha) / F.col("_h") if dependent else F.lit(alpha)
-    joined = ranked.join(F.broadcast(total))
-    cut = joined.where(F.col(p) <= F.col("_r") / F.col("_n") * level).agg(F.max(p).alias("_cut"))
-    return joined.join(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_r", "_n", "_h", "_cut")
+    """Adds rejected by Benjamini-Hochberg, or Benjamini-Yekutieli if dependent: all p up to the largest one that is at most its rank's share of alpha.
+
+    A p's rank is the number of tests up to it, from counts by p and prefix sums over ranges of p, so no task ranks all tests. Missing p are not tests.
+    """
+    counts = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).cast("double").alias("_k"))
+    ranked = prefix_sums(counts, p, ["_k"])
+    total = counts.agg(F.sum("_k").alias("_n"))
+    level = F.lit(alpha) / harmonic_number(F.col("_n")) if dependent else F.lit(alpha)
+    cut = ranked.join(F.broadcast(total)).where(F.col(p) <= F.col("cum__k") / F.col("_n") * level).agg(F.max(p).alias("_cut"))  # one row each
+    return tests.join(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def half_life(pairs: DataFrame) -> DataFrame:

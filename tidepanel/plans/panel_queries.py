@@ -96,7 +96,10 @@ def return_cap(spark, sf_dir):
     return rounded(clean.cap_returns(raw_bars(spark, sf_dir), 0.5).select("symbol", "ts", "capped", "close"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RAW}, rn AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER ({W}) AS k FROM raw), walk AS (SELECT symbol, ts, k, close AS c, close AS kept FROM rn WHERE k = 1 UNION ALL
+SELECT n.symbol, n.ts, n.k, CASE WHEN n.close IS NULL THEN NULL WHEN w.kept IS NULL THEN n.close ELSE least(greatest(n.close, w.kept * 0.8::DOUBLE), w.kept * 1.2::DOUBLE) END,
+CASE WHEN n.close IS NULL THEN w.kept WHEN w.kept IS NULL THEN n.close ELSE least(greatest(n.close, w.kept * 0.8::DOUBLE), w.kept * 1.2::DOUBLE) END FROM walk w JOIN rn n ON n.symbol = w.symbol AND n.k = w.k + 1)
+SELECT symbol, ts, round(c, 6) AS close FROM walk""")
 def return_clip(spark, sf_dir):
     return rounded(clean.clip_returns(raw_bars(spark, sf_dir), 0.2))
 
