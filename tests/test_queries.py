@@ -6,10 +6,10 @@ import pytest
 
 import __spark_entry__
 from tests.oracle import assert_same, connect
-from tidepanel.plans import book_queries, market_queries, panel_queries, report_queries, trade_queries
+from tidepanel.plans import book_queries, liquidity_queries, market_queries, panel_queries, report_queries, trade_queries
 
 SF = "/root/testdata/sf0.001"
-MODULES = (panel_queries, trade_queries, report_queries, book_queries, market_queries)
+MODULES = (panel_queries, trade_queries, report_queries, book_queries, market_queries, liquidity_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 

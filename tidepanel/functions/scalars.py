@@ -29,7 +29,7 @@ def canonical_pair(a: Column, b: Column) -> Column:
 
 
 def pair_leg(pair: Column, leg: int) -> Column:
-    return F.trim(F.split(pair, "[-/,:]", 2)[leg])
+    return F.trim(F.get(F.split(pair, "[-/,:]", 2), leg))
 
 
 def normalize_symbol(symbol: Column, keep_suffixes: tuple[str, ...] = ("TO", "L", "DE")) -> Column:
@@ -44,9 +44,10 @@ def round_to(x: Column, step: float) -> Column:
 
 
 def impact_bps(notional: Column, adv: Column, base: float, coef: float, power: float = 0.5, floor: float = 0.0, cap: float = 1e9) -> Column:
-    """Base plus a power of participation, between floor and cap; the cap where the volume is missing."""
+    """Base plus a power of participation, between floor and cap; the base alone where the volume is unknown, nothing without a notional."""
     share = safe_div(notional, F.when(adv > 0, adv))
-    return F.coalesce(F.least(F.lit(cap), F.greatest(F.lit(floor), base + coef * F.pow(share, F.lit(power)))), F.lit(cap))
+    sized = F.least(F.lit(cap), F.greatest(F.lit(floor), base + coef * F.pow(share, F.lit(power))))
+    return F.when(~F.coalesce(notional > 0, F.lit(False)), 0.0).when(share.isNull(), min(base, cap)).otherwise(sized)
 
 
 def fill_probability(notional: Column, adv: Column, k: float, least: float) -> Column:
