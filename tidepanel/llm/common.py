@@ -30,13 +30,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidepanel/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process has written to the shared folder and not deleted, in order.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession, keep_last: int = 0) -> int:
+    """Deletes the tables that materialise has written, but the last ones, and says how many. For when a result has been written: DataFrames that read them end with them."""
+    gone = _WRITTEN[: len(_WRITTEN) - keep_last]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _WRITTEN[: len(gone)]
+    return len(gone)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() on bytes-only text takes Spark's fast path; other text is translated."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
