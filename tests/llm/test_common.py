@@ -8,6 +8,9 @@ from tidepanel.llm import common as C
 def test_scratch_is_cleared_but_the_last_table(spark):
     C.clear_scratch(spark)
     first, last = C.materialise(spark.range(3), "a"), C.materialise(spark.range(4), "b")
+    other = C.written()
+    C.materialise(spark.range(5), "c")
+    assert C.clear_scratch(spark, since=other) == 1 and C.written() == other
     assert C.clear_scratch(spark, keep_last=1) == 1 and last.count() == 4
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ"):
         first.count()

@@ -42,13 +42,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession, keep_last: int = 0) -> int:
-    """Deletes the tables that materialise has written, but the last ones, and says how many. For when a result has been written: DataFrames that read them end with them."""
-    gone = _WRITTEN[: len(_WRITTEN) - keep_last]
+def written() -> int:
+    """Number of tables that materialise has written and nobody has deleted."""
+    return len(_WRITTEN)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep_last: int = 0) -> int:
+    """Deletes the tables that materialise has written after the first `since`, but the last ones, and says how many. For when a result has been written: DataFrames that
+    read them end with them."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep_last]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _WRITTEN[: len(gone)]
+    del _WRITTEN[since : since + len(gone)]
     return len(gone)
 
 
