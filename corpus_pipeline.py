@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm import exact_dedup as exact
 from tidepanel.llm import jaccard_join, mixing, pieces
 from tidepanel.llm import language_id as languages
-from tidepanel.llm.common import materialise, table
+from tidepanel.llm.common import clear_scratch, materialise, table, written
 
 MAX_REPEAT = 1.5
 
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        clear_scratch(spark, others, keep_last=1)  # what this and earlier stages wrote on the way
     return docs
