@@ -91,6 +91,18 @@ def test_similar_sets_agree_in_more_partitions_than_either_spares(size):
     assert seen
 
 
+@pytest.mark.parametrize("size", [1, 3, 10, 100, 3000])
+def test_histograms_leave_room_for_every_similar_pair(size):
+    rng = np.random.default_rng(size)
+    for _ in range(40):
+        a, b, similar = random_pair(rng, size)
+        assert J.may_be_similar(J.histogram(a), J.histogram(b), len(a) + len(b)) or not similar
+    a, b = (rng.integers(0, 1 << 63, 2000).astype(np.uint64) for _ in range(2))
+    assert not J.may_be_similar(J.histogram(a), J.histogram(b), 4000)
+    full = bytes([255]) + bytes(15)
+    assert J.may_be_similar(full, J.histogram(a), 4000)
+
+
 def test_signatures_are_subsets_of_parts_and_differ_by_band():
     a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2))
     t, ends, left = J.signatures(np.zeros(100, np.int64), a, 1)

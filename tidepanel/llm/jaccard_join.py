@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -193,7 +194,23 @@ def _digests(h: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, left_even int, left_odd int"
+def histogram(h: np.ndarray) -> bytes:
+    """Number of features by hash bucket, a byte each; half as many buckets as features or more, a power of two."""
+    buckets = 1 << max(4, int(len(h) // 2).bit_length())
+    return np.minimum(np.bincount((_mix(h ^ _KINV) % np.uint64(buckets)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, sizes: int) -> bool:
+    """Whether the histograms of two sets leave room for enough common features: a bucket has no more in common than its lesser count. (A full bucket, 255, leaves any room.)"""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    if x.max(initial=0) == 255 or y.max(initial=0) == 255:
+        return True
+    x = x.reshape(-1, len(y)).sum(axis=0)
+    return 175 * int(np.minimum(x, y).sum()) >= 75 * sizes
+
+
+_SETS = "doc_id long, n_shingles long, digest binary, left_even int, left_odd int, counts binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +220,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(owner, minlength=len(texts))
         digests = _digests(h, np.concatenate([[0], np.cumsum(size)]))
         left = signatures(owner, h, len(texts))[2].astype(np.int32)
-        columns = [pa.array(ids, pa.int64()), pa.array(size), pa.array(digests, pa.binary()), pa.array(left[:, 0]), pa.array(left[:, 1])]
+        ends = np.cumsum(size)
+        counts = [histogram(h[b - n : b]) if n else None for b, n in zip(ends, size, strict=True)]
+        columns = [pa.array(ids, pa.int64()), pa.array(size), pa.array(digests, pa.binary()), pa.array(left[:, 0]), pa.array(left[:, 1]), pa.array(counts, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SETS.split(", ")])
 
 
@@ -257,7 +276,7 @@ def _block_links(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[tu
     return forest
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, block_features: int = 200_000, block_sets: int = 256, pivots: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, block_features: int = 400_000, block_sets: int = 512, pivots: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
     crowd: a signature of more sets is hot. block_sets and block_features: size of a block of crowded sets. pivots: rounds of setting aside what is similar to one set of the group.
@@ -265,9 +284,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(texts.mapInArrow(_sets, _SETS), "sets")
     distinct = sets.where("digest is not null and doc_id is not null").groupBy("digest")
-    nodes = distinct.agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("left_even").alias("left_even"), F.max("left_odd").alias("left_odd"))
+    nodes = distinct.agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("left_even").alias("left_even"), F.max("left_odd").alias("left_odd"), F.any_value("counts").alias("counts"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs, crowded = _candidates(texts, sets, nodes, crowd)
+    pairs = materialise(_roomy(pairs, nodes), "roomy-pairs")
     full = _features(texts, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
     links = _pair_links(pairs, full).union(_same_document(sets, nodes))
     if not crowded.isEmpty():
@@ -305,7 +325,7 @@ def _candidates(texts: DataFrame, sets: DataFrame, nodes: DataFrame, crowd: int)
     crowded = materialise(seen.where(F.col("_parts") > F.col("full")).select("node", "sig", "held"), "crowded")
     cold = materialise(shared.join(counts.where(F.col("n") <= crowd).select("sig"), "sig"), "cold")  # `crowd` rows a signature at most
     met = cold.select("sig", F.col("node").alias("a")).join(cold.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b", part.alias("part"), key.alias("key"))
-    agreed = met.repartition("a", "b").groupBy("a", "b", "key").agg(F.count_distinct("part").alias("agreed"))
+    agreed = met.groupBy("a", "b", "key").agg(F.count_distinct("part").alias("agreed"))
     side = lambda c: spare.select(F.col("node").alias(c), "key", F.col("left").alias(f"left_{c}"), F.col("n").alias(f"n_{c}"))
     fits = agreed.join(side("a"), ["a", "key"]).join(side("b"), ["b", "key"]).where("agreed > greatest(left_a, left_b, 0) and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
     return materialise(fits.select("a", "b").distinct(), "pairs"), crowded
@@ -326,6 +346,18 @@ def _features(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(rows.join(keys, ["doc_id", "digest"]).select("node", "features"), "features")
 
 
+def _roomy(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose histograms leave room for a link; a histogram is a tenth of its set or less."""
+
+    @F.pandas_udf("boolean")
+    def fits(a: pd.Series, b: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([may_be_similar(x, y, int(n)) for x, y, n in zip(a, b, sizes, strict=True)], dtype=bool)
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("n").alias(f"n_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(fits("counts_a", "counts_b", F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _pair_links(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """Links that connect what the similar pairs connect. First each node is compared with its smallest partner; of the other pairs only those between two of the
     components that result are compared, as the rest could not join anything more. In a group of copies that leaves about one comparison a copy."""
