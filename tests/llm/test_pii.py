@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from tidepanel.llm import pii as P
 
@@ -27,8 +28,13 @@ def test_base_patterns_on_random_texts():
 
 
 def test_long_runs_take_linear_time():
-    for t in ("a" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "@" * 100_000, "+1" * 200_000, "a@" * 100_000):
+    began = time.process_time()
+    for t in ("a" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "@" * 100_000, "+1" * 200_000, "a@" * 100_000, "@ 1" + "a" * 1_000_000, "1 " * 500_000):
         P.mentions(t)
+    base, found = P.mentions(",".join(f"10.0.{i % 250}.{i % 199}" for i in range(400_000)))  # 5 MB without white space
+    assert len(base) == len(found) == 400_000 and found[1][5] == ["00.0.0.0 _"]
+    assert len(P.mentions(",".join(f"u{i}@host.org" for i in range(100_000)))[0]) == 100_000
+    assert time.process_time() - began < 60
 
 
 def documents(spark):
@@ -80,14 +86,24 @@ def test_secrets_next_to_a_learned_pattern(spark):
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a7"
     texts = [f'some words token = "{key(40)}" and more {i}' for i in range(20)] + ['config token = "9f3ab2c4d5e6f7a8" end', f"commit {key(40)} was made", "x" * 50_000 + " token = "]
     out = {r.doc_id: r for r in P.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert all(out[i].n_secret == 1 and out[i].n_spans == 1 and out[i].spans == "" for i in range(21))
-    start, end = map(int, out[0].secrets.split(":"))
+    assert all(out[i].n_secret == 1 and out[i].n_spans == 1 and out[i].spans.startswith("secret:") for i in range(21))
+    start, end = map(int, out[0].spans.split(":")[1:])
     assert len(texts[0][start:end]) == 40 and out[21].n_secret == 0 and out[22].n_spans == 0
 
 
-def test_words_beside_a_mention_are_whole():
+def test_words_beside_a_mention_are_whole_but_for_other_mentions():
     long = "w" * 500
-    assert P._near(f"a b {long} x", 4 + 500, -1, 3) == ["a", "b", long] and P._near(f"x {long} b", 1, 1, 1) == [long] and P._near("", 0, 1, 1) == []
+    text = f"a b {long} 10.0.0.1 c, x@y.org,z@y.org end"
+    at = [(s, e) for _, s, e in P.base_spans(text)]
+    words = P.Words(text, sorted({x for p in at for x in p}))
+    assert words.patterns(*at[-1]) == [f"{long} _", f"b {long} _", f"{long} _ c"]
+    assert words.patterns(*at[0]) == ["c _", "00.0.0.0 c _"] and words.patterns(*at[1])[0] == "x@y.org _"
+
+
+def test_numbers_of_a_row():
+    rows = {"555 0142 77": ["555 0142 77"], "555-0110-77 555-0111-77": ["555-0110-77", "555-0111-77"], "4111 1111 1111 1112": ["4111 1111 1111 1112"], "4111 1111 1111 1112 4111 1111": ["4111 1111 1111 1112", "4111 1111"]}
+    for text, want in rows.items():
+        assert [text[s:e] for s, e in P.numbers(text, 0, len(text))] == want
 
 
 def test_recall_on_held_out_identifiers(spark):

@@ -8,12 +8,14 @@ high score, fitting shape) become spans of its kind. Base spans always stay. Sec
 that mix letters and digits, and like candidates (16 and more) they become spans only next to an accepted pattern.
 
 Cases: null text has no spans; an empty table gives an empty result; repeated rows are scanned each, and count as one instance in the graph; ties between
-kinds go to the higher score, then the kind listed first; long runs of digits or letters are scanned in linear time; other columns are not read.
+kinds go to the higher score, then the kind listed first; texts of any length are scanned whole and in linear time (neighbours come from one list of a text's words, cut
+where a mention begins or ends); in a row of numbers a number ends where it would pass 19 digits, or where two of 7 digits and more meet; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import materialise, table
 
+#: Kinds of base spans in the order of ties, and the one that only contexts find.
 KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,8 +35,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9][0-9 ().-]*[0-9](?![0-9A-Za-z])")
-_GROUP = re.compile(r"[0-9][0-9().-]*[0-9]")
-_AT = re.compile(r"[^\s@]*@[^\s@]*")
+_PIECE = re.compile(r"[^ ]+")
+_AT = re.compile(r"(?:(?<![^\s@])[^\s@]++)?@[^\s@]*+")
+_WHOLE = re.compile(r"\S+")
 _EDGE = ".,;!?()[]{}<>\"'"
 _DIGIT = re.compile("[0-9]")
 
@@ -78,15 +83,50 @@ def _fits(text: str) -> int:
     return (1 if "@" in text[1:-1] else 0) | (2 if digits >= 4 and text.count(".") >= 3 else 0) | (4 if 12 <= digits <= 19 else 0) | (8 if 7 <= digits <= 15 else 0)
 
 
-def _near(text: str, at: int, way: int, n: int) -> list[str]:
-    """The n words before (way -1) or behind a place, whole: the stretch looked at grows until it holds more, or ends with the text."""
-    size = 64
-    while True:
-        part = text[max(0, at - size) : at] if way < 0 else text[at : at + size]
-        words = part.split()
-        if len(words) > n or len(part) < size:
-            return words[-n:] if way < 0 else words[:n]
-        size *= 4
+def numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Places of the numbers in a row of digit groups: groups join at spaces until 19 digits, but two of 7 digits and more are numbers of their own."""
+    begin = last = have = 0
+    for m in _PIECE.finditer(text, start, end):
+        digits = len(_DIGIT.findall(m[0]))
+        if have and (have + digits > 19 or (have >= 7 and digits >= 7)):
+            yield begin, last
+            have = 0
+        if digits:
+            begin, last, have = (begin if have else m.start()), m.end(), have + digits
+    if have:
+        yield begin, last
+
+
+class Words:
+    """Words of a text in order, cut where a mention begins or ends, so that all of them together are as long as the text."""
+
+    def __init__(self, text: str, cuts: list[int]) -> None:
+        self.text, self.starts, self.ends = text, [], []
+        for m in _WHOLE.finditer(text):
+            at = m.start()
+            for cut in cuts[bisect_right(cuts, at) : bisect_left(cuts, m.end())]:
+                self.starts.append(at)
+                self.ends.append(cut)
+                at = cut
+            self.starts.append(at)
+            self.ends.append(m.end())
+
+    def _plain(self, i: int) -> str:
+        return _DIGIT.sub("0", self.text[self.starts[i] : self.ends[i]].strip(_EDGE).lower())
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Words around a mention: one before, two before, one before and one behind. Digits read as 0."""
+        i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        before = [w for w in map(self._plain, range(max(0, i - 3), i)) if w][-2:]
+        behind = [w for w in map(self._plain, range(j, min(j + 1, len(self.starts)))) if w]
+        out = []
+        if before:
+            out.append(f"{before[-1]} _")
+            if len(before) == 2:
+                out.append(f"{before[0]} {before[1]} _")
+            if behind:
+                out.append(f"{before[-1]} _ {behind[0]}")
+        return out
 
 
 def _opaque(text: str) -> bool:
@@ -95,53 +135,35 @@ def _opaque(text: str) -> bool:
     return digits >= 2 and sum(c.isalpha() for c in text) >= 2
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """Words around a mention: one before, two before, one before and one behind. Digits read as 0."""
-    word = lambda w: _DIGIT.sub("0", w.strip(_EDGE).lower())
-    before = [w for w in map(word, _near(text, start, -1, 3)) if w][-2:]
-    behind = [w for w in map(word, _near(text, end, 1, 1)) if w]
-    out = []
-    if before:
-        out.append(f"{before[-1]} _")
-        if len(before) == 2:
-            out.append(f"{before[0]} {before[1]} _")
-        if behind:
-            out.append(f"{before[-1]} _ {behind[0]}")
-    return out
+def _free(places: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places in order that meet none of the taken ones. Both sorted."""
+    i = 0
+    for s, e in places:
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if i == len(taken) or taken[i][0] >= e:
+            yield s, e
 
 
 def mentions(text: str) -> tuple[list, list]:
     """Base spans; and mentions (kind or -1, start, end, instance, fitting kinds, patterns) of seeds, those of secrets among them, and candidates."""
     base = base_spans(text)
-    found = [(k, s, e, text[s:e].lower(), 0, _patterns(text, s, e)) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
-    i = 0
-    places = []
-    for m in _NUMBER.finditer(text) if _DIGIT.search(text) else ():
-        if m.end() - m.start() <= 128:
-            places.append((m.start(), m.end()))
-        else:  # a row of numbers: each is a candidate
-            places += [(g.start(), g.end()) for g in _GROUP.finditer(text, m.start(), m.end())]
+    places, keys = [], []
+    if _DIGIT.search(text):
+        for m in _NUMBER.finditer(text):
+            places += numbers(text, m.start(), m.end())
+        keys = [(m.start(), m.end()) for m in _OPAQUE.finditer(text) if _opaque(m[0])]
     if "@" in text:
         places += [(m.start(), m.end()) for m in _AT.finditer(text)]
-    for s, e in sorted(places):
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if i < len(taken) and taken[i][0] < e:
-            continue
-        bits = _fits(text[s:e])
-        if bits and (near := _patterns(text, s, e)):
-            found.append((-1, s, e, text[s:e].lower(), bits, near))
-    if _DIGIT.search(text):
-        i = 0
-        for m in _OPAQUE.finditer(text):
-            while i < len(taken) and taken[i][1] <= m.start():
-                i += 1
-            if (i < len(taken) and taken[i][0] < m.end()) or not _opaque(m[0]):
-                continue
-            if near := _patterns(text, m.start(), m.end()):
-                found.append((SECRET if m.end() - m.start() >= 32 else -1, m.start(), m.end(), m[0], 1 << SECRET, near))
-    return base, found
+    found = [(k, s, e, text[s:e].lower(), 0) for k, s, e in base]
+    found += [(-1, s, e, text[s:e].lower(), bits) for s, e in _free(sorted(places), taken) if (bits := _fits(text[s:e]))]
+    found += [(SECRET if e - s >= 32 else -1, s, e, text[s:e], 1 << SECRET) for s, e in _free(keys, taken)]
+    if not found:
+        return base, []
+    words = Words(text, sorted({x for f in found for x in f[1:3]}))
+    near = [(*f, words.patterns(f[1], f[2])) for f in found]
+    return base, near[: len(base)] + [f for f in near[len(base) :] if f[5]]
 
 
 _SCAN = "doc_id long, base array<struct<kind:int,s:int,e:int>>, found array<struct<kind:int,s:int,e:int,inst:string,bits:int,pats:array<string>>>"
@@ -193,12 +215,12 @@ def _fitting() -> Column:
 
 def _written(spans: Column) -> Column:
     """kind:start:end by start, then kind, joined by commas. spans: array of (s, kind, e)."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", names[x["kind"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row of docs: the id, base counts, base_sha256, spans (base and discovered), n_found (discovered ones of the four kinds), secrets (start:end), n_secret, n_spans (all)."""
+    """Per row of docs: the id, base counts, base_sha256, spans (base and discovered, secrets among them), n_found (discovered ones of the four kinds), n_secret, n_spans (all)."""
     scanned = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, _SCAN)
     rows = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "mentions")
     each = rows.select("row", F.inline("found")).select("row", "kind", "s", "e", "inst", "bits", F.explode("pats").alias("pattern"))
@@ -209,13 +231,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
     empty = F.array().cast("array<struct<s:int,kind:int,e:int>>")
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
-    is_secret = lambda yes: F.filter(F.coalesce("more", empty), lambda x: (x["kind"] == SECRET) == F.lit(yes))
-    out = rows.join(more, "row", "left").withColumns({"secret": is_secret(True), "more": is_secret(False)})
+    secret = lambda yes: F.size(F.filter("more", lambda x: (x["kind"] == SECRET) == F.lit(yes))).cast("long")
+    out = rows.join(more, "row", "left").withColumn("more", F.coalesce("more", empty))
     return out.select(
-        F.col("doc_id").alias(id_col), *[count(i) for i in range(4)], F.sha2(_written(base), 256).alias("base_sha256"),
-        _written(F.concat(base, "more")).alias("spans"), F.size("more").cast("long").alias("n_found"),
-        F.array_join(F.transform(F.array_sort("secret"), lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",").alias("secrets"),
-        F.size("secret").cast("long").alias("n_secret"), (F.size("base") + F.size("more") + F.size("secret")).cast("long").alias("n_spans"),
+        F.col("doc_id").alias(id_col), *[count(i) for i in range(4)], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.concat(base, "more")).alias("spans"),
+        secret(False).alias("n_found"), secret(True).alias("n_secret"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
     )
 
 
