@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, warc
+from tidepanel.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op7_repeats": repeats.op7_repeats,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_warc": warc.op10_warc,
+        "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     }
 
 
