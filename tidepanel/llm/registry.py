@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, warc
+from tidepanel.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, resampling, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_warc": warc.op10_warc,
         "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
 
