@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, resampling, warc
+from tidepanel.llm import byte_bpe, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, mixing, pieces, pii, quality_rules, repeats, resampling, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op7_repeats": repeats.op7_repeats,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_warc": warc.op10_warc,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_byte_bpe": byte_bpe.op12_byte_bpe,
         "op13_importance_resampling": resampling.op13_importance_resampling,
     }
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.ORACLE,
         "quality_ablations": quality_rules.ABLATIONS_ORACLE,
         "op9_jaccard_join": jaccard_join.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
     }
