@@ -75,9 +75,10 @@ def test_annual_factor(spark):
         assert fills.annual_factor(spark.createDataFrame([(day(i * step),) for i in range(5)], "ts date")).first()[0] == want
 
 
-def plain_fill(x, tradable, max_gap):
+def plain_fill(x, tradable, max_gap, hard=False):
     """Walk over the rows of one symbol; of other gaps only what was read counts."""
-    y, out, i = np.array([np.nan if v is None else v for v in x]), [None if v is None else float(v) for v in x], 0
+    y = np.array([np.nan if v is None else v for v in x], float)
+    out, i, removed = y.copy(), 0, False
     while i < len(x):
         if x[i] is not None or not tradable[i]:
             i += 1
@@ -86,16 +87,18 @@ def plain_fill(x, tradable, max_gap):
         while j < len(x) and x[j] is None and tradable[j]:
             j += 1
         n, left, right = j - i, y[i - 1] if i else np.nan, y[j] if j < len(x) else np.nan
-        if n <= max_gap:
-            if n == 1:
-                v = [np.nanmean([left, right])] if left == left or right == right else [np.nan]
-            elif left == left and right == right:
-                v = np.linspace(left, right, n + 2)[1:-1] if n == 2 else clean.smooth_level(y[max(0, i - 5) : j + 5])[i - max(0, i - 5) :][:n]
-            else:
-                v = [np.nan] * n
-            out[i:j] = [None if a != a else float(a) for a in v]
+        v = None
+        if n == 1 <= max_gap and (left == left or right == right):
+            v = [np.nanmean([left, right])]
+        elif n <= max_gap and left == left and right == right:
+            v = np.linspace(left, right, n + 2)[1:-1] if n == 2 else clean.smooth_level(out[max(0, i - 5) : j + 5])[i - max(0, i - 5) :][:n]
+        if v is not None:
+            out[i:j] = v
+        elif hard and i > 0 and j < len(x):
+            removed = True
+            break
         i = j
-    return out
+    return [None if a != a else float(a) for a in out], removed
 
 
 def test_safe_fill_against_a_walk(spark):
@@ -104,9 +107,11 @@ def test_safe_fill_against_a_walk(spark):
         x = [None if rng.random() < 0.4 else round(float(100 + rng.normal()), 3) for _ in range(120)]
         ok = [bool(rng.random() < 0.9) for _ in x]
         df = spark.createDataFrame([("A", day(i), v, t) for i, (v, t) in enumerate(zip(x, ok, strict=True))], "symbol string, ts date, close double, tradable boolean")
-        got = [r.close for r in clean.safe_fill(df, 4).orderBy("ts").collect()]
-        want = plain_fill(x, ok, 4)
-        assert all((g is None) == (w is None) and (g is None or abs(g - w) < 1e-9) for g, w in zip(got, want, strict=True))
+        for hard in (False, True):
+            rows = clean.safe_fill(df, 4, hard_drop=hard).orderBy("ts").collect()
+            want, removed = plain_fill(x, ok, 4, hard)
+            assert all((r.close is None) == (w is None) and (w is None or abs(r.close - w) < 1e-9) for r, w in zip(rows, want, strict=True))
+            assert {r.removed for r in rows} == {removed} and {r.method for r in rows if r.method} <= set(clean.FILLS)
 
 
 def test_level_smoother_fills_the_leading_run():

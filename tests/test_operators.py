@@ -241,12 +241,6 @@ def test_gini(spark):
     assert reports.concentration(v, "v").first().gini == pytest.approx(0.75)
 
 
-def test_purged_folds_leave_a_gap(spark):
-    rows = validation.purged_folds(spark, 30, 3, 1, 2, 1).collect()
-    train = {(r.fold, r.i) for r in rows if r.part == "train"}
-    assert not any((1, i) in train for i in range(7, 23)) and (1, 6) in train and (1, 23) in train
-
-
 def test_symbols(spark):
     df = spark.createDataFrame([(" brk/b",), ("abc.to",), ("a.b",), (None,)], "s string")
     assert [r[0] for r in df.select(S.normalize_symbol(F.col("s"))).collect()] == ["BRK-B", "ABC.TO", "A-B", None]

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 
 from tests.oracle import assert_same, connect
+from tidepanel.operators import clusters as K
 from tidepanel.operators import cointegration as C
+from tidepanel.operators import folds as V
 from tidepanel.plans import research_queries
 
 SF = "/root/testdata/sf0.01"
@@ -95,3 +97,67 @@ def test_pairs_asked_for_only(spark):
     bars = spark.createDataFrame([(s, d, float(d)) for s in "ABC" for d in range(3)] + [("A", 9, None)], "symbol string, ts int, close double")
     pairs = spark.createDataFrame([("A", "C"), ("A", "C"), ("A", "Z")], "left string, right string")
     assert sorted((r.pair, r.ts, r.y, r.x) for r in C.pair_rows(bars, pairs).collect()) == [("A-C", d, float(d), float(d)) for d in range(3)]
+
+
+def plain_linkage(d):
+    """Average linkage, one merge at a time."""
+    n, out = len(d), []
+    groups = {i: [i] for i in range(n)}
+    while len(groups) > 1:
+        h, a, b = min((np.mean([d[i][j] for i in groups[a] for j in groups[b]]), a, b) for a in groups for b in groups if a < b)
+        groups[n + len(out)] = groups.pop(a) + groups.pop(b)
+        out.append((len(out), a, b, h, len(groups[n + len(out)])))
+    return out
+
+
+def test_average_linkage_in_rounds(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    rows = [(f"s{j:02}", f"s{i:02}", float(d[i, j])) if (i + j) % 2 else (f"s{i:02}", f"s{j:02}", float(d[i, j])) for i in range(30) for j in range(i + 1, 30)]
+    df = spark.createDataFrame(rows, "left string, right string, d double")
+    want = plain_linkage(d)
+    merges, labels = K.agglomerate(df, want[20][3])
+    got = [tuple(r) for r in merges.orderBy("step").collect()]
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    assert len({r.cluster for r in labels.collect()}) == 30 - 21
+    cut = {i: {i} for i in range(30)}
+    for s, a, b, _, _ in want[:21]:
+        cut[30 + s] = cut.pop(a) | cut.pop(b)
+    assert {frozenset(int(r.symbol[1:]) for r in labels.collect() if r.cluster == c) for c in {r.cluster for r in labels.collect()}} == {frozenset(g) for g in cut.values()}
+
+
+def test_clusters_of_equal_distances_and_of_few_symbols(spark):
+    names = "ABCD"
+    even = spark.createDataFrame([(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :]], "left string, right string, d double")
+    merges, labels = K.agglomerate(even, 0.5)
+    assert [r.height for r in merges.collect()] == [1.0] * 3 and {r.cluster for r in labels.collect()} == set(names)
+    merges, labels = K.agglomerate(even.where("left = 'A' AND right = 'B'"))
+    assert [tuple(r) for r in merges.collect()] == [(0, 0, 1, 1.0, 2)] and {r.cluster for r in labels.collect()} == {"A"}
+    merges, labels = K.agglomerate(even.limit(0))
+    assert merges.count() == 0 and labels.count() == 0
+
+
+def test_blocks_give_the_remainder_to_the_first():
+    assert V.boundaries(240, 7) == [0, 35, 70, 104, 138, 172, 206, 240] and V.boundaries(6, 3) == [0, 2, 4, 6]
+    assert [V.embargo_rows(e, 15) for e in (0, 2.0, 0.1, 3)] == [0, 2, 2, 3] and V.combinations(4, 2, 3) == [(0, 1), (0, 2), (0, 3)] and V.runs(4, 2) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_fold_rows_against_a_walk(spark):
+    n, blocks, purge, embargo = 47, 5, 2, 0.15
+    df = spark.createDataFrame([(i * 3, f"r{i}") for i in range(n)], "at int, name string").repartition(6)
+    cuts = V.boundaries(n, blocks)
+    for tests, together in ((V.combinations(blocks, 2), False), (V.runs(blocks, 2), True)):
+        got = {(r.fold, r.i): r.part for r in V.fold_rows(df, "at", blocks, tests, purge, embargo, together).collect()}
+        assert len(got) == n * len(tests)
+        for f, chosen in enumerate(tests):
+            for i in range(n):
+                b = max(k for k in range(blocks) if cuts[k] <= i)
+                lo, hi = (cuts[chosen[0]], cuts[chosen[-1] + 1]) if together else (cuts[b], cuts[b + 1])
+                if b in chosen:
+                    part = "test" if lo + purge <= i < hi - purge - math.ceil(embargo * (hi - lo)) else "dropped"
+                else:
+                    gap = purge + math.ceil(embargo * (cuts[b + 1] - cuts[b]))
+                    part = "train" if (b - 1 not in chosen or i >= cuts[b] + gap) and (b + 1 not in chosen or i < cuts[b + 1] - gap) else "dropped"
+                assert got[f, i] == part, (f, i)
+    assert V.fold_rows(df.limit(3), "at", 5, V.runs(5, 2)).count() == 0

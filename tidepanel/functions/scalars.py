@@ -20,10 +20,6 @@ def bps(side: Column, price: Column, reference: Column) -> Column:
     return 1e4 * F.signum(side) * safe_div(price - reference, reference)
 
 
-def harmonic(a: Column, b: Column) -> Column:
-    return F.when((a > 0) & (b > 0), 2 / (1 / a + 1 / b))
-
-
 def canonical_pair(a: Column, b: Column) -> Column:
     return F.concat_ws("-", F.least(a, b), F.greatest(a, b))
 
@@ -39,10 +35,6 @@ def normalize_symbol(symbol: Column, keep_suffixes: tuple[str, ...] = ("TO", "L"
     return F.when(kept, plain).otherwise(F.replace(plain, F.lit("."), F.lit("-")))
 
 
-def round_to(x: Column, step: float) -> Column:
-    return F.bround(x / step) * step
-
-
 def impact_bps(notional: Column, adv: Column, base: float, coef: float, power: float = 0.5, floor: float = 0.0, cap: float = 1e9) -> Column:
     """Base plus a power of participation, between floor and cap; the base alone where the volume is unknown, nothing without a notional."""
     share = safe_div(notional, F.when(adv > 0, adv))

@@ -133,34 +133,6 @@ def mask_flags(bars: DataFrame, flags: DataFrame, fields: Sequence[str] = ("clos
     return bars.join(flags.dropDuplicates(["symbol", "ts"]), ["symbol", "ts"], "left").withColumns({f: F.when(~hit, F.col(f)) for f in fields}).drop("flag")
 
 
-def kalman_fill(grid: DataFrame, q: float = 1e-3, r: float = 1e-2) -> DataFrame:
-    """Local-level Kalman filter and smoother per symbol; missing closes take the smoothed level. symbol, ts, close, smoothed."""
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        x = rows["close"].to_numpy(dtype=float)
-        level, var, filtered, ahead = None, 1.0, [], []
-        for v in x:
-            var_pred = var + q
-            if level is None:
-                level = v if v == v else None
-                filtered.append((v, 1.0))
-                ahead.append(1.0 + q)
-                continue
-            gain = var_pred / (var_pred + r) if v == v else 0.0
-            level = level + gain * ((v if v == v else level) - level)
-            var = (1 - gain) * var_pred
-            filtered.append((level, var))
-            ahead.append(var_pred)
-        out = [f for f, _ in filtered]
-        for i in range(len(out) - 2, -1, -1):
-            if out[i] == out[i]:
-                out[i] = filtered[i][0] + filtered[i][1] / ahead[i + 1] * (out[i + 1] - filtered[i][0])
-        return rows.assign(smoothed=out)
-
-    return grid.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(smooth, "symbol string, ts date, close double, smoothed double")
-
-
 def last_present(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
     """One row per keys: of rows that repeat a key, each field's last present value by order."""
     return rows.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
@@ -210,59 +182,87 @@ def is_intraday(bars: DataFrame) -> DataFrame:
     return bars.select(gap.alias("g")).where("g is not null").agg(F.coalesce(F.avg((F.col("g") < 86400).cast("double")) >= 0.5, F.lit(False)).alias("intraday"))
 
 
-def safe_fill(grid: DataFrame, max_gap: int, causal: bool = False, value: str = "close") -> DataFrame:
-    """symbol, ts, close, filled, method: gaps of up to max_gap tradable rows are filled. One row: the mean of its neighbours, or the one there is; two rows: a line between
-    them; more: a local-level smoother over the five rows on each side. causal: the value before, only. Longer gaps, gaps of two and more at an end, and rows that are not
-    tradable stay. grid: symbol, ts, close, tradable.
+#: What was done with a missing tradable row.
+FILLS = ("filled_single_avg", "filled_ffill", "filled_bfill", "filled_linear", "filled_kalman", "skip_nontradable", "skip_edge_unfilled", "drop")
+
+
+def safe_fill(grid: DataFrame, max_gap: int, causal: bool = False, hard_drop: bool = True, value: str = "close") -> DataFrame:
+    """symbol, ts, close, filled, method (one of FILLS, or null), removed: gaps of up to max_gap tradable rows are filled, in order. One row: the mean of its neighbours, or the one there is;
+    two rows: a line between them; more: a local-level smoother over the five rows on each side, of which those in front have been filled by then and those behind have not.
+    causal: the value before, only. Longer gaps, gaps of two and more without both neighbours, and rows that are not tradable stay. hard_drop: a gap that stays and is not at an end of the symbol's rows
+    marks the symbol as removed, and nothing behind it is filled. grid: symbol, ts, close, tradable.
 
-    Gaps are runs of missing tradable rows; of other gaps near one, only values as read are used. One and two rows come from the neighbours by windows; the smoother runs on the rows around a gap, a gap at a time, so no task holds more than
-    max_gap + 10 rows.
+    One and two rows come from their neighbours by windows. A smoothed gap depends on an earlier one only if that ends within five rows in front of it: such gaps form a chain, and each chain is solved in order
+    as one small group, rows of the chain only.
     """
     w, whole = by_time(), Window.partitionBy("symbol")
     at = grid.select("symbol", "ts", F.col(value).alias("close"), F.coalesce("tradable", F.lit(False)).alias("tradable"), F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(whole).alias("n"))
-    hole = F.col("close").isNull() & F.col("tradable")
-    at = at.withColumn("hole", hole).withColumn("gap", F.when(F.col("hole"), F.col("pos") - F.sum(F.col("hole").cast("int")).over(w)))
+    missing = F.col("close").isNull()
+    at = at.withColumn("hole", missing & F.col("tradable")).withColumn("gap", F.when(F.col("hole"), F.col("pos") - F.sum(F.col("hole").cast("int")).over(w)))
+    at = at.withColumn("run", F.when(missing, F.col("pos") - F.sum(missing.cast("int")).over(w)))
     by_gap = Window.partitionBy("symbol", "gap")
-    at = at.withColumns({"length": F.count(F.lit(1)).over(by_gap), "first": F.min("pos").over(by_gap)})
+    at = at.withColumns({"length": F.count(F.lit(1)).over(by_gap), "first": F.min("pos").over(by_gap), "closed": ~F.max("hole").over(Window.partitionBy("symbol", "run"))})
     at = at.withColumns({"before": F.lag("close").over(w), "after": F.lead("close").over(w)})
     # the neighbours of the whole gap, carried to each of its rows
     at = at.withColumns({"left": F.max(F.when(F.col("pos") == F.col("first"), F.col("before"))).over(by_gap), "right": F.max(F.when(F.col("pos") == F.col("first") + F.col("length") - 1, F.col("after"))).over(by_gap)})
-    step = F.col("pos") - F.col("first") + 1
+    step, length = F.col("pos") - F.col("first") + 1, F.col("length")
     both = F.col("left").isNotNull() & F.col("right").isNotNull()
-    open_ = F.col("hole") & (F.col("length") <= max_gap)
     if causal:
-        found, how = F.col("left"), F.when(F.col("left").isNotNull(), "ffill")
+        found, how = F.col("left"), F.when(F.col("left").isNotNull(), "filled_ffill")
     else:
-        line = F.col("left") + (F.col("right") - F.col("left")) * step / (F.col("length") + 1)
-        found = F.when(F.col("length") == 1, F.when(both, (F.col("left") + F.col("right")) / 2).otherwise(F.coalesce("left", "right"))).when((F.col("length") == 2) & both, line)
-        how = F.when(F.col("length") == 1, F.when(both, "mean").when(F.col("left").isNotNull(), "ffill").when(F.col("right").isNotNull(), "bfill")).when((F.col("length") == 2) & both, "line").when((F.col("length") > 2) & both, "smooth")
-    at = at.withColumn("method", F.when(open_, how)).withColumn("value", F.when(open_ & how.isNotNull(), found))
+        line = F.col("left") + (F.col("right") - F.col("left")) * step / (length + 1)
+        found = F.when(length == 1, F.when(both, (F.col("left") + F.col("right")) / 2).otherwise(F.coalesce("left", "right"))).when((length == 2) & both, line)
+        one = F.when(both, "filled_single_avg").when(F.col("left").isNotNull(), "filled_ffill").when(F.col("right").isNotNull(), "filled_bfill")
+        how = F.when(length == 1, one).when((length == 2) & both, "filled_linear").when((length > 2) & both, "filled_kalman")
+    end = (F.col("first") == 1) | (F.col("first") + length - 1 == F.col("n"))
+    how = F.when(length <= max_gap, how)
+    told = F.when(F.col("hole"), F.coalesce(how, F.when(end, "skip_edge_unfilled").otherwise("drop"))).when(missing & F.col("closed"), "skip_nontradable")
+    at = at.withColumn("method", told)
+    at = at.withColumn("stop", F.min(F.when((F.col("method") == "drop") & F.lit(hard_drop), F.col("first"))).over(whole))
+    reached = F.col("stop").isNull() | (F.col("first") <= F.col("stop")) | (~F.col("hole") & (F.col("pos") < F.col("stop")))
+    at = at.withColumn("method", F.when(reached, F.col("method"))).withColumn("value", F.when(F.col("method").startswith("filled"), found))
     if not causal:
-        gaps = at.where("method = 'smooth'").select("symbol", "first", "length").distinct()
-        around = gaps.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("first") - 5, F.lit(1)), (F.col("first") + F.col("length") + 4).cast("int"))))
-        near = around.join(at.select("symbol", "pos", "close", "n"), ["symbol", "pos"]).groupBy("symbol", "first", "length").agg(F.sort_array(F.collect_list(F.struct("pos", "close"))).alias("rows"))  # max_gap + 10 rows
-        smooth = near.select("symbol", F.explode(_level_smoother(F.col("first"), F.col("length"), F.col("rows"))).alias("x")).select("symbol", "x.pos", F.col("x.level").alias("_level"))
+        gaps = at.where("method = 'filled_kalman' AND pos = first").select("symbol", "first", "length")
+        order = Window.partitionBy("symbol").orderBy("first")
+        last = F.lag(F.col("first") + length - 1).over(order)
+        gaps = gaps.withColumn("new", (last.isNull() | (last < F.col("first") - 5)).cast("int")).withColumn("chain", F.sum("new").over(order))
+        chains = gaps.groupBy("symbol", "chain").agg(F.sort_array(F.collect_list(F.struct("first", "length"))).alias("gaps"), F.min("first").alias("lo"), F.max(F.col("first") + length).alias("hi"))
+        around = chains.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("lo") - 5, F.lit(1)), (F.col("hi") + 4).cast("int"))))
+        near = around.join(at.select("symbol", "pos", "close", "value"), ["symbol", "pos"])
+        near = near.groupBy("symbol", "chain").agg(F.first("gaps").alias("gaps"), F.sort_array(F.collect_list(F.struct("pos", "close", "value"))).alias("rows"))
+        smooth = near.select("symbol", F.explode(_smooth_chain(F.col("gaps"), F.col("rows"))).alias("x")).select("symbol", "x.pos", F.col("x.level").alias("_level"))
         at = at.join(smooth, ["symbol", "pos"], "left").withColumn("value", F.coalesce("value", "_level"))
-    return at.select("symbol", "ts", F.coalesce("close", "value").alias("close"), F.col("value").isNotNull().alias("filled"), "method")
+    return at.select("symbol", "ts", F.coalesce("close", "value").alias("close"), F.col("value").isNotNull().alias("filled"), "method", F.col("stop").isNotNull().alias("removed"))
 
 
-def _level_smoother(first, length, rows):
-    """pos and level of the rows of a gap: forward filter and backward smoother of a local level, with the variance of the present values as noise."""
+def _smooth_chain(gaps, rows):
+    """pos and level of the rows of a chain's gaps, filled one after the other."""
 
     @F.pandas_udf("array<struct<pos:int,level:double>>")
-    def run(first: pd.Series, length: pd.Series, rows: pd.Series) -> pd.Series:
+    def run(gaps: pd.Series, rows: pd.Series) -> pd.Series:
         out = []
-        for a, n, window in zip(first, length, rows, strict=True):
-            pos, y = np.array([r["pos"] for r in window]), np.array([np.nan if r["close"] is None else r["close"] for r in window], float)
-            level = smooth_level(y)
-            out.append([{"pos": int(p), "level": float(v)} for p, v in zip(pos, level, strict=True) if a <= p < a + n])
+        number = lambda v: np.nan if v is None else float(v)
+        for holes, window in zip(gaps, rows, strict=True):
+            base = window[0]["pos"]
+            raw = np.array([number(r["close"]) for r in window])
+            now = np.array([number(r["close"] if r["value"] is None else r["value"]) for r in window])
+            found = []
+            for gap in holes:
+                a = gap["first"] - base
+                b = a + gap["length"]
+                lo = max(0, a - 5)
+                level = smooth_level(np.concatenate([now[lo:a], raw[a : b + 5]]))
+                now[a:b] = level[a - lo : b - lo]
+                found += [{"pos": int(base + i), "level": float(now[i])} for i in range(a, b)]
+            out.append(found)
         return pd.Series(out)
 
-    return run(first, length, rows)
+    return run(gaps, rows)
 
 
 def smooth_level(y: np.ndarray, q: float = 1e-4) -> np.ndarray:
-    """Local-level smoother: steps of variance q, noise of the present values' variance; rows before the first present value take its level."""
+    """The fixed-interval smoother of Rauch, Tung and Striebel (1965) for a local level: steps of variance q, noise of the present values' variance, unit variance at the first present value; rows before
+    that take its level."""
     have = np.isfinite(y)
     if not have.any():
         return np.full(len(y), np.nan)

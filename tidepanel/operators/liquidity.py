@@ -39,12 +39,6 @@ def event_cost(size: Column, price_1: Column, price_2: Column, fixed: float, sli
     return F.greatest(F.lit(0.0), F.lit(float(min_fee)), total) if min_fee > 0 else F.greatest(F.lit(0.0), total)
 
 
-def pair_adv(a: Column, b: Column) -> Column:
-    """Harmonic mean of two positive volumes, the one there is, or null."""
-    a, b = F.when(a > 0, a), F.when(b > 0, b)
-    return F.coalesce(2 / (1 / a + 1 / b), a, b)
-
-
 def expected_execution(orders: DataFrame, base: float = 0.0005, coef: float = 0.1, power: float = 0.5, cap: float = 0.02, k: float = 5.0, least_fill: float = 0.05, fixed: float = 1.0, min_fee: float = 0.0) -> DataFrame:
     """Adds slippage, fill_prob, filled, fill_ratio, base_cost, impact_cost, fixed_cost, topup and total (all positive) of orders: size, price_1, price_2, adv.
 
@@ -111,16 +105,6 @@ def plausibility(trades: DataFrame, outlier_bps: float, most_outliers: float, lo
     return both.withColumn("outlier_penalty", F.greatest(F.lit(0.0), F.col("outlier_share") - most_outliers) * 10_000)
 
 
-def blocked_folds(spark, n: int, blocks: int, k: int, purge: int, embargo: int) -> DataFrame:
-    """fold, i, part: k neighbouring blocks test, without the purged rows at their ends; rows within purge + embargo of them are dropped, others train."""
-    bounds = [round(n * b / blocks) for b in range(blocks + 1)]
-    rows = [(f, bounds[f], bounds[f + k]) for f in range(blocks - k + 1)]
-    frame = spark.createDataFrame(rows, "fold int, lo int, hi int").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    inside = (F.col("i") >= F.col("lo") + F.when(F.col("lo") > 0, purge).otherwise(0)) & (F.col("i") < F.col("hi") - F.when(F.col("hi") < n, purge).otherwise(0))
-    near = (F.col("i") >= F.col("lo") - purge - embargo) & (F.col("i") < F.col("hi") + purge + embargo)
-    return frame.select("fold", "i", F.when(inside, "test").when(near, "dropped").otherwise("train").alias("part"))
-
-
 def unadjusted_differs(adjusted: DataFrame, raw: DataFrame, min_rows: int = 5) -> DataFrame:
     """One row: compared (symbols with min_rows common closes), equal (those without a difference), suspicious (all are equal)."""
     both = adjusted.select("symbol", "ts", F.col("close").alias("a")).join(raw.select("symbol", "ts", F.col("close").alias("b")), ["symbol", "ts"]).where("a is not null and b is not null")
@@ -138,8 +122,3 @@ def drop_missing_history(universe: DataFrame, missing: DataFrame, allowed: bool)
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Panels side by side: every key of either, columns of both."""
     return left.join(right, keys, "full_outer")
-
-
-def strictly_before(rows: DataFrame, value: str, key: str = "symbol") -> Column:
-    """The last present value before the current row."""
-    return F.last(value, ignorenulls=True).over(by_time(key).rowsBetween(Window.unboundedPreceding, -1))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import itertools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +32,6 @@ def assign(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return out.withColumn("part", F.when(F.col("ts") >= F.col("test_start"), "test").otherwise("train")).drop("_m")
 
 
-def purged_folds(spark: SparkSession, n: int, blocks: int, k: int, purge: int, embargo: int) -> DataFrame:
-    """fold, i, part: combinatorial cross-validation of row numbers 0..n-1: k of the blocks test, rows within purge + embargo of a test block, before or behind it, are dropped."""
-    size = -(-n // blocks)
-    folds = [(f, list(c)) for f, c in enumerate(itertools.combinations(range(blocks), k))]
-    frame = spark.createDataFrame(folds, "fold int, tests array<int>")
-    rows = frame.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    inside = F.array_contains("tests", F.floor(F.col("i") / size).cast("int"))
-    near = F.exists("tests", lambda t: (F.col("i") >= t * size - purge - embargo) & (F.col("i") < (t + 1) * size + purge + embargo))
-    return rows.withColumn("part", F.when(inside, "test").when(near, "dropped").otherwise("train")).select("fold", "i", "part")
-
-
 def perturb_future(bars: DataFrame, cut: dt.date, factor: float = 1.5) -> DataFrame:
     """Scales prices after the cut: what an operator says up to the cut must not change."""
     return bars.withColumns({c: F.when(F.col("ts") > F.lit(cut), F.col(c) * factor).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})

@@ -90,12 +90,6 @@ def locate_events(spark, sf_dir):
     return liquidity.borrow_events(asked, F.lit(0.03), 12.0, 2)
 
 
-@query("""WITH b AS (SELECT f AS fold, round(240 * f / 7.0)::INT AS lo, round(240 * (f + 2) / 7.0)::INT AS hi FROM range(6) t(f)), r AS (SELECT fold, lo, hi, i FROM b, range(240) s(i)),
-p AS (SELECT fold, i, CASE WHEN i >= lo + CASE WHEN lo > 0 THEN 3 ELSE 0 END AND i < hi - CASE WHEN hi < 240 THEN 3 ELSE 0 END THEN 'test' WHEN i >= lo - 5 AND i < hi + 5 THEN 'dropped' ELSE 'train' END AS part FROM r) SELECT CAST(fold AS INT) AS fold, part, count(*) AS n, CAST(sum(i) AS BIGINT) AS sum_i FROM p GROUP BY ALL""")
-def blocked_folds(spark, sf_dir):
-    return liquidity.blocked_folds(spark, 240, 7, 2, 3, 2).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
-
-
 @query(f"WITH {BARS}, e AS (SELECT symbol, count(*) AS n, count(*) FILTER (symbol = 'Brand#3' AND day(ts) = 7) AS d FROM bars GROUP BY symbol HAVING count(*) >= 5) SELECT count(*) AS compared, CAST(count(*) FILTER (d = 0) AS BIGINT) AS equal, count(*) FILTER (d = 0) = count(*) AS suspicious FROM e")
 def unadjusted_check(spark, sf_dir):
     b = bars(spark, sf_dir)

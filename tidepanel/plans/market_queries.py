@@ -63,25 +63,56 @@ j AS (SELECT *, count(*) OVER (PARTITION BY symbol, gap) AS len, min(pos) OVER (
 k AS (SELECT *, max(CASE WHEN pos = f THEN b END) OVER (PARTITION BY symbol, gap) AS l, max(CASE WHEN pos = f + len - 1 THEN a END) OVER (PARTITION BY symbol, gap) AS r FROM j)"""
 
 
-@query(f"""WITH {FILL}, v AS (SELECT *, CASE WHEN hole AND len = 1 THEN CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (l + r) / 2 ELSE coalesce(l, r) END WHEN hole AND len = 2 AND l IS NOT NULL AND r IS NOT NULL THEN l + (r - l) * (pos - f + 1) / 3 END AS x FROM k)
-SELECT symbol, CAST(count(*) FILTER (x IS NOT NULL) AS BIGINT) AS n_filled, CAST(count(*) FILTER (x IS NOT NULL AND len = 2) AS BIGINT) AS n_line, CAST(count(coalesce(close, x)) AS BIGINT) AS n_close, round(avg(coalesce(close, x)), 6) AS mean_close FROM v GROUP BY symbol""")
+SHORT = f"""{FILL}, v AS (SELECT *, CASE WHEN hole AND len = 1 THEN CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (l + r) / 2 ELSE coalesce(l, r) END WHEN hole AND len = 2 AND l IS NOT NULL AND r IS NOT NULL THEN l + (r - l) * (pos - f + 1) / 3 END AS x FROM k)"""
+
+
+def smoothed_sql(levels: int = 12) -> str:
+    """CTEs up to filled (symbol, pos, v): smoothed gaps of three to five rows, those that depend on one other gap after it, and so on; each by a walk forward and a walk back."""
+    out = [SHORT, "gaps AS (SELECT symbol, f, len, lag(f + len - 1) OVER (PARTITION BY symbol ORDER BY f) AS e FROM v WHERE hole AND pos = f AND len BETWEEN 3 AND 5 AND l IS NOT NULL AND r IS NOT NULL)",
+           "chains AS (SELECT *, sum(CASE WHEN e IS NULL OR e < f - 5 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY f) AS chain FROM gaps)", "depths AS (SELECT *, row_number() OVER (PARTITION BY symbol, chain ORDER BY f) AS depth FROM chains)",
+           "filled0 AS (SELECT symbol, pos, close AS v FROM v WHERE false)"]
+    for d in range(1, levels + 1):
+        out.append(f"""w{d} AS MATERIALIZED (SELECT g.symbol, g.f, g.len, v.pos, CASE WHEN v.pos < g.f THEN coalesce(close, x, p.v) WHEN v.pos >= g.f + g.len THEN close END AS y FROM depths g JOIN v ON v.symbol = g.symbol AND v.pos BETWEEN g.f - 5 AND g.f + g.len + 4 LEFT JOIN filled{d - 1} p ON p.symbol = v.symbol AND p.pos = v.pos WHERE depth = {d}),
+s{d} AS MATERIALIZED (SELECT symbol, f, var_pop(y) AS noise, min(pos) FILTER (y IS NOT NULL) AS start, max(pos) AS stop FROM w{d} GROUP BY ALL),
+u{d} AS MATERIALIZED (WITH RECURSIVE a AS (SELECT w.symbol, w.f, pos, y AS level, 1.0::DOUBLE AS var FROM w{d} w JOIN s{d} s ON s.symbol = w.symbol AND s.f = w.f AND pos = start
+UNION ALL SELECT w.symbol, w.f, w.pos, CASE WHEN y IS NULL THEN level ELSE level + (var + 0.0001) / (var + 0.0001 + noise) * (y - level) END, CASE WHEN y IS NULL THEN var + 0.0001 ELSE (1 - (var + 0.0001) / (var + 0.0001 + noise)) * (var + 0.0001) END
+FROM a JOIN w{d} w ON w.symbol = a.symbol AND w.f = a.f AND w.pos = a.pos + 1 JOIN s{d} s ON s.symbol = a.symbol AND s.f = a.f) SELECT * FROM a),
+b{d} AS MATERIALIZED (WITH RECURSIVE a AS (SELECT u.symbol, u.f, pos, level FROM u{d} u JOIN s{d} s ON s.symbol = u.symbol AND s.f = u.f AND pos = stop
+UNION ALL SELECT u.symbol, u.f, u.pos, u.level + u.var / (u.var + 0.0001) * (a.level - u.level) FROM a JOIN u{d} u ON u.symbol = a.symbol AND u.f = a.f AND u.pos = a.pos - 1) SELECT * FROM a),
+filled{d} AS MATERIALIZED (SELECT * FROM filled{d - 1} UNION ALL SELECT b.symbol, b.pos, level FROM b{d} b JOIN w{d} w ON w.symbol = b.symbol AND w.f = b.f AND w.pos = b.pos WHERE b.pos BETWEEN b.f AND b.f + len - 1)""")
+    return "WITH RECURSIVE " + ", ".join(out) + f", filled AS (SELECT * FROM filled{levels})"
+
+
+@query(f"""WITH {SHORT} SELECT symbol, CAST(count(*) FILTER (x IS NOT NULL) AS BIGINT) AS n_filled, CAST(count(*) FILTER (x IS NOT NULL AND len = 2) AS BIGINT) AS n_line, CAST(count(coalesce(close, x)) AS BIGINT) AS n_close, round(avg(coalesce(close, x)), 6) AS mean_close FROM v GROUP BY symbol""")
 def safe_fill(spark, sf_dir):
     """Gaps of one and two tradable rows."""
-    out = clean.safe_fill(clean.tradable(align.on_grid(raw_bars(spark, sf_dir))), 2)
-    return rounded(out.groupBy("symbol").agg(F.count_if("filled").alias("n_filled"), F.count_if(F.col("method") == "line").alias("n_line"), F.count("close").alias("n_close"), F.avg("close").alias("mean_close")))
+    out = clean.safe_fill(clean.tradable(align.on_grid(raw_bars(spark, sf_dir))), 2, hard_drop=False)
+    return rounded(out.groupBy("symbol").agg(F.count_if("filled").alias("n_filled"), F.count_if(F.col("method") == "filled_linear").alias("n_line"), F.count("close").alias("n_close"), F.avg("close").alias("mean_close")))
 
 
 @query(f"""WITH {FILL} SELECT symbol, CAST(count(*) FILTER (hole AND len <= 5 AND l IS NOT NULL) AS BIGINT) AS n_filled, round(avg(CASE WHEN hole AND len <= 5 THEN l ELSE close END), 6) AS mean_close FROM k GROUP BY symbol""")
 def safe_fill_causal(spark, sf_dir):
-    out = clean.safe_fill(clean.tradable(align.on_grid(raw_bars(spark, sf_dir))), 5, causal=True)
+    out = clean.safe_fill(clean.tradable(align.on_grid(raw_bars(spark, sf_dir))), 5, causal=True, hard_drop=False)
     return rounded(out.groupBy("symbol").agg(F.count_if("filled").alias("n_filled"), F.avg("close").alias("mean_close")))
 
 
-@query(f"""WITH {FILL} SELECT symbol, CAST(count(*) FILTER (hole AND len > 2 AND len <= 5 AND l IS NOT NULL AND r IS NOT NULL) AS BIGINT) AS n_smooth FROM k GROUP BY symbol""")
+@query(f"""{smoothed_sql()} SELECT v.symbol, v.ts, round(p.v, 6) AS close FROM filled p JOIN v ON v.symbol = p.symbol AND v.pos = p.pos""")
 def safe_fill_smoothed(spark, sf_dir):
-    """Rows that the local-level smoother fills; its values are tested against a walk over the rows."""
+    """Rows that the local-level smoother fills, in order: a gap sees what was filled in front of it."""
+    out = clean.safe_fill(clean.tradable(align.on_grid(raw_bars(spark, sf_dir))), 5, hard_drop=False)
+    return rounded(out.where("filled AND method = 'filled_kalman'").select("symbol", "ts", "close"))
+
+
+@query(f"""WITH {FILL}, m AS (SELECT *, close IS NULL AS gone, CASE WHEN close IS NULL THEN pos - sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) OVER ({W}) END AS run, count(*) OVER (PARTITION BY symbol) AS n FROM k),
+q AS (SELECT *, max(hole) OVER (PARTITION BY symbol, run) AS open FROM m),
+t AS (SELECT *, CASE WHEN hole THEN CASE WHEN len = 1 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_single_avg' WHEN len = 1 AND l IS NOT NULL THEN 'filled_ffill' WHEN len = 1 AND r IS NOT NULL THEN 'filled_bfill' WHEN len = 2 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_linear'
+WHEN len BETWEEN 3 AND 5 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_kalman' WHEN f = 1 OR f + len - 1 = n THEN 'skip_edge_unfilled' ELSE 'drop' END WHEN gone AND NOT open THEN 'skip_nontradable' END AS how FROM q),
+z AS (SELECT *, min(CASE WHEN how = 'drop' THEN f END) OVER (PARTITION BY symbol) AS stop FROM t)
+SELECT symbol, how AS method, stop IS NOT NULL AS removed, count(*) AS n FROM z WHERE how IS NOT NULL AND (stop IS NULL OR (hole AND f <= stop) OR (NOT hole AND pos < stop)) GROUP BY ALL""")
+def safe_fill_methods(spark, sf_dir):
+    """What was done with missing rows per symbol, up to the first gap that removes it."""
     out = clean.safe_fill(clean.tradable(align.on_grid(raw_bars(spark, sf_dir))), 5)
-    return out.groupBy("symbol").agg(F.count_if((F.col("method") == "smooth") & F.col("filled")).alias("n_smooth"))
+    return out.where("method IS NOT NULL").groupBy("symbol", "method", "removed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {RAW}, z AS (SELECT ts, symbol, 'volume' AS field, 'zero_volume' AS rule, open, high, low, close, volume FROM raw WHERE volume = 0 AND close > 0), c AS (SELECT ts, symbol, 'high' AS field, 'crossed' AS rule, open, high, low, close, volume FROM raw WHERE high < low), u AS (SELECT * FROM z UNION ALL SELECT * FROM c)

@@ -144,11 +144,6 @@ def causal_fill(spark, sf_dir):
     return out.groupBy("symbol").agg(F.count_if("filled").alias("n_filled"), F.count("close").alias("n_present"), F.round(F.sum("close"), 2).alias("total"))
 
 
-@query()
-def kalman_fill(spark, sf_dir):
-    return rounded(clean.kalman_fill(align.on_grid(raw_bars(spark, sf_dir))))
-
-
 @query(f"""WITH {BARS}, x AS (SELECT symbol, ts, floor(close / 200) AS b FROM bars), y AS (SELECT *, CASE WHEN b = lag(b) OVER ({W}) THEN 1 ELSE 0 END AS s FROM x)
 SELECT symbol, ts FROM (SELECT *, sum(s) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM y) WHERE c = 3""")
 def stale_runs(spark, sf_dir):
@@ -407,13 +402,6 @@ def walk_forward(spark, sf_dir):
     return rounded(out.groupBy("window", "train_start", "test_start", "test_end", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean_close")))
 
 
-@query("""WITH c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS fold, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b), r AS (SELECT fold, a, b, i FROM c, range(240) t(i)),
-p AS (SELECT fold, i, CASE WHEN i // 40 IN (a, b) THEN 'test' WHEN (i >= a * 40 - 5 AND i < a * 40 + 40 + 5) OR (i >= b * 40 - 5 AND i < b * 40 + 40 + 5) THEN 'dropped' ELSE 'train' END AS part FROM r)
-SELECT CAST(fold AS INT) AS fold, part, count(*) AS n, CAST(sum(i) AS BIGINT) AS sum_i FROM p GROUP BY ALL""")
-def purged_folds(spark, sf_dir):
-    return validation.purged_folds(spark, 240, 6, 2, 3, 2).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
-
-
 @query("SELECT 0 AS n_changed")
 def future_perturbation(spark, sf_dir):
     """Rows up to the cut that the cleaning and scoring operators change when the future changes: none."""

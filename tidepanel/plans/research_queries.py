@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.rolling import trailing
-from tidepanel.operators import cointegration
+from tidepanel.operators import clusters, cointegration, folds
 from tidepanel.plans.panel_queries import BARS, W, rounded
 from tidepanel.sources.panel import bars
 
@@ -66,3 +66,66 @@ SELECT pair, n, round(p, 6) + 0.0 AS p, CASE WHEN early IS NULL THEN round(beta,
 CASE WHEN reason IS NULL THEN greatest(5, round_even(2 * life, 0)::INT) END AS max_hold, reason IS NULL AS passed, reason FROM q""")
 def pair_prefilter(spark, sf_dir):
     return rounded(cointegration.prefilter(smoothed_pairs(spark, sf_dir)))
+
+
+def symbol_correlations(spark, sf_dir) -> DataFrame:
+    """left, right, corr of every two symbols' 20-row mean closes over their common days."""
+    pairs = smoothed_pairs(spark, sf_dir)
+    name = F.split("pair", "-")
+    return pairs.groupBy("pair").agg(F.corr("y", "x").alias("corr")).select(name[0].alias("left"), name[1].alias("right"), "corr")
+
+
+#: Clusters merged one by one: lab holds each symbol's cluster number, dist the distances between symbols.
+LINKAGE = f"""{BARS}, means AS (SELECT symbol, ts, avg(close) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS close FROM bars), no AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS no FROM (SELECT DISTINCT symbol FROM means)),
+dist AS MATERIALIZED (SELECT na.no AS i, nb.no AS j, sqrt(greatest(0, 2 * (1 - corr(a.close, b.close)))) AS d FROM means a JOIN means b ON b.ts = a.ts AND a.symbol < b.symbol JOIN no na ON na.symbol = a.symbol JOIN no nb ON nb.symbol = b.symbol GROUP BY ALL),
+steps AS (SELECT 0::BIGINT AS step, (SELECT list(no - 1 ORDER BY no) FROM no) AS lab, NULL::STRUCT(d DOUBLE, a BIGINT, b BIGINT, n BIGINT) AS m
+UNION ALL SELECT step + 1, [CASE WHEN l IN (x.a, x.b) THEN len(lab) + step ELSE l END FOR l IN lab], x FROM (SELECT s.step, s.lab, (SELECT min(q) FROM (SELECT struct_pack(d := avg(d), a := least(s.lab[i], s.lab[j]), b := greatest(s.lab[i], s.lab[j]), n := 0::BIGINT) AS q FROM dist WHERE s.lab[i] <> s.lab[j] GROUP BY least(s.lab[i], s.lab[j]), greatest(s.lab[i], s.lab[j]))) AS x FROM steps s WHERE step < len(lab) - 1))"""
+
+
+@query(f"WITH RECURSIVE {LINKAGE} SELECT step - 1 AS step, m.a AS a, m.b AS b, round(m.d, 6) AS height, len([l FOR l IN lab IF l = len(lab) + step - 1]) AS size FROM steps WHERE step > 0")
+def cluster_merges(spark, sf_dir):
+    """The tree of symbols by average linkage."""
+    return rounded(clusters.agglomerate(clusters.correlation_distances(symbol_correlations(spark, sf_dir)))[0])
+
+
+@query(f"""WITH RECURSIVE {LINKAGE}, cut AS (SELECT lab FROM steps WHERE step = 0 OR m.d <= 1.2 QUALIFY row_number() OVER (ORDER BY step DESC) = 1), l AS (SELECT symbol, lab[no] AS c FROM no, cut)
+SELECT symbol, min(symbol) OVER (PARTITION BY c) AS cluster FROM l""")
+def cluster_labels(spark, sf_dir):
+    """Clusters of the tree below a height."""
+    return clusters.agglomerate(clusters.correlation_distances(symbol_correlations(spark, sf_dir)), 1.2)[1]
+
+
+def bar_days(spark, sf_dir) -> DataFrame:
+    return bars(spark, sf_dir).select("ts", F.unix_date("ts").alias("day")).distinct()
+
+
+def told(folds: DataFrame) -> DataFrame:
+    return folds.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.min("ts").alias("first_ts"))
+
+
+BLOCKS = f"""{BARS}, d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT DISTINCT ts FROM bars)), n AS (SELECT count(*) AS n FROM d),
+cut AS (SELECT b, b * (n // 7) + least(b, n % 7) AS lo, (b + 1) * (n // 7) + least(b + 1, n % 7) AS hi FROM n, range(7) t(b))"""
+TOLD = "SELECT CAST(fold AS INT) AS fold, part, count(*) AS n, CAST(sum(i) AS BIGINT) AS sum_i, min(ts) AS first_ts FROM p GROUP BY ALL"
+#: Blocks of every choice of two.
+CHOSEN = f"""{BLOCKS}, f AS (SELECT row_number() OVER (ORDER BY x, y) - 1 AS fold, x, y FROM range(7) r(x), range(7) s(y) WHERE x < y),
+c AS (SELECT fold, lo, hi, b IN (x, y) AS test, 3 + ceil(0.1::DOUBLE * (hi - lo)) AS gap, b - 1 IN (x, y) AS lt, b + 1 IN (x, y) AS rt FROM f, cut)"""
+TRAINS = "i >= lo + CASE WHEN lt THEN gap ELSE 0 END AND i < hi - CASE WHEN rt THEN gap ELSE 0 END"
+
+
+@query(f"WITH {CHOSEN}, p AS (SELECT fold, i, ts, CASE WHEN test THEN 'test' WHEN {TRAINS} THEN 'train' ELSE 'dropped' END AS part FROM c JOIN d ON i >= lo AND i < hi) {TOLD}")
+def purged_folds(spark, sf_dir):
+    """Combinatorial folds of the panel's days: whole test blocks, purged and embargoed training."""
+    return told(folds.fold_rows(bar_days(spark, sf_dir), "day", 7, folds.combinations(7, 2), 3, 0.1, trim=False))
+
+
+@query(f"WITH {CHOSEN}, p AS (SELECT fold, i, ts, CASE WHEN test AND i >= lo + 3 AND i < hi - gap THEN 'test' WHEN NOT test AND {TRAINS} THEN 'train' ELSE 'dropped' END AS part FROM c JOIN d ON i >= lo AND i < hi) {TOLD}")
+def validation_folds(spark, sf_dir):
+    """As purged_folds, each test block trimmed at both ends."""
+    return told(folds.fold_rows(bar_days(spark, sf_dir), "day", 7, folds.combinations(7, 2), 3, 0.1))
+
+
+@query(f"""WITH {BLOCKS}, c AS (SELECT f AS fold, cut.lo, cut.hi, x.lo AS l, y.hi AS h, cut.b BETWEEN f AND f + 1 AS test, 3 + ceil(0.1::DOUBLE * (cut.hi - cut.lo)) AS gap, cut.b - 1 = f + 1 AS lt, cut.b + 1 = f AS rt FROM range(6) t(f) JOIN cut x ON x.b = f JOIN cut y ON y.b = f + 1 JOIN cut ON true),
+p AS (SELECT fold, i, ts, CASE WHEN test AND i >= l + 3 AND i < h - 3 - ceil(0.1::DOUBLE * (h - l)) THEN 'test' WHEN NOT test AND {TRAINS} THEN 'train' ELSE 'dropped' END AS part FROM c JOIN d ON i >= lo AND i < hi) {TOLD}""")
+def blocked_folds(spark, sf_dir):
+    """Two neighbouring blocks of days test, trimmed as one stretch."""
+    return told(folds.fold_rows(bar_days(spark, sf_dir), "day", 7, folds.runs(7, 2), 3, 0.1, together=True))
