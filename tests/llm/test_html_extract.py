@@ -163,3 +163,33 @@ def test_empty_table_and_query(spark):
     assert H.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     out = H.op3_html_extract(spark, "/root/testdata/sf0.001").collect()
     assert len(out) == 50 and all(r.n_chars == len(r.text) and "©" not in r.text for r in out)
+
+
+def texts_of(page):
+    return [t for _, t in H.content_blocks(page)[1]]
+
+
+def test_raw_text_ends_where_the_standard_ends_it():
+    assert texts_of("<p>one</p><svg><title/></svg><p>two</p>") == ["one", "two"]
+    assert texts_of("<p>one</p><svg><style/><path/></svg><p>two</p>") == ["one", "two"]
+    assert texts_of("<p>one</p><script>if (a < b) { '<p>no</p>' }</script><p>two</p>") == ["one", "two"]
+    assert texts_of("<p>one</p><script src=x /><p>two</p>") == ["one", "two"]
+    assert texts_of("<p>one</p><svg><title>icon<p>two</p>") == ["one", "icon", "two"] or texts_of("<p>one</p><svg><title>icon<p>two</p>")[-1] == "two"
+    assert texts_of("<p>one</p><style>p { }") == ["one"]
+    assert texts_of("<svg><foreignObject><p>in</p></foreignObject></svg><p>out</p>") == ["out"]
+
+
+def test_comments_by_their_names():
+    for name in ("comment-body", "comment-content", "user-comment-text", "user-opinions"):
+        assert texts_of(f"<article><p>story</p></article><div class={name}><p>I disagree</p></div>") == ["story"], name
+
+
+def test_matter_of_an_article_is_not_a_region():
+    page = "<article><p>story</p><section class=legal><p>the law</p></section><div class=search><p>the hunt</p></div></article>"
+    assert texts_of(page) == ["story", "the law", "the hunt"]
+
+
+def test_a_teaser_is_not_the_article():
+    story = "<div class=story>" + "".join(f"<p>a long paragraph of the story, number {i}</p>" for i in range(6)) + "</div>"
+    assert len(texts_of("<article class=teaser><p>read this next</p></article>" + story)) == 7
+    assert texts_of("<main><p>the story itself, long enough</p></main><div><p>aside</p></div>") == ["the story itself, long enough"]

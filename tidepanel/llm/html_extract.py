@@ -6,7 +6,7 @@
 3. Every text block is a slot value of a template node. Values are counted per host, node and digest over all pages: a value that most pages of the host share is constant and
    becomes template; the rest of the node is a varying slot.
 4. Template nodes in navigation, header, footer, sidebar, notice, advert, form and comment regions hold no content: by element, or by a class, id or role all of whose
-   words name a region or a place on the page ("site-header", not "share-price"). If a page has an article or main node, only slots under it are content. The varying slots that are left are the text.
+   words name a region or a place on the page ("site-header", not "share-price"). If a page has article or main nodes with at least as much text as any other element has in its own blocks, only slots under them are content. The varying slots that are left are the text.
 
 White space in a block becomes one space, blocks are joined by one new line. A template node on fewer than `min_pages` distinct contents has no constants, as so few pages tell
 template and text apart by chance only; its regions are still known.
@@ -21,6 +21,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,9 @@ from tidepanel.llm.common import materialise, table
 
 #: Fixed values of the HTML standard: block elements, raw-text elements, void elements.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-RAW = "script|style|textarea|iframe|noembed|noframes|title"
+RAW = tuple("script style textarea iframe noembed noframes title".split())
+#: Elements of other vocabularies: in them a slash closes a tag, and nothing is raw text.
+FOREIGN = frozenset(("svg", "math"))
 #: Elements left out with all they hold, if they are closed; unclosed ones are ordinary tags.
 SKIPPED = frozenset("noscript template svg object select button canvas audio video".split())
 #: Of these a start tag ends one still open.
@@ -39,15 +42,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements without content.
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset search".split())
 #: Words for regions without content.
-REGION = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended footer header masthead topbar toolbar comment comments commentlist reply replies respond discussion disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social socials form search tags tagcloud copyright legal".split())
+REGION = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended footer header masthead topbar toolbar comment comments commentlist reply replies respond discussion disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social socials form search tags tagcloud copyright legal opinions".split())
 #: Words that say where or in what box a region is.
-PLACES = frozenset("site page main global top bottom left right upper lower primary secondary inner outer wrapper wrap container box block section area region list item items bar row col column panel group holder slot unit zone link links side sticky fixed mobile desktop post posts article articles blog user users reader readers thread x js the".split())
-#: In an article its heading belongs to it.
-_INNER = REGION - {"header", "masthead"}
+PLACES = frozenset("site page main global top bottom left right upper lower primary secondary inner outer wrapper container box block section area region list item items bar row col column panel group holder slot unit zone link links side sticky fixed mobile desktop post posts article articles blog user users reader readers thread x js the body content text wrap".split())
+#: In an article its heading belongs to it, and these words name its matter as well as a region.
+_INNER = REGION - frozenset("header masthead legal search form alert share tags".split())
 #: Names with these tell of another element's region ("with-sidebar").
 _NOT = frozenset("has with without no".split())
 _CONTENT = frozenset(("article", "main"))
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGIT = re.compile(r"[0-9]")
@@ -60,20 +64,59 @@ class Node:
         self.tag, self.name, self.parent, self.dropped, self.content, self.children, self.shape, self.slot = tag, name, parent, dropped, content, [], 0, 0
 
 
-def skipped(tokens: list[re.Match]) -> dict[int, int]:
+class Mark(NamedTuple):
+    """A piece of markup: a tag, a raw-text element with its text (tag None, raw its name), or a comment and the like (both None)."""
+
+    start: int
+    end: int
+    tag: str | None = None
+    close: bool = False
+    attrs: str = ""
+    empty: bool = False
+    raw: str | None = None
+
+
+def marks_of(page: str) -> list[Mark]:
+    """Markup in page order. Raw text goes on to its end tag, or the page's end (a self-closed raw tag without end tag is empty); in foreign elements there is none. A block element ends
+    foreign elements left open, but for those inside foreignObject."""
+    out, at, foreign = [], 0, []
+    while m := _MARK.search(page, at):
+        at, tag = m.end(), m["tag"]
+        if tag is None:
+            out.append(Mark(m.start(), at))
+            continue
+        tag, close, empty = tag.lower(), bool(m["close"]), m["attrs"].endswith("/")
+        if tag in FOREIGN or (foreign and tag == "foreignobject"):
+            if not close and not empty:
+                foreign.append(tag)
+            elif close and tag in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
+        elif foreign and foreign[-1] in FOREIGN:
+            if not close and tag in BLOCKS and tag != "title":
+                foreign.clear()
+        elif not close and tag in _RAW_END:
+            ended = _RAW_END[tag].search(page, at)
+            if ended or not empty:
+                out.append(Mark(m.start(), ended.end() if ended else len(page), raw=tag))
+                at = out[-1].end
+                continue
+        out.append(Mark(m.start(), at, tag, close, m["attrs"], empty))
+    return out
+
+
+def skipped(tokens: list[Mark]) -> dict[int, int]:
     """Number of the end token by number of the start token of each closed skipped element."""
     starts: dict[str, list[int]] = {}
     out = {}
     for i, m in enumerate(tokens):
-        tag = m["tag"].lower() if m["tag"] else None
-        if tag not in SKIPPED:
+        if m.tag not in SKIPPED:
             continue
-        at = starts.setdefault(tag, [])
-        if m["close"]:
+        at = starts.setdefault(m.tag, [])
+        if m.close:
             if at:
                 out[at.pop()] = i
-        elif not m[0].endswith("/>"):
-            if tag in _FLAT:
+        elif not m.empty:
+            if m.tag in _FLAT:
                 at.clear()
             at.append(i)
     return out
@@ -98,30 +141,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if text:
                 blocks.append((node, text))
 
-    marks = list(_TOKEN.finditer(page))
+    marks = marks_of(page)
     ends, last = skipped(marks), -1
     for i, m in enumerate(marks):
         if i <= last:
             continue
-        if m.start() > at:
-            run.append(page[at : m.start()])
-        at = m.end()
+        if m.start > at:
+            run.append(page[at : m.start])
+        at = m.end
         if i in ends:
             last = ends[i]
-            at = marks[last].end()
+            at = marks[last].end
             continue
-        tag = m["tag"]
+        tag = m.tag
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("title",):
+            if m.raw == "title":
                 flush()
             continue
-        tag = tag.lower()
         if tag not in BLOCKS:
             if tag == "br":
                 run.append(" ")
             continue
         flush()
-        if m["close"]:
+        if m.close:
             if still_open.get(tag):
                 while True:
                     closed, node = node.tag, node.parent
@@ -134,11 +176,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             node = node.parent
         if tag in VOID:
             continue
-        names = [a for x in _ATTR.finditer(m["attrs"]) for a in (x[2] or x[3] or x[4] or "").split()] if m["attrs"] else []
+        names = [a for x in _ATTR.finditer(m.attrs) for a in (x[2] or x[3] or x[4] or "").split()] if m.attrs else []
         content = node.content or tag in _CONTENT or "main" in (n.lower() for n in names)
         regions = _INNER if node.content else REGION
         dropped = node.dropped or tag in DROPPED or (tag == "header" and not node.content) or (tag not in ("html", "body", "article", "main") and any(is_region(n, regions) for n in names))
-        child = Node(tag, ".".join([tag, *sorted(set(_stable(m["attrs"])))]), node, dropped, content)
+        child = Node(tag, ".".join([tag, *sorted(set(_stable(m.attrs)))]), node, dropped, content)
         node.children.append(child)
         nodes.append(child)
         still_open[tag] = still_open.get(tag, 0) + 1
@@ -287,7 +329,13 @@ def content_blocks(page: str) -> tuple[str, list[tuple[int, str]]]:
     """Skeleton (as a template's text of one page), and the place in it and text of each block that no region excludes."""
     nodes, blocks = parse(page)
     rows = skeleton(nodes)
-    inside = any(n.content and not n.dropped for n, _ in blocks)
+    sizes: dict[Node, int] = {}
+    for n, t in blocks:
+        if not n.dropped:
+            sizes[n if n.content else n.parent or n] = sizes.get(n if n.content else n.parent or n, 0) + len(t)
+    article = sum(size for n, size in sizes.items() if n.content)
+    # a main block holds the text: not a teaser beside a longer story in another element
+    inside = article > 0 and article >= max((size for n, size in sizes.items() if not n.content), default=0)
     chosen = [(n.slot, t) for n, t in blocks if not n.dropped and (n.content or not inside)]
     return "\n".join(f"{d} 1 {name}" for d, name in rows), chosen
 
