@@ -283,8 +283,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if width < GRAM:
         raise ValueError(f"width is {GRAM} at least")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # rows that share an id are told apart by a checksum of their text
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"), F.col(id_col).alias("id"))
+    # rows that share an id are told apart by a 64-bit hash of their text
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"), F.col(id_col).alias("id"))
     texts = keyed.select("doc", "tag", "text")
     found = texts.mapInArrow(_anchor_rows(width), "route long, state int, gh long, span long, doc long, tag long, lo long, n int, back int")
     hits = materialise(found.repartition("route").sortWithinPartitions("gh", "span").mapInArrow(_stream_hits, _HIT), "hits")
