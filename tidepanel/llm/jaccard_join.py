@@ -115,8 +115,9 @@ def _parameters() -> np.ndarray:
 
 
 PARAMETERS = _parameters()
-#: Low bits of a signature: the band's parity and the partition, or all ones for a thin set's feature.
-PART = (1 << 20) - 1
+#: Low bits of a signature: the band's parity and the partition, or all ones for a thin set's feature. Partition numbers are whole up to bands of some 17 million shingles (a text of 100 MB).
+PART_BITS = 24
+PART = (1 << PART_BITS) - 1
 _PARTS = PART >> 1
 
 
@@ -153,7 +154,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarr
             has = np.bitwise_or.reduceat(np.uint64(1) << second, at)
             o, p = o[at], p[at]
             parity = band[o] & 1
-            code = (parity.astype(np.uint64) << np.uint64(19)) | (p % np.uint64(_PARTS))
+            code = (parity.astype(np.uint64) << np.uint64(PART_BITS - 1)) | (p % np.uint64(_PARTS))
             seed = _mix(p * _K + band[o].astype(np.uint64) + np.uint64(17))
             full = np.ones(len(o), bool)
             for number, subset in enumerate(combinations(range(parts), parts - drop)):
@@ -312,7 +313,7 @@ def _candidates(texts: DataFrame, sets: DataFrame, nodes: DataFrame, crowd: int)
     shared = materialise(materialise(several, "shared").join(materialise(of, "doc-nodes"), "doc_id").select("sig", "node").distinct(), "signatures")
     counts = materialise(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signature-counts")
     part = F.col("sig").bitwiseAND(F.lit(PART))
-    key = F.when(part == PART, F.lit(2)).otherwise(F.shiftright(part, 19)).cast("int")
+    key = F.when(part == PART, F.lit(2)).otherwise(F.shiftright(part, PART_BITS - 1)).cast("int")
     hot = materialise(shared.join(counts.where(F.col("n") > crowd), "sig").select("sig", "node", key.alias("key"), F.col("n").alias("held")), "hot")
     weak = hot.groupBy("node", "key").agg(F.count_distinct(part).alias("weak"))
     spare = nodes.select("node", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("key"), c.alias("left")) for i, c in enumerate((F.col("left_even"), F.col("left_odd"), F.lit(0)))])).alias("x")).select("node", "n", "x.*")
