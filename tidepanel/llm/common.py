@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,35 +29,59 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidepanel/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; what is written there belongs to the current scope."""
+    path = f"{shared_dir(spark)}/tidepanel/{name}-{uuid.uuid4().hex}"
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
+    return path
 
 
-#: Tables that this process has written to the shared folder and not deleted, in order.
-_WRITTEN: list[str] = []
+class Scratch:
+    """The tables that one run has written to the shared folder. Inside `with Scratch(spark) as scratch:` every table that materialise writes, in this thread, belongs to it; runs in other threads, or with
+    scopes of their own, do not see them. At the end of the block its tables are deleted, but for those kept (`keep`). Without a scope tables stay until the shared folder is cleared."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self._before = spark, [], []
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __enter__(self) -> Scratch:
+        self._before.append(_scope.set(self))
+        return self
+
+    def __exit__(self, *error) -> None:
+        _scope.reset(self._before.pop())
+        self.clear()
+
+    def keep(self, df: DataFrame, owner: Scratch | None = None) -> DataFrame:
+        """Takes the tables that df reads out of the scope: they outlive it, and belong to the other owner, if one is given."""
+        files = [_bare(f) for f in df.inputFiles()]
+        kept = [p for p in self.paths if any(f.startswith(_bare(p) + "/") for f in files)]
+        self.paths = [p for p in self.paths if p not in kept]
+        if owner is not None:
+            owner.paths += kept
+        return df
+
+    def clear(self, but_last: int = 0) -> int:
+        """Deletes the tables, but the last ones, and says how many."""
+        gone = self.paths[: len(self.paths) - but_last]
+        for path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = self.paths[len(gone) :]
+        return len(gone)
 
 
-def written() -> int:
-    """Number of tables that materialise has written and nobody has deleted."""
-    return len(_WRITTEN)
+_scope: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
-def clear_scratch(spark: SparkSession, since: int = 0, keep_last: int = 0) -> int:
-    """Deletes the tables that materialise has written after the first `since`, but the last ones, and says how many. For when a result has been written: DataFrames that
-    read them end with them."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep_last]
-    for path in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _WRITTEN[since : since + len(gone)]
-    return len(gone)
+def _bare(path: str) -> str:
+    return re.sub(r"^[a-z]+:/*", "/", path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts lineage, and survives lost executors. The table belongs to the current scope, if there is one."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
