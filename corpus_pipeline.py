@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm import exact_dedup as exact
 from tidepanel.llm import jaccard_join, mixing, pieces
 from tidepanel.llm import language_id as languages
-from tidepanel.llm.common import clear_scratch, materialise, table, written
+from tidepanel.llm.common import Scratch, materialise, table
 
 MAX_REPEAT = 1.5
 
@@ -50,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, others = table(spark, sf_dir, "documents"), written()
+    docs, outputs = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        clear_scratch(spark, others, keep_last=1)  # what this and earlier stages wrote on the way
+        with Scratch(spark) as own:  # what the stage writes on the way goes with it, its output once the next one is written
+            docs = own.keep(materialise(stage(spark, docs, sf_dir), name), outputs)
+        outputs.clear(but_last=1)
     return docs
