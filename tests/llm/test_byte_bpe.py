@@ -55,6 +55,16 @@ def test_every_code_point_is_split_as_the_library_splits(ranks):
         assert own.encode_ordinary(t) == [i for m in split(t) for i in own._core_bpe.encode_single_piece(m.encode())], hex(ord(characters[at]))
 
 
+def test_ascii_texts_are_split_alike():
+    import regex
+
+    rng, plain = random.Random(9), B.ascii_twin(PATTERN)
+    for _ in range(20_000):
+        t = "".join(chr(rng.choice((rng.randrange(128), 32, 32, 10, 39, 115, 116))) for _ in range(rng.randint(0, 12)))
+        assert plain.findall(t) == regex.findall(PATTERN, t), t
+    assert B.ascii_twin(r"\p{Lu}+|.") is None and B.ascii_twin(r"\w+") is None
+
+
 def test_a_rank_file_with_unreachable_tokens(tmp_path):
     """Tokens that merges do not lead to are given only for a match that is such a token."""
     tokens = [bytes([i]) for i in range(256)] + [b"ab", b"bc", b"abc", b"xyz", b"aa", b"aaa", b"aaaa", b"bcd"]

@@ -55,21 +55,26 @@ class Ranks:
             pairs = [line.split() for line in lines if line.strip()]
         self.whole = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.bytes_of = {rank: token for token, rank in self.whole.items()}
+        self.by_rank = np.empty(max(self.bytes_of) + 1, object)
+        for rank, token in self.bytes_of.items():
+            self.by_rank[rank] = token
         self.longest = max(map(len, self.whole))
-        self.reached = {token: rank for token, rank in self.whole.items() if len(token) == 1}
-        if len(self.reached) != 256:
+        single = {token: rank for token, rank in self.whole.items() if len(token) == 1}
+        if len(single) != 256:
             raise ValueError("a rank file needs all 256 bytes")
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], int] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.ends = set(self.reached)  # all ends of tokens: where none goes on, no longer token ends either
+        self.apart: dict[int, bool] = {}
+        self.size = {rank: len(token) for token, rank in self.whole.items()}
+        self.ends = dict(single)  # all ends of tokens, -1 where they are none: what is not here, no longer token ends with either
         for token, rank in sorted(self.whole.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 continue
             found = self.tokens(token, self.extend(token, []))
             if len(found) == 2:  # else no merges of lower ranks lead to it
-                self.parts[rank], self.pairs[found[0], found[1]], self.reached[token] = (found[0], found[1]), rank, rank
-                self.ends.update(token[i:] for i in range(len(token)))
+                self.parts[rank], self.pairs[found[0], found[1]], self.ends[token] = (found[0], found[1]), rank, rank
+                for i in range(1, len(token)):
+                    self.ends.setdefault(token[i:], -1)
                 self.apart.clear()
         self.words = _Words(self)
 
@@ -89,25 +94,29 @@ class Ranks:
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> list[int]:
         """Fills the table of a match from its known prefixes (len(last)) on, up to a length. Returns the table."""
-        ends, reached, apart = self.ends, self.reached, self.apart
+        ends, size, apart = self.ends, self.size, self.apart
         for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
+            found = []  # tokens that end here, the longest last
             for start in range(end - 1, -1, -1):
-                piece = data[start:end]
-                if piece not in ends:
-                    break
-                token = reached.get(piece)
+                token = ends.get(data[start:end])
                 if token is None:
-                    continue
-                if start == 0:
                     break
-                seam = (last[start - 1], token)
+                if token >= 0:
+                    found.append(token)
+            # one of them is the last token; the longest is the likeliest
+            while True:
+                token = found.pop()
+                start = end - size[token]
+                if start == 0 or not found:
+                    break
+                seam = last[start - 1] << 24 | token
                 free = apart.get(seam)
                 if free is None:
-                    free = apart[seam] = self.stay_apart(*seam)
+                    free = apart[seam] = self.stay_apart(last[start - 1], token)
                 if free:
                     break
             last.append(token)
-        if len(apart) > 1_000_000:
+        if len(apart) > 400_000:
             apart.clear()
         return last
 
@@ -131,12 +140,27 @@ class _Words(dict):
         self.ranks, self.chars, self.most = ranks, chars, most
 
     def __missing__(self, match: str) -> bytes:
-        packed = np.array(self.ranks.encode(match.encode()), "<u4").tobytes()
-        if len(match) <= self.chars:
-            if len(self) >= self.most:
-                self.clear()
-            self[match] = packed
-        return packed
+        return np.array(self.ranks.encode(match.encode()), "<u4").tobytes()
+
+    def learn(self, matches: set[str]) -> None:
+        """Encodes the new ones in order, so that each goes on from the table of the prefix that it shares with the one before."""
+        new = sorted(m for m in matches.difference(self) if len(m) <= self.chars)
+        if len(self) + len(new) > self.most:
+            for old in list(self)[: max(len(new), self.most // 2)]:
+                del self[old]
+        before, last, ranks = b"", [], self.ranks
+        for match in new:
+            data = match.encode()
+            same = 0
+            for x, y in zip(before, data, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del last[same:]
+            ranks.extend(data, last)
+            token = ranks.whole.get(data)
+            self[match] = np.array([token] if token is not None else ranks.tokens(data, last), "<u4").tobytes()
+            before = data
 
 
 @cache
@@ -150,9 +174,9 @@ _LIKE = {"a": "\u00e9", "1": "\u00b2", "!": "\uffff"}
 
 
 @cache
-def unsettled() -> tuple[re.Pattern, dict[int, str]]:
-    """Characters that this regex library takes for letters or numbers and the encoding library, of another version of Unicode, does not; each with a character of its class there. Found by
-    asking the encoding library about those that Python's own tables lack, with pairs of bytes that merge inside a match only."""
+def unsettled() -> tuple[np.ndarray, dict[int, str]]:
+    """Characters that this regex library takes for letters or numbers and the encoding library, of another version of Unicode, does not: a mark per code point, and for each a character of its class there.
+    Found by asking the encoding library about those that Python's own tables lack, with pairs of bytes that merge inside a match only."""
     import tiktoken
 
     everything = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
@@ -164,22 +188,39 @@ def unsettled() -> tuple[re.Pattern, dict[int, str]]:
     there = {c: next((k for k in "a1!" if len(probe.encode_ordinary(c + k)) == len(c.encode())), "!") for c in doubtful}
     here = {c: "a" if regex.match(r"\p{L}", c) else "1" for c in doubtful}
     table = {ord(c): _LIKE[there[c]] for c in doubtful if there[c] != here[c]}
-    points, runs = sorted(table), []
-    for p in points:
-        if runs and runs[-1][1] == p - 1:
-            runs[-1][1] = p
-        else:
-            runs.append([p, p])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]" if runs else r"(?!)"), table
+    marks = np.zeros(sys.maxunicode + 1, bool)
+    marks[list(table)] = True
+    return marks, table
+
+
+def ascii_twin(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of ASCII only, where letters are A-Z and a-z, numbers 0-9 and spaces those six: the standard library is the faster one there. None if the pattern has other classes."""
+    out, inside = [], False
+    for part in re.findall(r"\\p\{.*?\}|\\.|.", pattern, re.S):
+        if part.startswith("\\p{"):
+            known = {"\\p{L}": "A-Za-z", "\\p{N}": "0-9"}.get(part)
+            if known is None:
+                return None
+            part = known if inside else f"[{known}]"
+        elif part in ("\\P", "\\d", "\\w", "\\W", "\\D", "\\b", "\\B", "\\X", "\\R"):
+            return None
+        inside = part == "[" or (inside and part != "]")
+        out.append(part)
+    try:
+        return re.compile("".join(out), re.A)
+    except re.error:
+        return None
 
 
 @cache
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """Splits a text into the matches of the pattern, as the encoding library does."""
-    find, (odd, table) = regex.compile(pattern), unsettled()
+    find, (marks, table), plain = regex.compile(pattern), unsettled(), ascii_twin(pattern)
 
     def split(text: str) -> list[str]:
-        if text.isascii() or not odd.search(text):
+        if text.isascii():
+            return (plain or find).findall(text)
+        if not marks[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return find.findall(text)
         return [text[m.start() : m.end()] for m in find.finditer(text.translate(table))]
 
@@ -285,10 +326,11 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, find = ranks_of(path).words, splitter(split)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = part.column("__text").to_pylist()
-                ids = [b"".join(map(words.__getitem__, find(t))) if t else b"" for t in texts]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                matches = [find(t) if t else [] for t in part.column("__text").to_pylist()]
+                words.learn(set().union(*matches))
+                ids = [b"".join(map(words.__getitem__, m)) for m in matches]
                 if packed:
                     column = pa.array(ids, pa.binary())
                 else:
@@ -306,12 +348,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", keep: list[str] | None = No
     packed = encoded.select(ids_col).schema[0].dataType.simpleString() == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = ranks_of(path).bytes_of
+        by_rank = ranks_of(path).by_rank
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = part.column("__ids").to_pylist()
-                texts = [b"".join(map(bytes_of.__getitem__, (np.frombuffer(x, "<u4").tolist() if packed else x) if x else ())) for x in rows]
+                texts = [b"".join(by_rank[np.frombuffer(x, "<u4") if packed else np.array(x)]) if x else b"" for x in rows]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(texts, pa.binary())], names=[*keep, "decoded"])
 
     ready = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(ids_col).alias("__ids"))
