@@ -13,7 +13,6 @@ from tidepanel.functions import rolling as R
 from tidepanel.functions import scalars as S
 from tidepanel.operators import align, clean, reports, signals, stats, trades, universe, validation
 from tidepanel.sources import panel
-from tidepanel.streaming import live
 
 D0 = dt.date(2020, 1, 1)
 
@@ -255,12 +254,3 @@ def test_csv_reader(spark, tmp_path):
 def test_panel_round_trip_prunes_partitions(spark, tmp_path):
     panel.write_panel(closes(spark, A=[1, 2], B=[3]), str(tmp_path / "t"), by_symbol=True)
     assert spark.read.parquet(str(tmp_path / "t")).where("symbol = 'B'").count() == 1
-
-
-def test_live_positions_keep_state_across_files(spark, tmp_path):
-    schema = "symbol string, ts timestamp, z double"
-    for k, z in enumerate([2.5, 1.0, 0.1]):
-        spark.createDataFrame([("A", dt.datetime(2020, 1, 1 + k), z)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = live.run_to_end(spark, live.live_positions(stream), "append")
-    assert [r.pos for r in out.orderBy("ts").collect()] == [-1, -1, 0]

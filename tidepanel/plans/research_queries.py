@@ -14,11 +14,13 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict = QUERIES, oracle: dict = ORACLE):
+    """Registers a query with its SQL."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = sql
+            oracle[f.__name__] = sql
         return f
 
     return add

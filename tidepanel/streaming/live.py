@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.rolling import by_time
+from tidepanel.operators.storage import shared_folder
 
 
 def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
@@ -33,16 +32,6 @@ def latest(updates: DataFrame, key: str, order: str) -> DataFrame:
     return at.where("_r = 1").drop("_r")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and drained rows: spark.checkpoint.dir, or a temporary folder in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidepanel-stream-")
-    return found.rstrip("/")
-
-
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str, flush: bool = False) -> DataFrame:
     """Runs the stream over all its source has, then returns the emitted rows. flush: windows that the watermark has not closed are emitted too.
 
@@ -61,26 +50,6 @@ def run_to_end(spark: SparkSession, stream: DataFrame, mode: str, flush: bool =
     return rows.drop("batch")
 
 
-def live_positions(scores: DataFrame, entry: float = 2.0, exit: float = 0.5) -> DataFrame:
-    """symbol, ts, z, pos of a stream of scores: the position is kept per symbol across batches."""
-
-    def walk(key, frames, state):
-        (pos,) = state.get if state.exists else (0,)
-        for rows in frames:
-            rows = rows.sort_values("ts")
-            out = []
-            for z in rows["z"]:
-                if pos and (z != z or abs(z) <= exit):
-                    pos = 0
-                elif not pos and z == z and abs(z) >= entry:
-                    pos = -1 if z > 0 else 1
-                out.append(pos)
-            yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"], "z": rows["z"], "pos": out})
-        state.update((pos,))
-
-    return scores.groupBy("symbol").applyInPandasWithState(walk, "symbol string, ts timestamp, z double, pos int", "pos int", "append", "NoTimeout")
-
-
 def last_valid(values: DataFrame, key: str = "symbol", value: str = "close") -> DataFrame:
     """Batch twin of a causal stream: the last present value before each row."""
     return values.withColumn("last_valid", F.last(value, ignorenulls=True).over(by_time(key).rowsBetween(Window.unboundedPreceding, -1)))
