@@ -143,15 +143,6 @@ def test_nearest_positive_matrix():
     assert np.linalg.eigvalsh(good).min() > 0 and np.array_equal(good, good.T) and np.allclose(stats.nearest_positive(np.eye(3)), np.eye(3))
 
 
-def test_deflated_sharpe_falls_with_trials(spark):
-    from statistics import NormalDist
-
-    row = spark.createDataFrame([(500, 0.1, -0.2, 4.0)], "n long, sr double, skew double, kurt double")
-    one, many = reports.deflated_sharpe(row, 1).first(), reports.deflated_sharpe(row, 100).first()
-    sigma = ((1 + 0.2 * 0.1 + 3 / 4 * 0.01) / 499) ** 0.5
-    assert one.dsr == pytest.approx(NormalDist().cdf(0.1 / sigma)) and one.sr_max == 0 and many.dsr < one.dsr and 0.02 < many.sr_max / sigma / 100 < 0.03
-
-
 def test_precision_recall_by_trapezoids(spark):
     rng = np.random.default_rng(0)
     s, y = np.round(rng.random(400), 2), rng.integers(0, 2, 400)

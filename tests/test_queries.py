@@ -30,7 +30,6 @@ INVARIANTS = {
     "shrunk_pair_persistence": lambda r: r["left"] < r["right"],
     "bootstrap_pairs": lambda r: r["ci_low"] <= r["mean"] <= r["ci_high"] and 0 < r["p"] <= 1,
     "panel_fingerprint": lambda r: r["n"] > 0 and int(r["total"]) != 0,
-    "deflated_sharpe": lambda r: 0 <= r["dsr"] <= 1 and r["sr_max"] > 0,
 }
 
 

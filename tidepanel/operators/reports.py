@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,26 +142,3 @@ def drawdown_spells(days: DataFrame) -> DataFrame:
     at = at.withColumn("_back", F.first(F.when(F.col("drawdown") == 0, F.col("day")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     out = at.where("drawdown < 0").groupBy(F.col("_peak_day").alias("start"), F.col("_back").alias("recovered")).agg(F.min_by("day", "drawdown").alias("trough"), F.min("drawdown").alias("depth"))
     return out.withColumns({"days_down": F.datediff("trough", "start"), "days_back": F.datediff("recovered", "trough")})
-
-
-def deflated_sharpe(stats: DataFrame, n_trials: int) -> DataFrame:
-    """Adds sr_max (expected best Sharpe of n_trials without skill) and dsr (probability that the true one is above it), from n, sr, skew and kurt (Bailey and Lopez de Prado)."""
-    from statistics import NormalDist
-
-    normal, gamma = NormalDist(), 0.5772156649015329
-    unit = 0.0 if n_trials <= 1 else (1 - gamma) * normal.inv_cdf(1 - 1 / n_trials) + gamma * normal.inv_cdf(1 - 1 / (n_trials * math.e))
-    sr = F.col("sr")
-    sigma = F.sqrt((1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr) / (F.col("n") - 1))
-
-    @F.pandas_udf("double")
-    def cdf(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: None if v is None or v != v else normal.cdf(v))
-
-    return stats.withColumn("sr_max", unit * sigma).withColumn("dsr", cdf(F.try_divide(sr - F.col("sr_max"), sigma)))
-
-
-def trial_scores(trials: DataFrame, keys: Sequence[str], weights: dict[str, float]) -> DataFrame:
-    """Per trial the mean of each metric over its folds, their weighted sum as score, and its rank (1 is best; ties by key)."""
-    out = trials.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in weights], F.count(F.lit(1)).alias("folds"))
-    score = sum((F.coalesce(F.col(m), F.lit(0.0)) * w for m, w in weights.items()), F.lit(0.0))
-    return out.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *keys)))  # one row per trial

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.operators import align, clean, reports, stats, universe
+from tidepanel.operators import align, clean, reports, significance, stats, universe
 from tidepanel.plans.panel_queries import GRID, RAW, W, bars, raw_bars, rounded
 from tidepanel.plans.trade_queries import EQUITY, NET, curve, netted
-from tidepanel.sources.panel import BARS, table
+from tidepanel.sources.panel import BARS, TRADES, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -259,14 +259,50 @@ def recoveries(spark, sf_dir):
     return rounded(reports.drawdown_spells(curve(spark, sf_dir)), 9)
 
 
-@query()
+def normal_sql(z: str) -> str:
+    """The normal distribution function by Simpson's rule."""
+    return f"(0.5 + ({z}) / 1200 / sqrt(2 * pi()) * list_sum([CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(({z}) * i / 400) * (({z}) * i / 400) / 2) FOR i IN range(401)]))"
+
+
+def best_sql(n: int) -> float:
+    return significance.expected_best(n)
+
+
+#: Moments of the curve's returns, with the annual Sharpe ratio.
+CURVE_STATS = f"""{EQUITY}, rets AS (SELECT day, equity / lag(equity) OVER (ORDER BY day) - 1 AS r FROM curve), mo AS (SELECT count(r) AS n, avg(r) / stddev_samp(r) * sqrt(252) AS sr, avg(r) AS m FROM rets),
+cm AS (SELECT n, sr, avg(power(r - m, 3)) / power(avg(power(r - m, 2)), 1.5) AS skew, avg(power(r - m, 4)) / power(avg(power(r - m, 2)), 2) AS kurt FROM rets, mo WHERE r IS NOT NULL GROUP BY n, sr),
+sg AS (SELECT *, sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1)) AS sigma, sr * sqrt(n) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)) AS t FROM cm)"""
+
+
+@query(f"WITH {CURVE_STATS} SELECT n, round(sr, 6) AS sr, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round({best_sql(50)} * sigma, 6) AS sr_max, round({normal_sql('least(9, sr / sigma)')}, 6) + 0.0 AS psr, round({normal_sql(f'sr / sigma - {best_sql(50)}')}, 6) + 0.0 AS dsr FROM sg")
 def deflated_sharpe(spark, sf_dir):
-    r = curve(spark, sf_dir).select((F.col("pnl") / (F.col("equity") - F.col("pnl"))).alias("r"))
-    return rounded(reports.deflated_sharpe(reports.moments(r, "r"), 50), 9)
+    """The curve's Sharpe ratio against none, and against the best of 50 trials without skill."""
+    days = curve(spark, sf_dir).select(F.unix_date("day").alias("day"), "equity")
+    return rounded(significance.significance(significance.sharpe_moments(days, "day"), 50).drop("p_one_sided"))
+
+
+def trials(spark, sf_dir):
+    """A trial a symbol, half-year and share of the trades: two components, of which `all` has the more rows."""
+    net = netted(spark, sf_dir)
+    half = F.month("exit_date") <= 6
+    of = lambda name, rows: rows.groupBy(F.col("symbol").alias("model"), F.year("exit_date").alias("fold")).agg(F.avg("net_pnl").alias("score"), F.avg(F.when(half, F.col("net_pnl"))).alias("is_score"), F.avg(F.when(~half, F.col("net_pnl"))).alias("oos_score")).withColumn("component", F.lit(name))
+    return of("all", net).unionByName(of("short", net.where("side < 0 AND symbol < 'Brand#2'")))
 
 
-@query(f"""WITH {NET}, f AS (SELECT symbol, year(exit_date) AS fold, avg(net_pnl) AS mean_net, avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM net GROUP BY ALL), s AS (SELECT symbol, avg(mean_net) AS m, avg(hit) AS h, count(*) AS folds FROM f GROUP BY symbol)
-SELECT symbol, round(m, 6) AS mean_net, round(h, 6) AS hit, folds, round(m + 100 * h, 6) AS score, CAST(row_number() OVER (ORDER BY m + 100 * h DESC, symbol) AS INT) AS rank FROM s""")
+@query(f"""WITH {CURVE_STATS}, {NET.replace(f'{BARS}, {TRADES}, ', '', 1)}, tr AS (SELECT symbol AS model, year(exit_date) AS fold, avg(net_pnl) AS score, avg(CASE WHEN month(exit_date) <= 6 THEN net_pnl END) AS a, avg(CASE WHEN month(exit_date) > 6 THEN net_pnl END) AS b FROM net GROUP BY ALL),
+f AS (SELECT * FROM tr WHERE a IS NOT NULL AND b IS NOT NULL), k AS (SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY a DESC, model) AS k, row_number() OVER (PARTITION BY fold ORDER BY b DESC, model DESC) AS r FROM f),
+p AS (SELECT count(*) AS n_folds, avg(CASE WHEN (r - 0.5) / (SELECT count(DISTINCT model) FROM f) < 0.5 THEN 1.0 ELSE 0.0 END) AS pbo FROM k WHERE k = 1)
+SELECT 'all' AS component, (SELECT count(DISTINCT model) FROM tr) AS n_candidates, n AS n_test_obs, round(sr, 6) AS sr_hat, round(skew, 6) AS skew, round(kurt, 6) AS kurtosis, round({normal_sql('least(9, sr / sigma)')}, 6) + 0.0 AS psr, round({normal_sql('sr / sigma - ' + str(best_sql(25)))}, 6) + 0.0 AS dsr, n_folds, round(pbo, 6) AS pbo FROM sg, p""")
 def trial_analysis(spark, sf_dir):
-    folds = netted(spark, sf_dir).groupBy("symbol", F.year("exit_date").alias("fold")).agg(F.avg("net_pnl").alias("mean_net"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("hit"))
-    return rounded(reports.trial_scores(folds, ["symbol"], {"mean_net": 1.0, "hit": 100.0}))
+    """What a search's trials say of its winner: candidates, overfitting of folds, deflated Sharpe ratio of the curve."""
+    days = curve(spark, sf_dir).select(F.unix_date("day").alias("day"), "equity")
+    return rounded(significance.trial_summary(trials(spark, sf_dir), days, "day").drop("p_one_sided"))
+
+
+@query(f"""WITH {EQUITY}, r AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, CASE WHEN row_number() OVER (ORDER BY day) = 1 THEN 0.0 ELSE pnl / (equity - pnl) END AS r FROM curve), n AS (SELECT count(*) AS n FROM r),
+d AS (SELECT b, ('0x' || substr(md5('7:' || b || ':' || i), 1, 8))::BIGINT % n AS i FROM r, n, range(100) t(b)), s AS (SELECT b, avg(r) / stddev_samp(r) * sqrt(252) AS s FROM d JOIN r USING (i) GROUP BY b)
+SELECT round(avg(s), 6) AS mean, round(quantile_cont(s, 0.025), 6) AS lower, round(quantile_cont(s, 0.975), 6) AS upper FROM s""")
+def sharpe_interval(spark, sf_dir):
+    """Bootstrap interval of the curve's Sharpe ratio, by draws that SQL can repeat."""
+    days = curve(spark, sf_dir).select(F.unix_date("day").alias("day"), "pnl")
+    return rounded(significance.bootstrap_sharpe(days, "day", 1e8, 100))
