@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 
 from tests.oracle import connect
-from tidepanel.operators import stats
-from tidepanel.plans import panel_queries, report_queries
+from tests.test_research import plain_adf
+from tidepanel.plans import panel_queries, report_queries, research_queries
 from tidepanel.sources.panel import BARS
 
 SF = "/root/testdata/sf0.001"
@@ -55,13 +55,13 @@ def test_cointegration_half_life_and_pnl_of_all_pairs(spark):
     wide = closes()
     names = [f"{a}-{b}" for i, a in enumerate(wide) for b in wide.columns[i + 1 :]]
     common = {f"{a}-{b}": wide[[a, b]].dropna() for i, a in enumerate(wide) for b in wide.columns[i + 1 :]}
-    got = {r.pair: r for r in panel_queries.cointegration(spark, SF).collect()}
+    got = {r.pair: r for r in research_queries.cointegration(spark, SF).collect()}
     assert set(got) == {n for n in names if len(common[n])} and len(got) == 300
     for n, r in got.items():
-        assert r.n == len(common[n])
+        assert r.n == len(common[n]) and (r.n >= 30) == (r.statistic is not None)
         if r.n >= 30:
             y, x = common[n].to_numpy().T
             slope, cut = np.polyfit(x, y, 1)
-            assert abs(r.statistic - stats.adf_statistic(y - cut - slope * x)) < 1e-4
+            assert abs(r.statistic - plain_adf(y - cut - slope * x)) < 1e-4
     assert panel_queries.QUERIES["all_pair_half_life"](spark, SF).count() == 300
     assert report_queries.QUERIES["all_pair_pnl"](spark, SF).count() == 300

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import rolling as R
 from tidepanel.functions import scalars as S
-from tidepanel.operators import align, clean, reports, signals, stats, trades, universe, validation
+from tidepanel.operators import align, clean, cointegration, reports, signals, stats, trades, universe, validation
 from tidepanel.sources import panel
 
 D0 = dt.date(2020, 1, 1)
@@ -122,7 +122,7 @@ def test_cointegrated_pair_is_found(spark):
     y = 2 * x + rng.normal(size=400)
     z = np.cumsum(rng.normal(size=400)) + 50
     rows = [("in", day(i), float(y[i]), float(x[i])) for i in range(400)] + [("out", day(i), float(z[i]), float(x[i])) for i in range(400)]
-    out = {r.pair: r.level for r in stats.cointegration(spark.createDataFrame(rows, "pair string, ts date, y double, x double")).collect()}
+    out = {r.pair: r.level for r in cointegration.levels(cointegration.engle_granger(spark.createDataFrame(rows, "pair string, ts date, y double, x double"))).collect()}
     assert out["in"] == 0.01 and out["out"] > 0.05
 
 

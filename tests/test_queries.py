@@ -26,9 +26,6 @@ def test_matches_sql(spark, con, name):
 
 #: Of each query without SQL: columns, and what every row of it must hold. Values are tested on their operators.
 INVARIANTS = {
-    "cointegration": lambda r: r["level"] in (None, 0.01, 0.05, 0.1, 1.0) or 0 <= r["level"] <= 1,
-    "shrunk_pair_persistence": lambda r: r["left"] < r["right"],
-    "bootstrap_pairs": lambda r: r["ci_low"] <= r["mean"] <= r["ci_high"] and 0 < r["p"] <= 1,
     "panel_fingerprint": lambda r: r["n"] > 0 and int(r["total"]) != 0,
 }
 

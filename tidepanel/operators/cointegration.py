@@ -20,6 +20,8 @@ from tidepanel.functions.rolling import by_time
 TAU_MIN, TAU_STAR, TAU_MAX = -18.86, -2.62, 0.92
 TAU_SMALL = (2.92, 1.5012, 0.039796)
 TAU_LARGE = (2.1945, 0.64695, -0.29198, -0.042377)
+#: MacKinnon (2010), critical values for cointegration of two series with constant, at 1, 5 and 10 %.
+CRITICAL = {0.01: (-3.89644, -10.9519, -22.527), 0.05: (-3.33613, -6.1101, -6.823), 0.10: (-3.04445, -4.2412, -2.720)}
 #: Why a pair does not pass, in the order of the tests.
 REASONS = ("min_obs_not_met", "eg_failed", "beta_estimation_failed", "beta_non_positive", "half_life_non_finite", "lambda_non_negative", "lambda_invalid_domain", "half_life_too_fast", "half_life_too_slow")
 
@@ -155,3 +157,12 @@ def prefilter(pairs: DataFrame, alpha: float = 0.05, min_obs: int = 30, half_liv
     seen = F.when(n >= max(2, min_obs), p)
     hedge = F.when(passed | ~F.col("reason").isin("min_obs_not_met", "eg_failed", "beta_estimation_failed", "beta_non_positive"), beta)
     return t.select("pair", "n", seen.alias("p"), hedge.alias("beta"), "lam", "half_life", days(F.col("half_life")).alias("z_window"), days(hold_multiple * F.col("half_life")).alias("max_hold"), passed.alias("passed"), "reason")
+
+
+def levels(tests: DataFrame, min_obs: int = 30) -> DataFrame:
+    """pair, n, statistic, level (0.01, 0.05, 0.1, or 1: none) of tested pairs, by the critical values for so many rows; pairs of under min_obs rows have no statistic."""
+    n, stat = F.col("n"), F.when(F.col("n") >= min_obs, F.col("statistic"))
+    level = F.lit(1.0)
+    for size, (b0, b1, b2) in reversed(CRITICAL.items()):
+        level = F.when(stat < b0 + b1 / n + b2 / (n * n), size).otherwise(level)
+    return tests.select("pair", "n", stat.alias("statistic"), level.alias("level"))

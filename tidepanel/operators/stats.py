@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +28,10 @@ def pair_correlations(rets: DataFrame, min_days: int = 20) -> DataFrame:
 
 
 def every_day(rets: DataFrame) -> DataFrame:
-    """symbol, ts, ret on every day of the panel from each symbol's first return on: a day without a bar carries the price forward, so its return is 0."""
-    first = rets.groupBy("symbol").agg(F.min("ts").alias("_first"))  # one row per symbol
-    grid = rets.select("ts").distinct().join(F.broadcast(first), F.col("ts") >= F.col("_first")).select("symbol", "ts")
+    """symbol, ts, ret on every day of the panel from each symbol's first return on: a day without a bar carries the price forward, so its return is 0. Each symbol's own stretch of the panel's days (one list of days) is exploded."""
+    days = rets.agg(F.array_sort(F.collect_set("ts")).alias("_days"))  # one row: the panel's days
+    first = rets.groupBy("symbol").agg(F.min("ts").alias("_first"))
+    grid = first.join(F.broadcast(days)).select("symbol", F.explode(F.filter("_days", lambda d: d >= F.col("_first"))).alias("ts"))
     return grid.join(rets, ["symbol", "ts"], "left").select("symbol", "ts", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
@@ -66,52 +64,11 @@ def ledoit_wolf(x: np.ndarray) -> np.ndarray:
     return (1 - shrink) * s + shrink * mu * np.eye(p)
 
 
-def shrunk_correlations(rets: DataFrame, window: int = 84, step: int = 21) -> DataFrame:
-    """window_id, left, right, corr by shrinkage, over row-count windows of the common days. A window's matrix is one task's work."""
-    n = rets.select("symbol").distinct().count()
-    whole = rets.groupBy("ts").count().where(F.col("count") == n).select("ts", F.lit("all").alias("symbol"))
-    ids = hopping(whole, window, step).select("ts", "window_id")
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="ts", columns="symbol", values="ret").sort_index(axis=1).dropna()
-        cov = ledoit_wolf(wide.to_numpy())
-        d = np.sqrt(np.diag(cov))
-        d[d == 0] = 1.0  # a price that stands still has no correlation
-        corr = np.clip(cov / np.outer(d, d), -1, 1)
-        i, j = np.triu_indices(len(d), 1)
-        names = wide.columns.to_numpy()
-        return pd.DataFrame({"window_id": rows["window_id"].iloc[0], "left": names[i], "right": names[j], "corr": corr[i, j]})
-
-    return rets.join(ids, "ts").groupBy("window_id").applyInPandas(solve, "window_id int, left string, right string, corr double")
-
-
 def pair_persistence(corrs: DataFrame, low: float, high: float) -> DataFrame:
     """Per pair: windows, mean correlation, shares at or above two thresholds."""
     return corrs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.avg("corr").alias("mean_corr"), F.avg((F.col("corr") >= low).cast("double")).alias("pct1"), F.avg((F.col("corr") >= high).cast("double")).alias("pct2"))
 
 
-def bootstrap_means(corrs: DataFrame, resamples: int = 200, block: float = 5.0, null_mean: float = 0.0, seed: int = 42) -> DataFrame:
-    """Per pair: mean, 95 % interval and p-value by the stationary bootstrap; the stream is seeded from the pair's name."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("window_id")["corr"].to_numpy()
-        left, right = rows["left"].iloc[0], rows["right"].iloc[0]
-        rng = np.random.default_rng(int(hashlib.sha256(f"{left}-{right}".encode()).hexdigest()[:8], 16) ^ seed)
-        n = len(x)
-        fresh = rng.random((resamples, n)) < 1 / block
-        fresh[:, 0] = True
-        start = rng.integers(0, n, (resamples, n))
-        at = np.where(fresh, np.arange(n), 0)
-        head = np.maximum.accumulate(at, axis=1)
-        index = (np.take_along_axis(start, head, axis=1) + np.arange(n) - head) % n
-        means = x[index].mean(axis=1)
-        lo, hi = np.quantile(means, [0.025, 0.975])
-        p = ((means - x.mean() + null_mean >= x.mean()).sum() + 1) / (resamples + 1)
-        return pd.DataFrame({"left": [left], "right": [right], "mean": [x.mean()], "ci_low": [lo], "ci_high": [hi], "p": [p]})
-
-    return corrs.groupBy("left", "right").applyInPandas(run, "left string, right string, mean double, ci_low double, ci_high double, p double")
-
-
 def harmonic_number(n: F.Column) -> F.Column:
     """1 + 1/2 + ... + 1/n: summed up to 32, by its asymptotic series (exact to 4e-12) beyond."""
     few = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(32)).cast("int")), F.lit(0.0), lambda acc, k: acc + 1 / k)
@@ -140,46 +97,6 @@ def half_life(pairs: DataFrame) -> DataFrame:
     return out.withColumn("half_life", F.when((F.col("lam") > -1) & (F.col("lam") < 0), -F.lit(float(np.log(2))) / F.log1p("lam")))
 
 
-def adf_statistic(x: np.ndarray, max_lag: int | None = None) -> float:
-    """Augmented Dickey-Fuller t statistic without constant; the lag with the least AIC."""
-    d = np.diff(x)
-    top = max_lag if max_lag is not None else int(12 * (len(x) / 100) ** 0.25)
-    top = max(0, min(top, len(d) // 2 - 2))
-    best = None
-    for lag in range(top + 1):
-        y = d[top:]
-        cols = [x[top:-1]] + [d[top - k : len(d) - k] for k in range(1, lag + 1)]
-        a = np.column_stack(cols)
-        coef, *_ = np.linalg.lstsq(a, y, rcond=None)
-        res = y - a @ coef
-        s2 = res @ res / len(y)
-        aic = len(y) * np.log(max(s2, 1e-300)) + 2 * len(cols)
-        if best is None or aic < best[0]:
-            cov = np.linalg.pinv(a.T @ a) * (res @ res) / max(1, len(y) - len(cols))
-            best = (aic, coef[0] / np.sqrt(max(cov[0, 0], 1e-300)))
-    return float(best[1])
-
-
-#: MacKinnon (2010), critical values for cointegration of two series with constant, at 1, 5 and 10 %.
-_MACKINNON = {0.01: (-3.89644, -10.9519, -22.527), 0.05: (-3.33613, -6.1101, -6.823), 0.10: (-3.04445, -4.2412, -2.720)}
-
-
-def cointegration(pairs: DataFrame) -> DataFrame:
-    """pair, n, statistic, level (0.01, 0.05, 0.1, or 1: none) by Engle and Granger's two steps. pairs: pair, ts, y, x."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts").dropna()
-        n, stat, level = len(rows), float("nan"), 1.0
-        if n >= 30:
-            y, x = rows["y"].to_numpy(), np.column_stack([np.ones(n), rows["x"].to_numpy()])
-            coef, *_ = np.linalg.lstsq(x, y, rcond=None)
-            stat = adf_statistic(y - x @ coef)
-            level = next((a for a, (b0, b1, b2) in _MACKINNON.items() if stat < b0 + b1 / n + b2 / n**2), 1.0)
-        return pd.DataFrame({"pair": [rows["pair"].iloc[0] if n else None], "n": [n], "statistic": [stat], "level": [level]})
-
-    return pairs.groupBy("pair").applyInPandas(run, "pair string, n long, statistic double, level double")
-
-
 def high_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     """left, right, corr of pairs at the threshold or above, names in order, highest first (then by name). Sorted by ranges."""
     out = pairs.where(F.col("corr") >= threshold).select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "corr")

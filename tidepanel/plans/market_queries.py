@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.operators import align, clean, reports, significance, stats, universe
-from tidepanel.plans.panel_queries import GRID, RAW, W, bars, raw_bars, rounded
+from tidepanel.operators import align, clean, covariance, reports, significance, stats, universe
+from tidepanel.operators.storage import Rounds
+from tidepanel.plans.panel_queries import BOOTSTRAP, GRID, RAW, W, bars, raw_bars, rounded, window_correlations
 from tidepanel.plans.trade_queries import EQUITY, NET, curve, netted
 from tidepanel.sources.panel import BARS, TRADES, table
 
@@ -232,10 +233,17 @@ def candidate_pairs(spark, sf_dir):
     return rounded(stats.candidate_pairs(yearly_summary(spark, sf_dir).select("left", "right", F.round("pct2", 9).alias("pct2")), 50), 9)
 
 
-@query(f"WITH {YEARLY} SELECT l || '-' || r AS pair, round(mean_corr, 4) AS mean_corr, round(pct1, 2) AS pct1, round(pct2, 2) AS pct2, 0.01::DOUBLE AS p FROM su WHERE years >= 3 AND pct1 >= 0.5 AND pct2 >= 0.25")
+@query(f"""WITH {BOOTSTRAP}, cd AS (SELECT * FROM pp ORDER BY round(pct2, 9) DESC, "left", "right" LIMIT 200), tp AS (SELECT cd.*, p FROM cd JOIN bs USING ("left", "right")), k AS (SELECT *, row_number() OVER (ORDER BY p, "left", "right") AS q, count(*) OVER () AS m FROM tp),
+cut AS (SELECT max(p) AS c FROM k WHERE p <= q / m * 0.8::DOUBLE)
+SELECT "left" || '-' || "right" AS pair, round(mean_corr, 4) AS mean_corr, round(pct1, 2) AS pct1, round(pct2, 2) AS pct2, round(p, 6) AS p FROM tp, cut WHERE p <= c AND pct1 >= 0.01 AND pct2 >= 0.0""")
 def selected_pairs(spark, sf_dir):
-    tested = yearly_summary(spark, sf_dir).withColumns({"p": F.lit(0.01), "rejected": F.col("years") >= 3})
-    return stats.select_pairs(tested, 0.5, 0.25)
+    """The whole chain: window correlations, persistence, the most persistent pairs as candidates, bootstrap, false discovery, cuts."""
+    corrs = Rounds(spark, "window-correlations").put(window_correlations(spark, sf_dir))
+    persistent = stats.pair_persistence(corrs, 0.1, 0.2)
+    chosen = stats.candidate_pairs(persistent.withColumn("_by", F.round("pct2", 9)), 200, "_by").drop("_by")
+    tested = chosen.join(covariance.bootstrap_pairs(corrs.join(chosen.select("left", "right"), ["left", "right"], "left_semi"), 200).select("left", "right", "p"), ["left", "right"])
+    tested = Rounds(spark, "tested-pairs").put(tested)
+    return stats.select_pairs(stats.false_discovery(tested, "p", 0.8), 0.01, 0.0)
 
 
 @query("""WITH b AS (SELECT l_quantity AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END)::DOUBLE AS q FROM lineitem GROUP BY s),

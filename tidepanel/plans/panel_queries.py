@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import rolling as R
 from tidepanel.functions import scalars as S
-from tidepanel.operators import align, clean, reports, signals, stats, universe, validation
+from tidepanel.operators import align, clean, covariance, reports, signals, stats, universe, validation
 from tidepanel.sources.panel import BARS, bars, table
 
 QUERIES: dict = {}
@@ -271,24 +271,39 @@ def all_pair_half_life(spark, sf_dir):
     return rounded(stats.half_life(all_pairs(spark, sf_dir)))
 
 
-@query()
-def cointegration(spark, sf_dir):
-    return rounded(stats.cointegration(all_pairs(spark, sf_dir)))
-
-
 def window_correlations(spark, sf_dir) -> DataFrame:
     """Shrunk correlations of all symbols' pairs. Few days have a bar of every symbol at small scales, so prices are carried over days without one."""
-    return stats.shrunk_correlations(stats.every_day(stats.returns(bars(spark, sf_dir))), 42, 21)
-
-
-@query()
+    return covariance.shrunk_correlations(stats.every_day(stats.returns(bars(spark, sf_dir))), 42, 21, block=8)
+
+
+#: Correlations of each window, shrunk (wc: window_id, left, right, corr).
+SHRUNK = f"""{RET}, ed AS (SELECT f.symbol, d.ts, coalesce(r.ret, 0) AS ret FROM (SELECT symbol, min(ts) AS f FROM rets GROUP BY symbol) f JOIN (SELECT DISTINCT ts FROM rets) d ON d.ts >= f.f LEFT JOIN rets r ON r.symbol = f.symbol AND r.ts = d.ts),
+wd AS (SELECT ts FROM ed GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ed)), wi AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM wd),
+ww AS (SELECT ts, unnest(range(greatest(0, ceil((i - 41) / 21.0)::BIGINT), least(i // 21, (n - 42) // 21) + 1)) AS window_id FROM wi WHERE n >= 42),
+x AS MATERIALIZED (SELECT window_id, symbol, ts, ret - avg(ret) OVER (PARTITION BY window_id, symbol) AS x FROM ed JOIN ww USING (ts)),
+cov AS MATERIALIZED (SELECT a.window_id, a.symbol AS l, b.symbol AS r, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS q FROM x a JOIN x b ON a.window_id = b.window_id AND a.ts = b.ts AND a.symbol <= b.symbol GROUP BY ALL),
+sh AS (SELECT window_id, count(*) FILTER (l = r) AS p, sum(s) FILTER (l = r) AS trace, sum(CASE WHEN l = r THEN 1 ELSE 2 END * s * s) AS ss, sum(CASE WHEN l = r THEN 1 ELSE 2 END * (q - s * s)) AS noise FROM cov GROUP BY window_id),
+sk AS (SELECT window_id, trace / p AS mu, (ss - p * (trace / p) * (trace / p)) / p AS delta, least((ss - p * (trace / p) * (trace / p)) / p, noise / (42 * p)) AS beta FROM sh),
+sc AS MATERIALIZED (SELECT cov.window_id, l, r, (1 - CASE WHEN beta <= 0 THEN 0 ELSE beta / delta END) * s + CASE WHEN l = r AND beta > 0 THEN beta / delta * mu ELSE 0 END AS s FROM cov JOIN sk USING (window_id)),
+wc AS MATERIALIZED (SELECT a.window_id, a.l AS "left", a.r AS "right", greatest(-1, least(1, coalesce(a.s / nullif(sqrt(x.s) * sqrt(y.s), 0), 0))) AS corr FROM sc a JOIN sc x ON x.window_id = a.window_id AND x.l = a.l AND x.r = a.l JOIN sc y ON y.window_id = a.window_id AND y.l = a.r AND y.r = a.r WHERE a.l < a.r),
+pp AS (SELECT "left", "right", count(*) AS n, avg(corr) AS mean_corr, avg(CASE WHEN corr >= 0.1 THEN 1.0 ELSE 0.0 END) AS pct1, avg(CASE WHEN corr >= 0.2 THEN 1.0 ELSE 0.0 END) AS pct2 FROM wc GROUP BY ALL)"""
+
+#: Resampled means of each pair's windows, by keyed draws (bs: left, right, n, mean, ci_low, ci_high, p).
+BOOTSTRAP = f"""{SHRUNK}, nw AS (SELECT count(DISTINCT window_id) AS n FROM wc), bt AS (SELECT b, n, unnest(range(n)) AS t FROM range(200) r(b), nw),
+dr AS (SELECT b, n, t, t = 0 OR ('0x' || substr(md5('42:f:' || b || ':' || t), 1, 8))::BIGINT * 5 < 4294967296 AS fresh, ('0x' || substr(md5('42:s:' || b || ':' || t), 1, 8))::BIGINT % n AS start FROM bt),
+hd AS (SELECT *, max(CASE WHEN fresh THEN t END) OVER (PARTITION BY b ORDER BY t) AS head FROM dr), wt AS MATERIALIZED (SELECT h.b, (s.start + h.t - h.head) % h.n AS i, count(*) AS k FROM hd h JOIN hd s ON s.b = h.b AND s.t = h.head GROUP BY ALL),
+bm AS (SELECT "left", "right", b, sum(k * corr) / (SELECT n FROM nw) AS m FROM wc JOIN wt ON wt.i = window_id GROUP BY ALL),
+bs AS (SELECT "left", "right", any_value(n) AS n, any_value(mean_corr) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, (count(*) FILTER (m - mean_corr >= mean_corr) + 1) / 201 AS p FROM bm JOIN pp USING ("left", "right") GROUP BY ALL)"""
+
+
+@query(f'WITH {SHRUNK} SELECT "left", "right", n, round(mean_corr, 6) AS mean_corr, round(pct1, 6) AS pct1, round(pct2, 6) AS pct2 FROM pp')
 def shrunk_pair_persistence(spark, sf_dir):
     return rounded(stats.pair_persistence(window_correlations(spark, sf_dir), 0.1, 0.2))
 
 
-@query()
+@query(f'WITH {BOOTSTRAP} SELECT "left", "right", n, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p FROM bs')
 def bootstrap_pairs(spark, sf_dir):
-    return rounded(stats.bootstrap_means(window_correlations(spark, sf_dir)))
+    return rounded(covariance.bootstrap_pairs(window_correlations(spark, sf_dir), 200))
 
 
 def scored(spark, sf_dir) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.rolling import trailing
-from tidepanel.operators import clusters, cointegration, folds
-from tidepanel.plans.panel_queries import BARS, W, rounded
+from tidepanel.operators import cointegration as tests_of
+from tidepanel.operators import clusters, folds
+from tidepanel.plans.panel_queries import BARS, W, all_pairs, rounded
 from tidepanel.sources.panel import bars
 
 QUERIES: dict = {}
@@ -31,7 +32,7 @@ def smoothed_pairs(spark, sf_dir) -> DataFrame:
     means = bars(spark, sf_dir).select("symbol", "ts", F.avg("close").over(trailing(20)).alias("close"))
     symbols = means.select("symbol").distinct()
     pairs = symbols.select(F.col("symbol").alias("left")).join(symbols.select(F.col("symbol").alias("right")), F.col("left") < F.col("right"))
-    return cointegration.pair_rows(means, pairs)
+    return tests_of.pair_rows(means, pairs)
 
 
 #: Residual lists, the regressions' inner products, and their sweeps: one pivot a step.
@@ -56,7 +57,7 @@ list_dot_product([s + alpha FOR s IN e[1:n - 1]], [s + alpha FOR s IN e[1:n - 1]
 @query(f"WITH {ENGLE_GRANGER} SELECT pair, n, round(beta, 6) AS beta, round(t, 6) AS statistic, round(p, 6) + 0.0 AS p, round((ahead - level) / level, 6) AS lam FROM eg")
 def engle_granger(spark, sf_dir):
     """Statistic, p-value and mean reversion of every pair with 30 common days and more."""
-    out = cointegration.engle_granger(smoothed_pairs(spark, sf_dir))
+    out = tests_of.engle_granger(smoothed_pairs(spark, sf_dir))
     return rounded(out.where("n >= 30").select("pair", "n", "beta", "statistic", "p", "lam"))
 
 
@@ -67,7 +68,18 @@ q AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN lam >= 0 THEN 'lambd
 SELECT pair, n, round(p, 6) + 0.0 AS p, CASE WHEN early IS NULL THEN round(beta, 6) END AS beta, CASE WHEN early IS NULL THEN round(lam, 6) END AS lam, round(life, 6) AS half_life, CASE WHEN reason IS NULL THEN greatest(5, round_even(life, 0)::INT) END AS z_window,
 CASE WHEN reason IS NULL THEN greatest(5, round_even(2 * life, 0)::INT) END AS max_hold, reason IS NULL AS passed, reason FROM q""")
 def pair_prefilter(spark, sf_dir):
-    return rounded(cointegration.prefilter(smoothed_pairs(spark, sf_dir)))
+    return rounded(tests_of.prefilter(smoothed_pairs(spark, sf_dir)))
+
+
+#: The same for the closes themselves.
+ON_CLOSES = ENGLE_GRANGER.replace(f"avg(close) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS close", "close")
+
+
+@query(f"""WITH {ON_CLOSES}, every AS (SELECT pair, count(*) AS n FROM np GROUP BY pair) SELECT every.pair, every.n, round(t, 6) AS statistic, CASE WHEN t < -3.89644 - 10.9519 / every.n - 22.527 / (every.n * every.n) THEN 0.01 WHEN t < -3.33613 - 6.1101 / every.n - 6.823 / (every.n * every.n) THEN 0.05
+WHEN t < -3.04445 - 4.2412 / every.n - 2.72 / (every.n * every.n) THEN 0.1 ELSE 1.0 END::DOUBLE AS level FROM every LEFT JOIN eg ON eg.pair = every.pair""")
+def cointegration(spark, sf_dir):
+    """Statistic and level of every pair's closes."""
+    return rounded(tests_of.levels(tests_of.engle_granger(all_pairs(spark, sf_dir))))
 
 
 def symbol_correlations(spark, sf_dir) -> DataFrame:
