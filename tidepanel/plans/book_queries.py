@@ -201,8 +201,3 @@ def order_rules(spark, sf_dir):
         fills.units([F.when(k % 6 == 0, -F.col("qty"))], F.when(k % 6 > 1, F.lit(-10000.0)), F.col("exec_px")).alias("units"),
         fills.side_of([word], [F.when(k % 4 == 2, F.col("side") * F.col("qty"))]).alias("way"),
     ), 9)
-
-
-@query("SELECT CAST(252 AS INT) AS periods")
-def annual_periods(spark, sf_dir):
-    return fills.annual_factor(bars(spark, sf_dir).select("ts"))

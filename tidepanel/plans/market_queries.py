@@ -53,11 +53,6 @@ def tradable_hours(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("tradable").alias("n_tradable"))
 
 
-@query(f"""WITH {BARS}, g AS (SELECT CAST(ts AS TIMESTAMP) AS ts, symbol FROM bars), d AS (SELECT epoch(ts) - epoch(lag(ts) OVER ({W})) AS x FROM g) SELECT coalesce(avg(CASE WHEN x < 86400 THEN 1.0 ELSE 0.0 END) >= 0.5, false) AS intraday FROM d WHERE x IS NOT NULL""")
-def intraday_panel(spark, sf_dir):
-    return clean.is_intraday(bars(spark, sf_dir))
-
-
 FILL = f"""{GRID}, t AS (SELECT symbol, ts, close, isodow(ts) < 6 AS tradable, row_number() OVER ({W}) AS pos FROM grid), h AS (SELECT *, close IS NULL AND tradable AS hole FROM t),
 i AS (SELECT *, CASE WHEN hole THEN pos - sum(CASE WHEN hole THEN 1 ELSE 0 END) OVER ({W}) END AS gap, lag(close) OVER ({W}) AS b, lead(close) OVER ({W}) AS a FROM h),
 j AS (SELECT *, count(*) OVER (PARTITION BY symbol, gap) AS len, min(pos) OVER (PARTITION BY symbol, gap) AS f FROM i),
