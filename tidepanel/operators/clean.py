@@ -219,7 +219,7 @@ def safe_fill(grid: DataFrame, max_gap: int, causal: bool = False, hard_drop: bo
     told = F.when(F.col("hole"), F.coalesce(how, F.when(end, "skip_edge_unfilled").otherwise("drop"))).when(missing & F.col("closed"), "skip_nontradable")
     at = at.withColumn("method", told)
     at = at.withColumn("stop", F.min(F.when((F.col("method") == "drop") & F.lit(hard_drop), F.col("first"))).over(whole))
-    reached = F.col("stop").isNull() | (F.col("first") <= F.col("stop")) | (~F.col("hole") & (F.col("pos") < F.col("stop")))
+    reached = F.col("stop").isNull() | (F.when(F.col("hole"), F.col("first")).otherwise(F.col("pos") + 1) <= F.col("stop"))
     at = at.withColumn("method", F.when(reached, F.col("method"))).withColumn("value", F.when(F.col("method").startswith("filled"), found))
     if not causal:
         gaps = at.where("method = 'filled_kalman' AND pos = first").select("symbol", "first", "length")

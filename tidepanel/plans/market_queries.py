@@ -101,9 +101,9 @@ def safe_fill_smoothed(spark, sf_dir):
 
 @query(f"""WITH {FILL}, m AS (SELECT *, close IS NULL AS gone, CASE WHEN close IS NULL THEN pos - sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) OVER ({W}) END AS run, count(*) OVER (PARTITION BY symbol) AS n FROM k),
 q AS (SELECT *, max(hole) OVER (PARTITION BY symbol, run) AS open FROM m),
-t AS (SELECT *, CASE WHEN hole THEN CASE WHEN len = 1 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_single_avg' WHEN len = 1 AND l IS NOT NULL THEN 'filled_ffill' WHEN len = 1 AND r IS NOT NULL THEN 'filled_bfill' WHEN len = 2 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_linear'
+tt AS (SELECT *, CASE WHEN hole THEN CASE WHEN len = 1 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_single_avg' WHEN len = 1 AND l IS NOT NULL THEN 'filled_ffill' WHEN len = 1 AND r IS NOT NULL THEN 'filled_bfill' WHEN len = 2 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_linear'
 WHEN len BETWEEN 3 AND 5 AND l IS NOT NULL AND r IS NOT NULL THEN 'filled_kalman' WHEN f = 1 OR f + len - 1 = n THEN 'skip_edge_unfilled' ELSE 'drop' END WHEN gone AND NOT open THEN 'skip_nontradable' END AS how FROM q),
-z AS (SELECT *, min(CASE WHEN how = 'drop' THEN f END) OVER (PARTITION BY symbol) AS stop FROM t)
+z AS (SELECT *, min(CASE WHEN how = 'drop' THEN f END) OVER (PARTITION BY symbol) AS stop FROM tt)
 SELECT symbol, how AS method, stop IS NOT NULL AS removed, count(*) AS n FROM z WHERE how IS NOT NULL AND (stop IS NULL OR (hole AND f <= stop) OR (NOT hole AND pos < stop)) GROUP BY ALL""")
 def safe_fill_methods(spark, sf_dir):
     """What was done with missing rows per symbol, up to the first gap that removes it."""
