@@ -86,7 +86,7 @@ def test_similar_sets_agree_in_more_partitions_than_either_spares(size):
         if similar:
             seen += 1
             part = shared & np.uint64(J.PART)
-            enough = [len(np.unique(part[(part != J.PART) & (part >> np.uint64(19) == k)])) > max(left[0, k], left[1, k]) >= 0 for k in (0, 1)]
+            enough = [len(np.unique(part[(part != J.PART) & (part >> np.uint64(J.PART_BITS - 1) == k)])) > max(left[0, k], left[1, k]) >= 0 for k in (0, 1)]
             assert any(enough) or (part == J.PART).any()
     assert seen
 
@@ -109,7 +109,7 @@ def test_signatures_are_subsets_of_parts_and_differ_by_band():
     k, k2, n2, spare, n1 = J.PARAMETERS[np.searchsorted(J.BANDS, 100)]
     assert all(p[4] == p[0] // (p[1] + 1) + 1 + p[3] for p in J.PARAMETERS) and tuple(J.PARAMETERS[np.searchsorted(J.BANDS, 1000)][1:3]) == (0, 1)
     assert (k2, n2) == (1, 3) and (left >= 0).all() and len(t) == ends[1] and len(np.unique(t)) == len(t)
-    both = [len(np.unique(t[(t >> np.uint64(19)) & np.uint64(1) == p])) for p in (0, 1)]
+    both = [len(np.unique(t[(t >> np.uint64(J.PART_BITS - 1)) & np.uint64(1) == p])) for p in (0, 1)]
     assert all(0 < n <= 3 * n1 for n in both)
 
 
