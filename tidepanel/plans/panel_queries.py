@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import rolling as R
 from tidepanel.functions import scalars as S
 from tidepanel.operators import align, clean, covariance, reports, signals, stats, universe, validation
+from tidepanel.operators.storage import Rounds
 from tidepanel.sources.panel import BARS, bars, table
 
 QUERIES: dict = {}
@@ -234,6 +235,7 @@ h AS (SELECT sum(1.0 / q) AS h FROM k), bh AS (SELECT max(p) AS c FROM k WHERE p
 SELECT "left", "right", round(p, 6) AS p, coalesce(p <= (SELECT c FROM bh), false) AS bh, coalesce(p <= (SELECT c FROM byc), false) AS "by" FROM k""")
 def false_discovery(spark, sf_dir):
     p = stats.pair_correlations(stats.returns(bars(spark, sf_dir))).select("left", "right", F.exp(-F.col("n") * F.col("corr") * F.col("corr") / 2).alias("p"))
+    p = Rounds(spark, "p-values").put(p)  # read several times
     bh = stats.false_discovery(p, "p", 0.1).withColumnRenamed("rejected", "bh")
     by = stats.false_discovery(p, "p", 0.1, dependent=True).select("left", "right", F.col("rejected").alias("by"))
     return rounded(bh.join(by, ["left", "right"]))

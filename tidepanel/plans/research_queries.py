@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.rolling import trailing
 from tidepanel.operators import cointegration as tests_of
-from tidepanel.operators import clusters, folds
+from tidepanel.operators import clusters, folds, sampling, strategy
 from tidepanel.plans.panel_queries import BARS, W, all_pairs, rounded
-from tidepanel.sources.panel import bars
+from tidepanel.sources.panel import bars, trades
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -143,3 +145,27 @@ p AS (SELECT fold, i, ts, CASE WHEN test AND i >= l + 3 AND i < h - 3 - ceil(0.1
 def blocked_folds(spark, sf_dir):
     """Two neighbouring blocks of days test, trimmed as one stretch."""
     return told(folds.fold_rows(bar_days(spark, sf_dir), "day", 7, folds.runs(7, 2), 3, 0.1, together=True))
+
+
+SPAN = strategy.Span(dt.date(1995, 1, 1), dt.date(1998, 1, 15), dt.date(1998, 1, 1), dt.date(1998, 12, 31), dt.date(1999, 3, 31))
+#: Common days of every two symbols' 20-row means, from the queries above.
+COMMON = ENGLE_GRANGER[: ENGLE_GRANGER.index(",\nfit AS")]
+
+
+@query(f"""WITH {COMMON}, f AS (SELECT pair, regr_slope(y, x) AS beta FROM np WHERE ts BETWEEN DATE '1995-01-01' AND DATE '1998-01-15' GROUP BY pair HAVING count(*) >= 15 AND stddev_pop(y) > 0 AND stddev_pop(x) > 0 AND regr_slope(y, x) > 0),
+ev AS (SELECT pair, min(ts) AS first FROM np WHERE ts BETWEEN DATE '1998-01-01' AND DATE '1999-03-31' GROUP BY pair),
+al AS (SELECT np.pair, ts, beta, y - beta * x AS s FROM np JOIN f USING (pair) JOIN ev USING (pair) WHERE (ts >= DATE '1995-01-01' AND ts <= DATE '1998-01-15' AND ts < first) OR ts BETWEEN DATE '1998-01-01' AND DATE '1999-03-31'),
+zs AS (SELECT pair, ts, beta, CASE WHEN count(s) OVER p >= 15 AND stddev_pop(s) OVER p > 0 THEN (s - avg(s) OVER p) / stddev_pop(s) OVER p END AS z FROM al WINDOW p AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+w AS (SELECT *, lag(z) OVER (PARTITION BY pair ORDER BY ts) AS q FROM zs WHERE ts BETWEEN DATE '1998-01-01' AND DATE '1998-12-31')
+SELECT pair, ts, CASE WHEN z < 0 THEN 1 ELSE -1 END AS side, round(z, 6) AS z, round(beta, 6) AS beta, DATE '1998-12-31' AS entry_end FROM w WHERE (z <= -2 AND z > -4 AND (q IS NULL OR q > -2)) OR (z >= 2 AND z < 4 AND (q IS NULL OR q < 2))""")
+def baseline_intents(spark, sf_dir):
+    """Entries of every pair with a positive hedge ratio in a test year, after three years of training."""
+    return rounded(strategy.baseline(smoothed_pairs(spark, sf_dir), SPAN, window=30))
+
+
+@query()
+def sampled_fills(spark, sf_dir):
+    """Fill fractions drawn for every trade, by its id; tested against the distribution's closed form."""
+    share = F.col("qty") / 100
+    orders = trades(spark, sf_dir).select("trade_id", share.alias("depth_share"), (share / 100).alias("participation"), (F.col("maker_share") / 10).alias("sigma"), (F.col("exec_px") * 10_000).alias("adv"))
+    return rounded(sampling.sampled_fills(orders, "trade_id", 7, 1e7).select("trade_id", "expected", "kappa", "sampled"))

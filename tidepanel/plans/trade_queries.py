@@ -72,7 +72,7 @@ def risk_sizing(spark, sf_dir):
 PRICED = f"""{BARS}, {TRADES}, priced AS (SELECT t.*, b.close AS exit_px, side * qty * (b.close - exec_px) AS gross_pnl FROM trades t ASOF JOIN bars b ON b.symbol = t.symbol AND b.ts <= t.exit_date WHERE b.close > 0)"""
 
 
-@query(f"WITH {PRICED} SELECT trade_id, round(exit_px, 6) AS exit_px, round(gross_pnl * 10000) / 10000 AS gross_pnl FROM priced")
+@query(f"WITH {PRICED} SELECT trade_id, round(exit_px, 6) AS exit_px, round(gross_pnl * 10000) / 10000 + 0.0 AS gross_pnl FROM priced")
 def asof_exit(spark, sf_dir):
     out = T.priced_exit(trades(spark, sf_dir), bars(spark, sf_dir))
     return rounded(out.select("trade_id", "exit_px", (money(F.col("gross_pnl")) / 10000).alias("gross_pnl")))
