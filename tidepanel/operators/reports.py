@@ -140,5 +140,5 @@ def drawdown_spells(days: DataFrame) -> DataFrame:
     w = Window.orderBy("day")
     at = days.withColumn("_peak_day", F.last(F.when(F.col("drawdown") == 0, F.col("day")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = at.withColumn("_back", F.first(F.when(F.col("drawdown") == 0, F.col("day")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    out = at.where("drawdown < 0").groupBy(F.col("_peak_day").alias("start"), F.col("_back").alias("recovered")).agg(F.min_by("day", "drawdown").alias("trough"), F.min("drawdown").alias("depth"))
+    out = at.where("drawdown < 0").groupBy(F.col("_peak_day").alias("start"), F.col("_back").alias("recovered")).agg(F.min(F.struct("drawdown", "day"))["day"].alias("trough"), F.min("drawdown").alias("depth"))
     return out.withColumns({"days_down": F.datediff("trough", "start"), "days_back": F.datediff("recovered", "trough")})

@@ -256,7 +256,7 @@ def tear_sheet(spark, sf_dir):
 
 
 @query(f"""WITH {EQUITY}, a AS (SELECT *, max(CASE WHEN drawdown = 0 THEN day END) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS s, min(CASE WHEN drawdown = 0 THEN day END) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM curve),
-g AS (SELECT s, b, arg_min(day, drawdown) AS trough, min(drawdown) AS depth FROM a WHERE drawdown < 0 GROUP BY s, b) SELECT s AS start, b AS recovered, trough, round(depth, 9) AS depth, CAST(trough - s AS INT) AS days_down, CAST(b - trough AS INT) AS days_back FROM g""")
+g AS (SELECT s, b, min(struct_pack(d := drawdown, t := day)).t AS trough, min(drawdown) AS depth FROM a WHERE drawdown < 0 GROUP BY s, b) SELECT s AS start, b AS recovered, trough, round(depth, 9) AS depth, CAST(trough - s AS INT) AS days_down, CAST(b - trough AS INT) AS days_back FROM g""")
 def recoveries(spark, sf_dir):
     """Each spell below a peak, to its trough and back."""
     return rounded(reports.drawdown_spells(curve(spark, sf_dir)), 9)
