@@ -240,6 +240,21 @@ def test_gini(spark):
     assert reports.concentration(v, "v").first().gini == pytest.approx(0.75)
 
 
+def test_monthly_returns_beyond_a_total_loss(spark):
+    """Days that lose more than all, all, or start from zero, beside a month as usual, and what DuckDB says to the same rows."""
+    import duckdb
+
+    rows = [(1, 10.0, 110.0), (1, -11.0, 99.0), (2, -150.0, -50.0), (2, 20.0, -30.0), (3, -100.0, 0.0), (3, 5.0, 105.0), (4, 7.0, 7.0), (5, -7.0, -7.0), (6, 0.0, 0.0), (7, -50.0, -100.0), (8, None, None)]
+    days = spark.createDataFrame([(dt.date(2020, m, i + 1), p, e) for i, (m, p, e) in enumerate(rows)], "day date, pnl double, equity double")
+    got = {r.month: r.ret for r in reports.monthly(days).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (m INT, pnl DOUBLE, equity DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    want = dict(con.execute("SELECT m, exp(sum(ln(1 + pnl / (equity - pnl)))) - 1 FROM t GROUP BY m").fetchall())
+    assert got == pytest.approx(want, nan_ok=True)
+    assert got[1] == pytest.approx(-0.01) and np.isnan(got[2]) and got[3] == -1 and got[4] == np.inf and got[7] == 1 and got[8] is None
+
+
 def test_symbols(spark):
     df = spark.createDataFrame([(" brk/b",), ("abc.to",), ("a.b",), (None,)], "s string")
     assert [r[0] for r in df.select(S.normalize_symbol(F.col("s"))).collect()] == ["BRK-B", "ABC.TO", "A-B", None]

@@ -52,9 +52,13 @@ def performance(days: DataFrame, capital: float, periods: int = 252) -> DataFram
 
 
 def monthly(days: DataFrame) -> DataFrame:
-    """year, month, ret: compounded daily returns."""
-    ret = days.withColumn("r", F.col("pnl") / (F.col("equity") - F.col("pnl")))
-    return ret.groupBy(F.year("day").alias("year"), F.month("day").alias("month")).agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("ret"))
+    """year, month, ret: compounded daily returns. A month with a day that loses more than the whole equity has no compounded return (NaN), as the logarithm of its growth has none; one that loses
+    exactly the whole gives -1, and a day that starts from zero follows floating-point division."""
+    before = F.col("equity") - F.col("pnl")
+    r = F.when(before == 0, F.col("pnl") * F.lit(math.inf)).otherwise(F.try_divide(F.col("pnl"), before))
+    growth = F.col("_g")
+    log = F.when(growth < 0, F.lit(math.nan)).when(growth == 0, F.lit(-math.inf)).otherwise(F.ln(growth))
+    return days.withColumn("_g", 1 + r).groupBy(F.year("day").alias("year"), F.month("day").alias("month")).agg((F.exp(F.sum(log)) - 1).alias("ret"))
 
 
 def prefix_sums(rows: DataFrame, order: str, values: Sequence[str], descending: bool = False, buckets: int = 64) -> DataFrame:
