@@ -9,27 +9,21 @@ from tidepanel.llm.common import materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (the smallest node reachable), for every node that has an edge to another.
+    """node, component (the smallest node reachable), for every node that has an edge to another. The result is a stored table of one row per node.
 
     Every step is a min by node and a join with it. The least neighbours are stored before the join that a star's centre makes uneven, so that adaptive execution can
-    split it; each round is written to the shared folder. Rounds only lower the neighbours of a node, so they end, and their number grows with the logarithm of the longest chain. Nulls and self edges are ignored.
+    split it; each round is written to the shared folder. Once every node with a lower neighbour has no other one, all components are stars, and the least neighbours are the result. A round on other
+    graphs lowers the sum of the ends of the edges, so the rounds end; their number grows with the logarithm of the longest chain. Nulls and self edges are ignored.
     """
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     now = materialise(pair, "cc")
-    mark = _mark(now)
-    while mark[0]:
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "cc-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("lower"), F.count(F.lit(1)).alias("n"))
+        low = materialise(least, "cc-low")
+        if low.where("lower > 0 and n > 1").isEmpty():
+            return low.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        large = both.where("v > u").join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small, "cc")
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    roots = now.groupBy("u").agg(F.min("v").alias("component"))
-    return roots.select(F.col("u").alias("node"), "component").union(roots.select(F.col("component").alias("node"), "component").distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
