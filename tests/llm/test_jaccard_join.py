@@ -131,6 +131,26 @@ def test_a_signature_that_all_documents_hold(spark, parts, options):
     assert sorted(tuple(r) for r in J.jaccard_components(df, **options).collect()) == brute(rows)
 
 
+def test_hot_signatures_stay_in_one_row_a_set(spark, monkeypatch):
+    """A set meets its own hot signatures once, as one row; what crowded sets keep grows with their number, not with its square."""
+    kept, write = {}, J.materialise
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(J, "materialise", keep)
+    per_set = []
+    for copies in (20, 60):
+        kept.clear()
+        rows = [(i, " ".join(f"w{j}" for j in range(120)) + f" end{i}") for i in range(copies)]
+        got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), crowd=5)
+        assert {r.component_id for r in got.collect()} == {0}
+        assert kept["spare"].count() == 3 * copies and kept["spare"].where("used is not null").count() >= copies
+        per_set.append(kept["crowded"].count() / copies)
+    assert per_set[0] > 0 and per_set[1] == pytest.approx(per_set[0], rel=0.05)
+
+
 def test_rows_that_share_an_id_are_one_document(spark):
     w = " ".join(f"w{i}" for i in range(30))
     v = " ".join(f"v{i}" for i in range(30))

@@ -315,15 +315,17 @@ def _candidates(texts: DataFrame, sets: DataFrame, nodes: DataFrame, crowd: int)
     part = F.col("sig").bitwiseAND(F.lit(PART))
     key = F.when(part == PART, F.lit(2)).otherwise(F.shiftright(part, PART_BITS - 1)).cast("int")
     hot = materialise(shared.join(counts.where(F.col("n") > crowd), "sig").select("sig", "node", key.alias("key"), F.col("n").alias("held")), "hot")
-    weak = hot.groupBy("node", "key").agg(F.count_distinct(part).alias("weak"))
+    # a set's own hot signatures in one row: the most held first
+    own = hot.groupBy("node", "key").agg(F.sort_array(F.collect_list(F.struct((-F.col("held")).alias("under"), "sig"))).alias("hots"))
+    own = own.withColumn("parts", F.transform("hots", lambda x: x["sig"].bitwiseAND(F.lit(PART)))).withColumn("weak_parts", F.array_distinct("parts"))
     spare = nodes.select("node", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("key"), c.alias("left")) for i, c in enumerate((F.col("left_even"), F.col("left_odd"), F.lit(0)))])).alias("x")).select("node", "n", "x.*")
-    spare = materialise(spare.join(weak, ["node", "key"], "left").select("node", "n", "key", F.col("left").alias("full"), (F.col("left") - F.coalesce("weak", F.lit(0))).alias("left")), "spare")
-    # Crowded sets that share no cold signature share hot ones of full + 1 partitions at least, so each may leave out those of its `full` most held partitions
-    many = hot.join(spare.where("left < 0").select("node", "key", "full"), ["node", "key"])
-    order = Window.partitionBy("node", "key").orderBy(F.desc("held"), "sig")  # one set's signatures
-    new_part = F.row_number().over(Window.partitionBy("node", "key", part).orderBy(F.desc("held"), "sig")) == 1
-    seen = many.withColumn("_new", new_part.cast("int")).withColumn("_parts", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    crowded = materialise(seen.where(F.col("_parts") > F.col("full")).select("node", "sig", "held"), "crowded")
+    left = F.col("left") - F.when(F.col("hots").isNull(), 0).otherwise(F.size("weak_parts"))
+    # Crowded sets that share no cold signature share hot ones of left + 1 partitions at least, so each may leave out those of its `left` most held partitions
+    first = F.when(F.col("left") < 0, 1).otherwise(F.array_position("parts", F.get("weak_parts", F.col("left"))).cast("int"))
+    used = F.when(left < 0, F.slice("hots", first, F.size("hots")))
+    spare = materialise(spare.join(own, ["node", "key"], "left").select("node", "n", "key", left.alias("left"), used.alias("used")), "spare")
+    crowded = spare.where("used is not null").select("node", F.inline("used")).select("node", "sig", (-F.col("under")).alias("held"))
+    crowded = materialise(crowded, "crowded")
     cold = materialise(shared.join(counts.where(F.col("n") <= crowd).select("sig"), "sig"), "cold")  # `crowd` rows a signature at most
     met = cold.select("sig", F.col("node").alias("a")).join(cold.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b", part.alias("part"), key.alias("key"))
     agreed = met.groupBy("a", "b", "key").agg(F.count_distinct("part").alias("agreed"))
@@ -363,7 +365,7 @@ def _pair_links(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """Links that connect what the similar pairs connect. First each node is compared with its smallest partner; of the other pairs only those between two of the
     components that result are compared, as the rest could not join anything more. In a group of copies that leaves about one comparison a copy."""
     first = materialise(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), full), "first-links")
-    found = materialise(connected_components(first), "first-components")
+    found = connected_components(first)
     side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
     apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b")
     return first.union(materialise(_verified(apart, full), "other-links"))
